@@ -5,13 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup
+from . import bpe, exact_dedup, langid, line_dedup, packing, simhash, topk, warc
+
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc.write_archives(table(spark, sf_dir, "pages"))
+    back = warc.read_archives(bundles, payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), BYTE_BPE, digests=True)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -42,5 +84,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM d GROUP BY doc_id
 """
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op9_line_dedup": op9_line_dedup}
-SQL = {"op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op9_line_dedup, op10_packing)}
+SQL = {"op1_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
