@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, simhash, topk, warc
+from . import bpe, exact_dedup, langid, line_dedup, packing, simhash, suffix_dedup, topk, warc
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
@@ -25,7 +25,7 @@ WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
       FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
 
@@ -66,6 +66,12 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove(docs, suffix_dedup.repeated(docs), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.without_lines(docs, line_dedup.line_dedup(docs))
@@ -84,5 +90,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM d GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op8_suffix_array, op9_line_dedup, op10_packing)}
 SQL = {"op1_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
