@@ -233,7 +233,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     goes to the tasks with the function.
     """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
 
     def predict(batches):
         reader = Reader(network) if network else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, simhash, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, langid, line_dedup, packing, passage_dedup, simhash, suffix_dedup, topk, warc
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
@@ -66,6 +66,19 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_spans, n_removed (words), class_id (the document itself if it loses nothing), keep_ids, spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = passage_dedup.passage_dedup(docs).drop("row")
+    ids = docs.select("doc_id").alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    removed = F.aggregate("f.spans", F.lit(0), lambda a, x: a + x["length"])
+    return ids.select(
+        "d.doc_id", F.coalesce(F.size("f.spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("f.class_id", "d.doc_id").alias("class_id"), F.coalesce("f.keep_ids", F.array().cast("array<long>")).alias("keep_ids"),
+        F.coalesce("f.spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"),
+    )
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove(docs, suffix_dedup.repeated(docs), keep_text=False)
@@ -90,5 +103,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM d GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op8_suffix_array, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op7_passages, op8_suffix_array, op9_line_dedup, op10_packing)}
 SQL = {"op1_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
