@@ -92,8 +92,8 @@ def label_text(category: Column, drop: str = "worm") -> Column:
 
 
 def folder_name(label: Column) -> Column:
-    """Characters that folders shouldn't have become `_`; final dots and blanks go."""
-    return F.regexp_replace(F.regexp_replace(label, r'[<>:"/\\|?*\s]+', "_"), r"[. ]+$", "")
+    """Final dots and blanks go; other characters that folders shouldn't have become `_`."""
+    return F.regexp_replace(F.regexp_replace(label, r"[. ]+$", ""), r'[<>:"/\\|?*\s]+', "_")
 
 
 def augmented_name(stem: Column, suffix: Column, k: Column, extension: Column) -> Column:

@@ -98,7 +98,10 @@ def assign(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
         for a, b in zip(g["a"], g["b"], strict=True):
             root[find(("a", a))] = find(("b", b))
         out = []
-        for _, part in g.groupby([find(("a", a)) for a in g["a"]] if len(g) else [], sort=False):
+        number: dict = {}
+        part_of = np.array([number.setdefault(find(("a", a)), len(number)) for a in g["a"]], int)
+        for k in range(len(number)):
+            part = g[part_of == k]
             rows, cols = sorted(part["a"].unique()), sorted(part["b"].unique())
             m = np.zeros((len(rows), len(cols)), np.float32)
             m[[rows.index(x) for x in part["a"]], [cols.index(x) for x in part["b"]]] = part["iou"]
