@@ -19,7 +19,7 @@ from .common import small_batches, text_or_empty, text_slices
 
 #: Bounds of the training sample: documents a language (about), characters a document, distinct stretches in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRETCHES = 300, 20_000, 60_000
-HIDDEN, EPOCHS, BATCH, RATE, LONGEST = 16, 3, 256, 0.01, 24
+HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, LONGEST = 16, 3, 300, 256, 0.01, 24
 REMEMBERED = 300_000
 UNKNOWN = "und"
 
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     n = np.array([c for _, c in top], np.float32)
     of = np.array([k for (_, k), _ in top])
     share_of = np.bincount(of, n, len(labels))
-    network.train([s for (s, _), _ in top], of, (np.sqrt(n) / np.maximum(share_of[of], 1) ** 0.5).astype(np.float32))
+    network.train([s for (s, _), _ in top], of, (np.sqrt(n) / np.maximum(share_of[of], 1) ** 0.5).astype(np.float32), max(EPOCHS, LEAST_STEPS // -(-len(top) // BATCH)))
     return network
 
 
