@@ -106,9 +106,9 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: k, n, ss_between, ss_within, f, p."""
     m = group_moments(df, group, value).withColumn("sum", F.col("n") * F.col("mean"))
-    grand = m.agg((F.sum("sum") / F.sum("n")).alias("g"))
+    grand = m.agg((F.sum("sum") / F.sum("n")).alias("_grand"))
     s = m.join(grand).agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("mean") - F.col("g")) ** 2).alias("ss_between"),
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("mean") - F.col("_grand")) ** 2).alias("ss_between"),
         F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ss_within"),
     )
     f = F.try_divide(F.try_divide(F.col("ss_between"), F.col("k") - 1), F.try_divide(F.col("ss_within"), F.col("n") - F.col("k")))

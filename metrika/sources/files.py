@@ -105,8 +105,9 @@ def contour_text(text: DataFrame) -> DataFrame:
 
 
 def measurements(spark: SparkSession, pattern: str) -> DataFrame:
-    """Measurement CSVs, one folder a category; `category` from the path."""
+    """Measurement CSVs, one folder a category; `category` from the path, nan as NULL."""
     df = spark.read.schema(schemas.MEASUREMENTS).csv(pattern, header=True)
+    df = df.withColumns({c: M.number(F.col(c)) for c in ("Length_um", "Width_um")})
     return df.withColumn("category", F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1))
 
 
