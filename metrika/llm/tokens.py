@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Fragments remembered by a worker; beyond it only those of the last batch stay. Bounds memory, never results.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Characters whose class, case and normal form are beyond doubt in any Unicode version; fragments of these alone are
+#: encoded many at a time by the merge ranks, all others one by one by the tokenizers library itself.
+PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+TOGETHER = 4000
+#: Fixed value: how the byte-level vocabulary splits a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer fragments are encoded each time.
 LONGEST = 64
 
@@ -21,10 +28,34 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Ranks:
+    """Byte-pair merging by rank. `ranks` has all single bytes and the bytes of every merge's result, in order of merging."""
+
+    def __init__(self, split: str, ranks: dict[bytes, int], ids: np.ndarray):
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+        self.ids, self.size = ids.astype("<u4"), np.zeros(len(ids), np.int64)
+        for token, r in ranks.items():
+            self.size[r] = len(token)
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the split pattern takes apart at their borders; all are merged in one go."""
+        out = []
+        for k in range(0, len(pieces), TOGETHER):
+            some = pieces[k : k + TOGETHER]
+            r = np.array(self.encoding.encode_ordinary("".join(some)), np.int64)
+            ends = np.searchsorted(np.cumsum(self.size[r]), np.cumsum([len(p.encode()) for p in some]), "left") + 1
+            raw = self.ids[r].tobytes()
+            out += [raw[4 * i : 4 * j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        return out
+
+
 class Fragments:
     """Encodes whole texts by fragments; subclasses say where a text may be cut."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core and no more
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,8 +91,8 @@ class ForcedBoundary(Fragments):
     `inside[a, b]` says whether bytes a and b stand next to each other inside any vocabulary token. Where they never do, no
     merge can join them, so the place is a certain cut. Of the certain cuts those before a space or line feed are used that
     follow another character: there the pre-tokenizer's own boundaries are the same on both sides (a piece never holds a
-    white-space character after another one; a run of white space is cut only where no merge could join it). If a
-    vocabulary does join such a pair, the text stays whole there. Decoding joins the tokens' bytes.
+    white-space character after another one; a run of white space is cut only where no merge could join it). Where the
+    vocabulary does join such a pair of bytes, the text stays whole. Decoding joins the tokens' bytes.
     """
 
     def __init__(self, path: str):
@@ -76,37 +107,94 @@ class ForcedBoundary(Fragments):
             self.bytes_of[i] = raw
             x = np.frombuffer(raw, np.uint8)
             self.inside[x[:-1], x[1:]] = True
+        ranks = {raw: i for i, raw in self.bytes_of.items()}
         special = spec.get("added_tokens") or []
         self.bytes_of |= {t["id"]: t["content"].encode() for t in special}
-        others = [b for b in range(256) if b not in b" \n"]
-        free = [c for c in " \n" if not self.inside[others, ord(c)].any()]
-        whole = any(set(t["content"]) & set(" \n") for t in special)
-        self.pattern = None
-        if free and not whole and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer"):
-            c = re.escape("".join(free))
-            self.pattern = re.compile(f"[{c}]*[^{c}]+|[{c}]+" if len(free) == 2 else r"[\s\S]+")
+        known = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer")
+        self.pattern, self.ranks = None, None
+        if not known or any(set(t["content"]) & set(" \n") for t in special):
+            return
+        self.pattern = re.compile(self.fragment_pattern())
+        vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        if all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(merges)) and all(t["content"].startswith("<|") for t in special):
+            self.ranks = Ranks(SPLIT, ranks, np.arange(len(ranks)))
+            self.plain = re.compile(rf"[ \n]+[{PLAIN}]+")
+
+    def fragment_pattern(self) -> str:
+        """A fragment: white space and what follows, on past places that are no certain cut."""
+        uncertain = [b for b in range(256) if b not in b" \n" and self.inside[b, [ord(" "), ord("\n")]].any()]
+        last = "".join(re.escape(chr(c)) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in " \n" and chr(c).encode()[-1] in uncertain)
+        on = f"(?:(?<=[{last}\U00010000-\U0010ffff])[ \n]+[^ \n]+)*" if last else ""
+        return rf"[ \n]*[^ \n]+{on}|[ \n]+"
 
     def cut(self, text: str) -> list[str]:
         return self.pattern.findall(text) if self.pattern else [text]
 
+    def learn(self, fragments: list[str]) -> None:
+        if not self.ranks:
+            return super().learn(fragments)
+        plain = [f for f in fragments if self.plain.fullmatch(f) and "<|" not in f]
+        self.known.update(zip(plain, self.ranks.encode(plain), strict=True))
+        super().learn([f for f in fragments if f not in self.known])
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 class Words(Fragments):
-    """Vocabularies whose pre-tokenizer drops white space: each stretch between spaces, tabs and line ends stands alone."""
+    """Vocabularies with word ends whose pre-tokenizer drops white space: each stretch between spaces, tabs and line ends
+    stands alone.
+
+    Plain stretches are merged by rank. The end of a word is a byte of its own there, END, that joins the byte before it
+    first of all, which gives the vocabulary's symbols with a word end; ids are looked up by rank afterwards.
+    """
+
+    END = "\x01"
 
     def __init__(self, path: str):
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = any(set(t["content"]) & set(" \t\r\n") for t in spec.get("added_tokens") or [])
+        self.ranks = None
+        model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+        fixed = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        split = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if not suffix or (spec.get("normalizer") or {}).get("normalizers") != fixed or pre[0].get("pattern") != {"Regex": split} or not all(t["content"].startswith("<|") for t in spec["added_tokens"]):
+            return
+        to_byte, end = byte_chars(), self.END.encode()
+
+        def raw(token: str) -> bytes:
+            stem = token.removesuffix(suffix)
+            return bytes(to_byte[c] for c in stem) + (end if stem != token else b"")
+
+        vocab, order = model["vocab"], {}
+        for c, b in to_byte.items():
+            order[bytes([b])] = vocab[c]
+        for c, b in to_byte.items():
+            order[bytes([b]) + end] = vocab[c + suffix]
+        for m in model["merges"]:
+            a, b = m if isinstance(m, list) else m.split(" ")
+            order.setdefault(raw(a + b), vocab[a + b])
+        self.ranks = Ranks("[^\x01]+\x01", {t: k for k, t in enumerate(order)}, np.array(list(order.values())))
+        self.plain = re.compile(f"[{PLAIN}]+")
+        letters = "a-z\u00df-\u00f6\u00f8-\u017f"
+        self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
 
     def cut(self, text: str) -> list[str]:
         if self.whole:
             return [text]
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def learn(self, fragments: list[str]) -> None:
+        if not self.ranks:
+            return super().learn(fragments)
+        plain = [f for f in fragments if self.plain.fullmatch(f) and "<|" not in f]
+        ended = [self.END.join(self.piece.findall(f.lower())) + self.END for f in plain]
+        self.known.update(zip(plain, self.ranks.encode(ended), strict=True))
+        super().learn([f for f in fragments if f not in self.known])
+
 
 @lru_cache(maxsize=4)
 def forced_boundary(path: str) -> ForcedBoundary:
