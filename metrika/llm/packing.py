@@ -131,6 +131,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
 
     kind = dict(docs.dtypes)[id_col]
     carried = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    ranked = made.join(bases, ["part", "length"]).select(*carried, (F.col("rank") + F.col("base")).alias("rank"))
+    ranked = made.join(bases.hint("merge"), ["part", "length"]).select(*carried, (F.col("rank") + F.col("base")).alias("rank"))
     out = f"id {kind}, piece int, start long, length long, ids_crc32 long, {'ids binary, ' * keep_ids}sequence_id long, offset long"
     return ranked.mapInArrow(place, out).withColumnRenamed("id", id_col)
