@@ -13,8 +13,8 @@ from ..functions import names as N
 
 #: Image extensions, and the order in which candidates for one stem are tried.
 IMAGES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
-#: Fixed value: modules of a timing log that only read or write.
-IO_MODULES = ("Images", "Metadata", "NamesAndTypes", "Groups", "LoadData", "SaveImages", "ExportToSpreadsheet", "ExportToDatabase")
+#: Fixed value: modules of a timing log that only read, write or draw.
+IO_MODULES = ("LoadData", "RescaleIntensity", "OverlayOutlines", "SaveImages")
 SHORT_IMAGES = ("jpg", "jpeg", "png", "bmp")
 
 

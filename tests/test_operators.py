@@ -110,6 +110,19 @@ def test_lookups_and_errors(spark):
     assert {r.k: r.v for r in T.keep_first(first, ["k"], ["n"]).collect()} == {"x": "f", "y": "o"}
 
 
+def test_taxonomy(spark):
+    from metrika.operators import taxonomy as Y
+
+    assert len(Y.CLASSES) == 16 and Y.axes_of("self-overlapping_tiny") == {"size": "tiny", "completeness": "complete", "occlusion": "self-overlapping"}
+    assert Y.axes_of("incomplete_curly") == {"curvature": "curly", "size": "normal", "completeness": "incomplete", "occlusion": "isolated"}
+    assert [Y.bucket_of(c)[1] for c in ("incomplete_tiny", "tiny_bent", "tiny")] == ["Overlapping", "Bent or curly", "Straight and isolated"]
+    df = spark.createDataFrame([(Y.full(c),) for c in Y.CLASSES], "category string")
+    first = T.relabel(df, "category", Y.merge_map(spark))
+    assert first.select("category").distinct().count() == 13 and T.relabel(first, "category", Y.merge_map(spark, later=True)).select("category").distinct().count() == 8
+    assert T.on_axes(df, "category", Y.axes(spark)).groupBy("axis").count().filter("axis <> 'curvature'").agg(F.min("count")).first()[0] == 16
+    assert T.bucket(df, "category", Y.buckets(spark)).count() == 16
+
+
 def test_box_stats_and_total(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double")
     got = {r.g: r for r in T.grouped(df, "g", T.box_stats("v"), "all").collect()}
