@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import measures as M
 from ..functions import names as N
 from ..operators import curation as C
+from ..operators import masks as Z
 from ..operators import matching as X
 from ..operators import tables as T
 from ..sources import files as S
@@ -582,3 +583,60 @@ def p7_k1_measurement_rows(s, d):
 def f1_suppress_boxes(s, d):
     b = boxes(s, d).withColumn("conf", F.abs(F.col("x1")) * 2)
     return X.suppress(b, "label", 0.5, 0.05).select("label", "vec_id")
+
+
+# --- mask kernels over 8 x 8 grids ------------------------------------------------------------------------------------------------
+
+
+def grids(s, d) -> DataFrame:
+    return table(s, d, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+
+
+@query("SELECT vec_id AS id, CAST(list_sum([CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding]) AS BIGINT) AS area FROM embeddings WHERE vec_id < 200")
+def g3_components(s, d):
+    return Z.component_table(grids(s, d)).groupBy("id").agg(F.sum("area").alias("area"))
+
+
+@query()
+def g5_g9_g22_shapes(s, d):
+    return Z.shape_table(grids(s, d))
+
+
+@query()
+def p18_clip_polygons(s, d):
+    ann = lines(s, d).filter("vec_id < 60").select(F.col("label").alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
+    return Z.clipped(C.roi_dataset(ann)).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
+
+
+@query()
+def g23_rasterize(s, d):
+    poly = F.transform("line", lambda p: F.struct((p["x"] * 60 + 32).alias("x"), (p["y"] * 60 + 32).alias("y")))
+    return lines(s, d).filter("vec_id < 100").select("vec_id", Z.rasterized_area(poly, 64, 64).alias("area"))
+
+
+@query()
+def p38_augment_pixels(s, d):
+    x = C.augmentation_plan(grids(s, d).withColumn("pixels", F.transform("pixels", lambda v: F.abs(v) * 400)), "id")
+    return Z.augmented(x).select("id", "aug_type", F.array_max("changed").alias("most"))
+
+
+@query("SELECT vec_id AS id, CAST(list_sum([CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding]) AS BIGINT) AS area FROM embeddings WHERE vec_id < 200")
+def p10_k4_masks_on_canvas(s, d):
+    x = grids(s, d).withColumns({"top": F.lit(2), "left": (F.col("id") % 20).cast("int"), "side": F.lit(8)})
+    return Z.on_canvas(x, 0.0, 32, 32)
+
+
+@query()
+def p40_inside_well(s, d):
+    return Z.inside_well(grids(s, d).withColumn("pixels", F.transform("pixels", lambda v: F.floor(F.abs(v) * 10000).cast("double"))))
+
+
+@query()
+def g20_g21_stitch(s, d):
+    x = lines(s, d).filter("vec_id < 60").select(F.concat(F.lit("im"), F.floor(F.col("vec_id") / 3)).alias("image"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.transform(F.slice("line", 1, 4), lambda p: F.struct((p["x"] * 100).alias("x"), (p["y"] * 100).alias("y"))).alias("line"))
+    return Z.stitched(x)
+
+
+@query()
+def g10_g17_centerlines(s, d):
+    return measure.measure(images(s, d, 12), measure.ThresholdPredictor).select("path", "length_px", "width_px", "topology", "fragments")
