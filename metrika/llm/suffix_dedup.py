@@ -14,14 +14,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty, written
 
 LENGTH, K = 200, 16
+#: A window has LENGTH - K bytes besides its minimizer: half of them at least stand before it, or after it.
+HALF = (LENGTH - K) // 2
 #: Bytes of a symbol in the transforms, bytes of a shard, bytes merged at once.
-STEP, SHARD_BYTES, MERGE_BYTES = 4, 1 << 17, 1 << 19
+STEP, SHARD_BYTES, MERGE_BYTES = 4, 1 << 14, 1 << 16
 #: Runs that share a minimizer and are more are compared window by window instead.
 GROUP = 512
 RUN_WINDOWS = 1 << 12
@@ -31,11 +33,11 @@ HASH_BYTES = 1 << 21
 # --- runs of windows with one minimizer -------------------------------------------------------------------------------
 
 
-def minimizer_runs(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows, whether the minimizer recurs inside) of the runs over all windows of data."""
+def minimizer_runs(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(minimizer, first window, windows, whether the minimizer recurs inside, its first place) of the runs over all windows."""
     n = len(data)
     if n < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool), np.empty(0, np.int64))
     buf = np.ascontiguousarray(data)
     words = np.ndarray((n - 7,), "<u8", buf, strides=(1,))
     h = words[: n - k + 1] * np.uint64(0x9E3779B97F4A7C15)
@@ -55,7 +57,8 @@ def minimizer_runs(data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[
     again = (h[: len(low) - 1] == low[:-1]) & ~new[1:]
     recurs = np.add.reduceat(np.append(again, False).astype(np.int32), first) > 0
     count = np.diff(np.append(first, len(low)))
-    return low[first].view(np.int64), first, count, recurs
+    at = np.concatenate([h[first[j : j + 4096, None] + np.arange(w)].argmin(axis=1) for j in range(0, len(first), 4096)])
+    return low[first].view(np.int64), first, count, recurs, first + at
 
 
 def text_runs(text: bytes) -> list[tuple[np.ndarray, ...]]:
@@ -63,19 +66,19 @@ def text_runs(text: bytes) -> list[tuple[np.ndarray, ...]]:
     data = np.frombuffer(text, np.uint8)
     out = []
     for at in range(0, max(1, len(data) - LENGTH + 1), HASH_BYTES):
-        key, first, count, recurs = minimizer_runs(data[at : at + HASH_BYTES + LENGTH - 1])
+        key, first, count, recurs, place = minimizer_runs(data[at : at + HASH_BYTES + LENGTH - 1])
         if len(key) and at:  # the same minimizer on both sides of the cut: each side may hold its only recurrence
             recurs[0] = True
         if len(key) and at + HASH_BYTES < len(data) - LENGTH + 1:
             recurs[-1] = True
-        first = first + at
+        first, place = first + at, place + at
         if len(count) and count.max() > RUN_WINDOWS:
             parts = -(-count // RUN_WINDOWS)
             of = np.repeat(np.arange(len(count)), parts)
             k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-            key, recurs = key[of], recurs[of] | (parts[of] > 1)
+            key, recurs, place = key[of], recurs[of] | (parts[of] > 1), place[of]
             first, count = first[of] + k * RUN_WINDOWS, np.minimum(count[of] - k * RUN_WINDOWS, RUN_WINDOWS)
-        out.append((key, first, count, recurs))
+        out.append((key, first, count, recurs, place))
     return out
 
 
@@ -184,24 +187,38 @@ def ranges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(m, s, before, after, id, row, first, windows, recurs): minimizer, hash of the bytes under each run of each document,
+    and of the half of a window's other bytes before and after the minimizer; null where no window of the run has them."""
     kind = dict(docs.dtypes)[id_col]
 
     def make(batches):
+        from xxhash import xxh3_64_intdigest
+
         for b in batches:
-            texts, cols, of, size = b.column(2), ([], [], [], []), [], 0
-            for i, x in enumerate(texts):
-                for part in text_runs(x.as_buffer()) if len(x.as_buffer()) >= LENGTH else ():
+            cols, of, hashes = ([], [], [], [], []), [], ([], [], [])
+            for i, x in enumerate(b.column(2)):
+                view = memoryview(x.as_buffer())
+                for part in text_runs(view):
                     for c, p in zip(cols, part, strict=True):
                         c.append(p)
                     of.append((i, len(part[0])))
+                    for lo, n, at in zip(part[1].tolist(), part[2].tolist(), part[4].tolist(), strict=True):
+                        hashes[0].append(xxh3_64_intdigest(view[lo : lo + n + LENGTH - 1]))
+                        hashes[1].append(xxh3_64_intdigest(view[at - HALF : at]) if at - lo >= HALF else 0)
+                        hashes[2].append(xxh3_64_intdigest(view[at + K : at + K + HALF]) if lo + n - 1 + LENGTH - at - K >= HALF else 0)
             if of:
                 at = pa.array(np.repeat([i for i, _ in of], [n for _, n in of]))
-                a = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(a[0]), b.column(0).take(at), b.column(1).take(at), pa.array(a[1]), pa.array(a[2].astype(np.int32)), pa.array(a[3])], names=["m", "id", "row", "first", "windows", "recurs"])
+                m, first, windows, recurs, _ = (np.concatenate(c) for c in cols)
+                s, before, after = (np.array(h, np.uint64).view(np.int64) for h in hashes)
+                half = lambda h: pa.array(h, mask=h == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(m), pa.array(s), half(before), half(after), b.column(0).take(at), b.column(1).take(at), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(recurs)],
+                    names=["m", "s", "before", "after", "id", "row", "first", "windows", "recurs"],
+                )
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
-    return rows.mapInArrow(make, f"m long, id {kind}, row long, first long, windows int, recurs boolean")
+    return rows.mapInArrow(make, f"m long, s long, before long, after long, id {kind}, row long, first long, windows int, recurs boolean")
 
 
 def same_neighbour(a: np.ndarray) -> np.ndarray:
@@ -211,24 +228,24 @@ def same_neighbour(a: np.ndarray) -> np.ndarray:
 
 
 def recurring(made: DataFrame) -> DataFrame:
-    """Runs whose minimizer occurs in another run or again in itself. Sorted rows are streamed; none is collected by key."""
-    schema = made.schema
-
-    def keep(batches):
-        held, hit = None, False  # the last row waits for its follower
-        for b in batches:
-            if not len(b):
-                continue
-            t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            m = t.column(0).to_numpy()
-            good = same_neighbour(m[:, None]) | t.column(5).to_numpy(zero_copy_only=False)
-            good[0] |= hit
-            yield t.slice(0, len(t) - 1).filter(pa.array(good[:-1]))
-            held, hit = t.slice(len(t) - 1), bool(good[-1])
-        if held is not None and hit:
-            yield held
+    """What recurs of the runs: `settled` where the whole run's bytes stand elsewhere under the same minimizer, hence all its
+    windows; `merged` where its bytes must be compared with different ones (one run for each different content). Equal windows
+    agree in the half before or after the minimizer, so a run that shares neither with another content has no equal window.
 
-    return made.repartition("m").sortWithinPartitions("m").mapInArrow(keep, schema)
+    One shuffle by minimizer, sorted; windows read each group in order and spill, so none is collected.
+    """
+    by_m, by_s = Window.partitionBy("m"), Window.partitionBy("m", "s")
+    x = made.repartition("m").withColumns({"n_s": F.count("*").over(by_s), "k": F.row_number().over(by_s.orderBy("id", "row", "first"))})
+    x = x.withColumns({"n_m": F.count("*").over(by_m), "different": F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(by_m)})
+    other = (F.col("k") == 1) & ((F.col("different") > 1) | (F.col("recurs") & (F.col("n_s") == 1)))
+    x = x.withColumn("other", other).filter("n_s > 1 or other")
+    mine = F.when(F.col("other"), 1)
+    x = x.withColumns({"n_b": F.count(mine).over(Window.partitionBy("m", "before")), "n_a": F.count(mine).over(Window.partitionBy("m", "after"))})
+    half = (F.col("before").isNotNull() & (F.col("n_b") > 1)) | (F.col("after").isNotNull() & (F.col("n_a") > 1))
+    x = x.withColumn("merged", F.col("other") & (half | F.max("recurs").over(by_m)))
+    large = F.sum(F.col("merged").cast("int")).over(by_m) > GROUP
+    x = x.select("m", "id", "row", "first", "windows", "recurs", (F.col("n_s") > 1).alias("settled"), "merged", large.alias("large"))
+    return x.filter("settled or merged")
 
 
 def cut_slices(rows: DataFrame, kind: str) -> DataFrame:
@@ -280,13 +297,11 @@ def settle(parts: DataFrame, kind: str) -> DataFrame:
             by: dict[bytes, list] = {}
             for x in g:
                 by.setdefault(x[5], []).append(x)
-            alone = len(by) == 1 and not any(x[4] for x in g)
             for s, rows in by.items():
-                if len(rows) > 1:
+                if len(rows) > 1:  # repeated rows of one document
                     out += [x[:4] for x in rows]
-                if not alone:
-                    todo.append(s)
-                    of.append(rows)
+                todo.append(s)
+                of.append(rows)
         for hit, rows in zip(repeated_windows(todo), of, strict=True) if todo else ():
             if len(rows) == 1:
                 lo, hi = ranges(hit)
@@ -343,19 +358,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     another; row is a hash of the text, which tells texts of one id apart.
 
     Null text is empty, and texts under LENGTH bytes have no window. Repeated rows hold each other's strings. An empty table
-    gives an empty result. Runs that share a minimizer meet in one task only up to GROUP of them; those of larger groups
-    are compared by 128-bit hashes of each window, streamed in sorted order, so no group is collected.
+    gives an empty result. Runs with equal bytes are settled by their hashes; different ones that share a minimizer are
+    merged in one task only up to GROUP of them. Those of larger groups are compared by 128-bit hashes of each window,
+    streamed in sorted order, so no group is collected.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     found = written(recurring(runs(docs, id_col, text_col)), "runs")
-    large = written(found.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("m", F.lit(True).alias("large")), "runs-large")
-    marked = found.join(large, "m", "left").select("id", "row", F.struct("m", "first", "windows", "recurs", F.coalesce("large", F.lit(False)).alias("large")).alias("run"))
-    by_doc = marked.groupBy("id", "row").agg(F.collect_list("run").alias("runs"))
+    by_doc = found.filter("merged").groupBy("id", "row").agg(F.collect_list(F.struct("m", "first", "windows", "recurs", "large")).alias("runs"))
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
     joined = rows.alias("d").join(by_doc.alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.row") == F.col("r.row"))).select("d.id", "d.row", "d.text", "r.runs")
-    return written(settle(cut_slices(joined, kind), kind), "repeated")
+    settled = found.filter("settled").select("id", "row", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
+    return written(settle(cut_slices(joined, kind), kind), "repeated").union(settled)
 
 
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
