@@ -25,7 +25,7 @@ HALF = (LENGTH - K) // 2
 #: Bytes of a symbol in the transforms, bytes of a shard, bytes merged at once.
 STEP, SHARD_BYTES, MERGE_BYTES = 4, 1 << 14, 1 << 16
 #: Runs that share a minimizer and are more are compared window by window instead.
-GROUP = 512
+GROUP = 64
 RUN_WINDOWS = 1 << 12
 HASH_BYTES = 1 << 21
 
@@ -188,7 +188,8 @@ def ranges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(m, s, before, after, id, row, first, windows, recurs): minimizer, hash of the bytes under each run of each document,
-    and of the half of a window's other bytes before and after the minimizer; null where no window of the run has them."""
+    and of the half of a window's other bytes before and after the minimizer (null where no window of the run has them);
+    place: the minimizer's first place."""
     kind = dict(docs.dtypes)[id_col]
 
     def make(batches):
@@ -208,17 +209,17 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         hashes[2].append(xxh3_64_intdigest(view[at + K : at + K + HALF]) if lo + n - 1 + LENGTH - at - K >= HALF else 0)
             if of:
                 at = pa.array(np.repeat([i for i, _ in of], [n for _, n in of]))
-                m, first, windows, recurs, _ = (np.concatenate(c) for c in cols)
+                m, first, windows, recurs, place = (np.concatenate(c) for c in cols)
                 s, before, after = (np.array(h, np.uint64).view(np.int64) for h in hashes)
                 half = lambda h: pa.array(h, mask=h == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m), pa.array(s), half(before), half(after), b.column(0).take(at), b.column(1).take(at), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(recurs)],
-                    names=["m", "s", "before", "after", "id", "row", "first", "windows", "recurs"],
+                    [pa.array(m), pa.array(s), half(before), half(after), b.column(0).take(at), b.column(1).take(at), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(recurs), pa.array(place)],
+                    names=["m", "s", "before", "after", "id", "row", "first", "windows", "recurs", "place"],
                 )
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
-    return rows.mapInArrow(make, f"m long, s long, before long, after long, id {kind}, row long, first long, windows int, recurs boolean")
+    return rows.mapInArrow(make, f"m long, s long, before long, after long, id {kind}, row long, first long, windows int, recurs boolean, place long")
 
 
 def same_neighbour(a: np.ndarray) -> np.ndarray:
@@ -230,7 +231,8 @@ def same_neighbour(a: np.ndarray) -> np.ndarray:
 def recurring(made: DataFrame) -> DataFrame:
     """What recurs of the runs: `settled` where the whole run's bytes stand elsewhere under the same minimizer, hence all its
     windows; `merged` where its bytes must be compared with different ones (one run for each different content). Equal windows
-    agree in the half before or after the minimizer, so a run that shares neither with another content has no equal window.
+    agree in the half before or after the minimizer, so a run that shares neither with another content has no equal window,
+    and of one that shares a single half only the windows lo..hi on that side can have one.
 
     One shuffle by minimizer, sorted; windows read each group in order and spill, so none is collected.
     """
@@ -241,10 +243,15 @@ def recurring(made: DataFrame) -> DataFrame:
     x = x.withColumn("other", other).filter("n_s > 1 or other")
     mine = F.when(F.col("other"), 1)
     x = x.withColumns({"n_b": F.count(mine).over(Window.partitionBy("m", "before")), "n_a": F.count(mine).over(Window.partitionBy("m", "after"))})
-    half = (F.col("before").isNotNull() & (F.col("n_b") > 1)) | (F.col("after").isNotNull() & (F.col("n_a") > 1))
-    x = x.withColumn("merged", F.col("other") & (half | F.max("recurs").over(by_m)))
+    half = lambda c, n: F.col(c).isNotNull() & (F.col(n) > 1)
+    x = x.withColumn("all", F.max("recurs").over(by_m))
+    x = x.withColumns({"b": half("before", "n_b") | F.col("all"), "a": half("after", "n_a") | F.col("all")})
+    x = x.withColumn("merged", F.col("other") & (F.col("b") | F.col("a")))
     large = F.sum(F.col("merged").cast("int")).over(by_m) > GROUP
-    x = x.select("m", "id", "row", "first", "windows", "recurs", (F.col("n_s") > 1).alias("settled"), "merged", large.alias("large"))
+    last, middle = F.col("first") + F.col("windows") - 1, F.col("place") - HALF
+    lo = F.when(F.col("b"), F.col("first")).otherwise(F.greatest("first", middle))
+    hi = F.when(F.col("a"), last).otherwise(F.least(last, middle))
+    x = x.select("m", "id", "row", "first", "windows", "recurs", (F.col("n_s") > 1).alias("settled"), "merged", large.alias("large"), lo.alias("lo"), hi.alias("hi"))
     return x.filter("settled or merged")
 
 
@@ -255,32 +262,34 @@ def cut_slices(rows: DataFrame, kind: str) -> DataFrame:
     names = ["kind", "key", "key2", "recurs", "first", "last", "slice"]
     kinds = [pa.int8(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
 
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+
     def make(batches):
         for b in batches:
+            out: list[tuple] = []
+            hot: dict[int, list[tuple[int, int]]] = {}
             for i in range(len(b)):
-                text, out, hot = b.column(2)[i].as_buffer(), [], []
-                view = memoryview(text)
+                view = memoryview(b.column(2)[i].as_buffer())
                 for r in b.column(3)[i].as_py():
-                    lo, n = r["first"], r["windows"]
-                    if not r["large"]:
-                        out.append((0, r["m"], 0, r["recurs"], lo, lo + n - 1, bytes(view[lo : lo + n + LENGTH - 1])))
+                    lo, hi = r["lo"], r["hi"]
+                    if r["large"]:
+                        for j in range(lo, hi + 1):
+                            hot.setdefault(xxh3_128_intdigest(view[j : j + LENGTH]), []).append((i, j))
                     else:
-                        hot += [(xxh3_128_intdigest(view[j : j + LENGTH]), j) for j in range(lo, lo + n)]
-                if hot:
-                    seen: dict[int, list[int]] = {}
-                    for x, j in hot:
-                        seen.setdefault(x, []).append(j)
-                    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-                    for x, at in seen.items():
-                        out.append((1, signed(x >> 64), signed(x & (1 << 64) - 1), False, at[0], at[0], None))
-                    own = np.array(sorted(j for at in seen.values() if len(at) > 1 for j in at), np.int64)
-                    if len(own):
-                        edge = np.flatnonzero(np.diff(own) != 1)
-                        lo, hi = own[np.append(0, edge + 1)], own[np.append(edge, len(own) - 1)]
-                        out += [(2, int(x), 0, False, int(x), int(y), None) for x, y in zip(lo, hi, strict=True)]
-                if out:
-                    at = pa.array([i] * len(out))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=["id", "row", *names])
+                        out.append((i, 0, r["m"], 0, r["recurs"], lo, hi, bytes(view[lo : hi + LENGTH])))
+            twice = []
+            for x, at in hot.items():  # one of each goes on; what occurs twice in the batch is settled here
+                out.append((at[0][0], 1, signed(x >> 64), signed(x & (1 << 64) - 1), False, at[0][1], at[0][1], None))
+                twice += at if len(at) > 1 else []
+            if twice:
+                t = np.array(sorted(twice), np.int64)
+                start = np.flatnonzero(np.append(True, (np.diff(t[:, 0]) != 0) | (np.diff(t[:, 1]) != 1)))
+                stop = np.append(start[1:], len(t)) - 1
+                out += [(int(i), 2, int(x), 0, False, int(x), int(y), None) for (i, x), y in zip(t[start], t[stop, 1], strict=True)]
+            for k in range(0, len(out), 4096):
+                i, *cols = zip(*out[k : k + 4096], strict=True)
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "row", *names])
 
     return rows.mapInArrow(make, f"id {kind}, row long, kind byte, key long, key2 long, recurs boolean, first long, last long, slice binary")
 
@@ -365,7 +374,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     found = written(recurring(runs(docs, id_col, text_col)), "runs")
-    by_doc = found.filter("merged").groupBy("id", "row").agg(F.collect_list(F.struct("m", "first", "windows", "recurs", "large")).alias("runs"))
+    by_doc = found.filter("merged").groupBy("id", "row").agg(F.collect_list(F.struct("m", "lo", "hi", "recurs", "large")).alias("runs"))
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
     joined = rows.alias("d").join(by_doc.alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.row") == F.col("r.row"))).select("d.id", "d.row", "d.text", "r.runs")
