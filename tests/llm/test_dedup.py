@@ -215,6 +215,16 @@ def test_bands_and_subsets():
     assert len(k[0]) == 190 and k[0] & k[1] and not k[0] & k[2]
 
 
+def test_parts_meet_whenever_eighteen_are_shared():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x = rng.integers(0, 1 << 62, (1, 20)).astype(np.uint64)
+        y = x.copy()
+        y[0, rng.choice(20, 2, replace=False)] = rng.integers(0, 1 << 62, 2).astype(np.uint64)
+        a, b = (set(passage_dedup.part_keys(np.sort(v, axis=1), 18)[0].tolist()) for v in (x, y))
+        assert len(a) == 15 and a & b
+
+
 @pytest.mark.parametrize("bucket", [1, 64])
 def test_passages(documents, prose, bucket):
     passage = prose(60, 1)
