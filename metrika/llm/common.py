@@ -43,33 +43,35 @@ def same(a: str, b: str, keys: list[str]) -> Column:
     return cond
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that can be reached.
 
-    Each round takes the smallest label among neighbours, pre-aggregated before the shuffle, then follows the label's own
-    label, so that chains shorten by halves. Labels only fall; the rounds end when none did. Self-loops are allowed; an
-    empty edge table gives an empty result.
+    Each round takes the smallest label of a label among neighbours, pre-aggregated before the shuffle, and gives it to the
+    node, to the node's label too (so that whole trees are hooked, as in FastSV), then follows the label's own label. Chains
+    of any order take a number of rounds near the logarithm of their length. Labels only fall; the rounds end when none did.
+    Self-loops are allowed; an empty edge table gives an empty result.
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(),
         "edges",
     )
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy("a").agg(F.min("component").alias("m")).select(F.col("a").alias("node"), "m")
-        )
-        low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c"))
-        to = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
+    moved = True
+    while moved:
+        to = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        far = written(labels.join(to, "component").select("node", "component", "next"), "labels-far")
+        near = both.join(far.select(F.col("node").alias("b"), "next"), "b").groupBy("a").agg(F.min("next").alias("m"))
+        low = far.join(near, far["node"] == near["a"]).select("node", "component", F.least("next", "m").alias("c"))
+        given = F.explode(F.array(
+            F.struct("node", F.col("component").alias("was"), "c"),
+            F.struct(F.col("component").alias("node"), F.lit(None).cast(labels.schema["component"].dataType).alias("was"), "c"),
+        )).alias("g")
         new = written(
-            low.join(to, "c", "left").select("node", F.least("c", F.coalesce("next", "c")).alias("component"), "was"), "labels"
+            low.select(given).groupBy("g.node").agg(F.max("g.was").alias("was"), F.min("g.c").alias("component")), "labels"
         )
         moved = not new.filter("component <> was").isEmpty()
         labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return labels
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -31,6 +31,16 @@ def test_components_chain_and_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
 
 
+def test_components_long_chains_in_any_order(spark):
+    r = random.Random(4)
+    edges, want = [], {}
+    for base, n in ((0, 3000), (10_000, 2000)):
+        order = r.sample(range(base, base + n), n)
+        edges += zip(order, order[1:], strict=False)
+        want |= dict.fromkeys(order, base)
+    assert dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect()) == want
+
+
 def test_components_empty(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
