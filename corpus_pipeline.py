@@ -21,8 +21,14 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which have no language, go; all others stay."""
-    seen = langid.identify(docs.select(F.struct(*docs.columns).alias("_all"), "text"), langid.fit(docs))
+    """Documents without a letter, which have no language, go; all others stay, whatever the network predicts.
+
+    The same holds where there was nothing to learn from and every document is unknown.
+    """
+    network = langid.fit(docs)
+    if network is None:
+        return langid.with_letters(docs)
+    seen = langid.identify(docs.select(F.struct(*docs.columns).alias("_all"), "text"), network)
     return seen.filter(F.col("lang_pred") != langid.UNKNOWN).select("_all.*")
 
 

@@ -250,3 +250,15 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
     schema = StructType([docs.schema[c] for c in rest]).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.select(*rest, text_or_empty(text_col).alias("_text")).mapInArrow(predict, schema)
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text holds a letter by the rule of stretches_of."""
+    small_batches(docs.sparkSession)
+    k = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(stretches_of(t or "")) for t in b.column(k).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -291,3 +291,12 @@ def test_pipeline(spark, documents, prose, tmp_path):
     assert seen["passages"][2].text == seen["lines"][2].text
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(seen["passages"])
+
+
+@pytest.mark.parametrize("lang,pad", [(None, 0), ("en", 21_000)])
+def test_pipeline_language_without_anything_to_learn_from(spark, documents, prose, lang, pad):
+    import corpus_pipeline as P
+
+    docs = documents([(1, prose(30, 1) + " " * pad), (2, "123 456" + " " * pad), (3, None), (4, "42 é" + " " * pad), (4, "42 é" + " " * pad)], lang)
+    out = P.language(spark, docs, "")
+    assert out.schema == docs.schema and sorted(r.doc_id for r in out.collect()) == [1, 4, 4]
