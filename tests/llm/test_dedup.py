@@ -271,3 +271,48 @@ def test_passages_every_shared_fifty_words(documents, prose):
             rows.append((2 * k + c, f"{prose(r.randint(0, 60), 900 + 2 * k + c)} {shared} {prose(r.randint(0, 60), 1900 + 2 * k + c)}".strip()))
     got = {x.doc_id for x in passage_dedup.passage_dedup(documents(rows)).collect()}
     assert got == {2 * k + 1 for k in range(12)}
+
+
+def test_passages_go_to_their_ends(documents, prose):
+    """Windows that are only similar may take two words more on each side."""
+    rows, want = [], {}
+    for g, n in enumerate((51, 60, 100)):
+        shared = prose(n, 5000 + n)
+        for i in range(10 * g, 10 * g + 8):
+            a, b = f"{prose(35 + i, 6000 + i)} before{i}", f"after{i} {prose(20 + i, 7000 + i)}"
+            rows.append((i, f"{a} {shared} {b}"))
+            if i % 10:
+                want[i] = (36 + i, 36 + i + n)
+    got = {r.doc_id: [(s.start, s.start + s.length) for s in r.spans] for r in passage_dedup.passage_dedup(documents(rows)).collect()}
+    assert set(got) == set(want)
+    for i, (start, end) in want.items():
+        [(s, e)] = got[i]
+        assert start - 2 <= s <= start and end <= e <= end + 2
+
+
+def brute_extended(h, lost, k, kept):
+    out = set()
+    for p in lost:
+        start, end = p["first"], p["first"] + p["words"]
+        for q in (q for q in kept if q["c"] == p["c"]):
+            a, b = p["first"], q["first"]
+            while a and b and h[a - 1] == k[b - 1]:
+                a, b = a - 1, b - 1
+            start = min(start, a)
+            for a, b in ((p["first"] + 24, q["first"] + 24), (p["first"] + p["words"], q["first"] + q["words"])):
+                while a < len(h) and b < len(k) and h[a] == k[b]:
+                    a, b = a + 1, b + 1
+                end = max(end, a)
+        out.add((start, end))
+    return sorted(out)
+
+
+def test_extension_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        k = rng.integers(0, int(rng.integers(1, 50)), 300).astype(np.uint64)
+        h = np.concatenate([k[100:220], rng.integers(0, 9, 40).astype(np.uint64), k[:150]])
+        h[rng.integers(0, len(h), 6)] += np.uint64(1)
+        at = lambda n: [{"c": int(rng.integers(3)), "first": int(f), "words": 24 + int(rng.integers(3))} for f in rng.integers(0, n - 30, 8)]
+        lost, kept = at(len(h)), at(len(k))
+        assert passage_dedup.extended(h, lost, k, kept) == brute_extended(h, lost, k, kept)
