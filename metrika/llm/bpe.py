@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, text_slices
+from .common import text_or_empty, text_slices
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -20,7 +20,6 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     from .tokens import forced_boundary
 
-    small_batches(docs.sparkSession)
 
     def encode(batches):
         codec = forced_boundary(path)
@@ -43,7 +42,6 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     """id and text of every row of bpe_encode's result; null ids decode to null."""
     from .tokens import forced_boundary
 
-    small_batches(encoded.sparkSession)
 
     def decode(batches):
         codec = forced_boundary(path)

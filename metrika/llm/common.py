@@ -74,13 +74,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch brings to a Python worker: rows, and bytes where the setting exists."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(now, rows) if now > 0 else rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def text_slices(batch, most: int = 4 << 20):
     """(ids, texts) of slices of an Arrow batch (id, text) of about `most` characters; a longer text stands alone."""
     ids, texts = batch.column(0), batch.column(1).to_pylist()

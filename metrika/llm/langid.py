@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, text_slices
+from .common import text_or_empty, text_slices
 
 #: Bounds of the training sample: documents a language (about), characters a document, distinct stretches in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRETCHES = 300, 20_000, 60_000
@@ -232,7 +232,6 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     Repeated rows and null ids pass through; columns of these two names are replaced. The network's size is fixed, and it
     goes to the tasks with the function.
     """
-    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
 
     def predict(batches):
@@ -254,7 +253,6 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text holds a letter by the rule of stretches_of."""
-    small_batches(docs.sparkSession)
     k = docs.columns.index(text_col)
 
     def keep(batches):

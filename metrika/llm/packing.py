@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, text_slices, written
+from .common import text_or_empty, text_slices, written
 
 CAPACITY, END = 4096, 1
 
@@ -77,7 +77,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     """
     from .tokens import words
 
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches):
