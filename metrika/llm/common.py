@@ -74,14 +74,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def text_slices(batch, most: int = 4 << 20):
-    """(ids, texts) of slices of an Arrow batch (id, text) of about `most` characters; a longer text stands alone."""
-    ids, texts = batch.column(0), batch.column(1).to_pylist()
-    at = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield ids.slice(at, k - at), texts[at:k]
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield ids.slice(at), texts[at:]
+def text_slices(batch, most: int = 1 << 20, rows: int = 64):
+    """(ids, texts) of slices of an Arrow batch (id, text) of about `most` characters; a longer text stands alone.
+
+    Texts become Python strings `rows` at a time, so that the batch is never there twice.
+    """
+    ids, at, size, texts = batch.column(0), 0, 0, []
+    for k in range(0, len(batch), rows):
+        for t in batch.column(1).slice(k, rows).to_pylist():
+            if size and size + len(t) > most:
+                yield ids.slice(at, len(texts)), texts
+                at, size, texts = at + len(texts), 0, []
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield ids.slice(at), texts

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -243,6 +244,15 @@ def edit(words, n, r):
     return out
 
 
+def test_words_of_texts():
+    texts = ["", " ", "Aa bB\n aa", "é É x\x0b\ty", "z" * 300_000 + " aa", None or "bb\xa0cc  BB"]
+    h, n = passage_dedup.word_hashes(texts)
+    words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))]
+    assert n.tolist() == [0, 0, 3, 4, 2, 2] and len(h) == len(words)
+    assert len(set(zip(h.tolist(), words, strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert all(len(x) == 0 for x in passage_dedup.word_hashes([]))
+
+
 def test_minima_are_those_of_every_paragraph():
     rng = np.random.default_rng(3)
     h, n = rng.integers(0, 40, 400).astype(np.uint64), np.array([130, 20, 0, 200, 50])
@@ -272,15 +282,27 @@ def test_alike_against_brute_force():
         word = lambda: str(r.randrange(400 if k % 3 else 6))  # noqa: B023, E731
         a = [word() for _ in range(r.randint(50, 90))]
         b = [word() for _ in range(r.randint(0, 30))] + edit(a[r.randint(0, 8) :], r.randint(0, 2), r) + [word() for _ in range(r.randint(0, 30))]
-        for off in range(-10, 40, 5):
-            got = passage_dedup.alike(code(a), code(b), off)
-            want = [s for s, t in similar_windows(a, b) if t == s + off] if len(b) >= 50 else []
-            if k % 3:
-                assert bool(got) == bool(want)
+        want, found = similar_windows(a, b), []
+        for off in range(-40, 40):
+            got = passage_dedup.alike(passage_dedup.grams(code(a), 5), passage_dedup.grams(code(b), 5), off)
+            here = [s for s, t in want if t == s + off]
+            assert bool(here) or not got or not k % 3
             for s, e, t, u in got:
                 assert 0 <= s < e <= len(a) and 0 <= t < u <= len(b)
-            for s in want:
-                assert any(x <= s + 9 and s + 41 <= y for x, y, _, _ in got) or not k % 3
+            found += got
+        for s, _ in want if k % 3 else []:
+            assert any(x <= s + 9 and s + 41 <= y for x, y, _, _ in found)
+
+
+def test_keys_of_runs():
+    h = np.random.default_rng(1).integers(0, 9, 300).astype(np.uint64)
+    at = np.arange(256)
+    one, two = passage_dedup.runs_at(h, at, at + 45), passage_dedup.runs_at(np.concatenate([h[100:], h]), at + 200, at + 245)
+    assert (one == two).all() and len(set(one.tolist())) == len({tuple(h[k : k + 45]) for k in at})
+    at, reach, key = passage_dedup.enough_keys(h)
+    assert all(any(s <= p <= s + 5 for p in at) for s in range(251))
+    at, reach, _ = passage_dedup.enough_keys(np.full(300, 7, np.uint64))
+    assert at.tolist() == [0] and reach.tolist() == [255]
 
 
 @pytest.mark.parametrize("bucket", [1, 16])
