@@ -1,5 +1,6 @@
 """Schemas of the tables that are read and written, as Spark DDL."""
 
+# Column and field names.
 POINT = "struct<x:double,y:double>"
 MEASUREMENTS = (
     "Filename string, Date string, Metadata_Experiment string, Metadata_Plate string, Magnification string, Metadata_Well string,"

@@ -113,10 +113,18 @@ def test_lookups_and_errors(spark):
 def test_taxonomy(spark):
     from metrika.operators import taxonomy as Y
 
-    assert len(Y.CLASSES) == 16 and Y.axes_of("self-overlapping_tiny") == {"size": "tiny", "completeness": "complete", "occlusion": "self-overlapping"}
-    assert Y.axes_of("incomplete_curly") == {"curvature": "curly", "size": "normal", "completeness": "incomplete", "occlusion": "isolated"}
-    assert [Y.bucket_of(c)[1] for c in ("incomplete_tiny", "tiny_bent", "tiny")] == ["Overlapping", "Bent or curly", "Straight and isolated"]
-    df = spark.createDataFrame([(Y.full(c),) for c in Y.CLASSES], "category string")
+    assert len(Y.CLASSES) == 16 and Y.axes_of("self-overlapping_tiny_worm") == {"size": "tiny", "completeness": "complete", "occlusion": "self-overlapping"}
+    assert Y.axes_of("incomplete_curly_worm") == {"curvature": "curly", "size": "normal", "completeness": "incomplete", "occlusion": "isolated"}
+    assert [Y.bucket_of(c)[1] for c in ("incomplete_tiny_worm", "tiny_bent_worm", "tiny_worm")] == ["Overlapping", "Bent or curly", "Straight and isolated"]
+    # Groups of the axes and buckets.
+    of = lambda axis, group: {c for c in Y.CLASSES if Y.axes_of(c).get(axis) == group}
+    assert of("curvature", "bent") == {"bent_worm", "tiny_bent_worm"} and of("curvature", "straight") == {"straight_worm"}
+    assert of("curvature", "curly") == {"curly_worm", "curly_tiny_worm", "incomplete_curly_worm", "overlapping_curly_worm", "overlapping_curly_tiny_worm"}
+    assert of("completeness", "incomplete") == {"incomplete_worm", "incomplete_curly_worm", "incomplete_tiny_worm", "overlapping_incomplete_worm"}
+    assert of("occlusion", "self-overlapping") == {"self-overlapping_worm", "self-overlapping_tiny_worm"}
+    assert of("size", "tiny") == {"tiny_worm", "tiny_bent_worm", "curly_tiny_worm", "incomplete_tiny_worm", "overlapping_tiny_worm", "overlapping_curly_tiny_worm", "self-overlapping_tiny_worm"}
+    assert {c for c in Y.CLASSES if Y.bucket_of(c)[1] == "Bent or curly"} == {"bent_worm", "tiny_bent_worm", "curly_worm", "curly_tiny_worm"}
+    df = spark.createDataFrame([(c,) for c in Y.CLASSES], "category string")
     first = T.relabel(df, "category", Y.merge_map(spark))
     assert first.select("category").distinct().count() == 13 and T.relabel(first, "category", Y.merge_map(spark, later=True)).select("category").distinct().count() == 8
     assert T.on_axes(df, "category", Y.axes(spark)).groupBy("axis").count().filter("axis <> 'curvature'").agg(F.min("count")).first()[0] == 16
