@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a fresh local one only where none is set (tests, one machine)."""
+    """The shared folder that the session names. Where none is set, a fresh local one on one machine; an error on a cluster."""
     named = spark.sparkContext.getConf().get(SETTING) or getattr(spark.sparkContext, "_metrika_dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="metrika-")
         spark.sparkContext._metrika_dir = named
     return named.rstrip("/")
@@ -35,6 +38,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that none can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def same(a: str, b: str, keys: list[str]) -> Column:
     """Null-safe equality of the columns keys of the aliases a and b."""
     cond = F.lit(True)

@@ -200,16 +200,19 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_stretches: int = SAMPLE_STRETCHES) -> Network | None:
     """Trains on a bounded sample of the labelled rows that aren't held out; None if there are none.
 
-    About sample_docs rows a label, chosen by a hash of the id among texts of up to sample_chars characters; of their
-    distinct stretches at most sample_stretches, by frequency. The driver gets that sample alone.
+    About sample_docs rows of every label, chosen by a hash of the id, and of a longer text the sample_chars characters from
+    a place chosen by that hash; of their distinct stretches at most sample_stretches, by frequency. The driver gets that
+    sample and the number of rows of each label alone. Null texts and labels are left out.
     """
-    rows = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text is not null and label is not null").filter(F.char_length("text") <= sample_chars)
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(100).collect()}
+    rows = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text is not null and label is not null")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, sample_docs / n))))
     chosen = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.element_at(share, F.col("label")) * (1 << 30)
-    sample = rows.filter(F.col("label").isin(list(counts))).filter(chosen).limit(2 * sample_docs * len(counts)).collect()
+    begin = F.pmod(F.xxhash64("id", F.lit(4)), F.greatest(F.lit(1), F.char_length("text") - sample_chars + 1)).cast("int")
+    piece = rows.filter(chosen).select("label", F.substring("text", begin + 1, F.lit(sample_chars)).alias("text"))
+    sample = piece.limit(2 * sample_docs * len(counts)).collect()
     labels = sorted(counts)
     found: Counter[tuple[bytes, int]] = Counter()
     for r in sample:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, whole_row, written
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 SPACE = " \t\n\x0b\x0c\r"
@@ -73,12 +73,19 @@ def kept_lines(lines: Column, drops: Column) -> Column:
 
 
 def without_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns _n_lines, _n_dropped and _kept (the text without the dropped lines) beside its own."""
-    text = text_or_empty(text_col)
-    rows = docs.withColumn("_row", F.xxhash64(text))
-    d = drops.select(F.col(id_col).alias("_id"), F.col("row").alias("_r"), F.col("drops").alias("_drops"))
-    rows = rows.join(d, rows[id_col].eqNullSafe(d["_id"]) & (rows["_row"] == d["_r"]), "left")
-    lines = F.split(text_or_empty(text_col), "\n", -1)
-    n = F.coalesce(F.aggregate("_drops", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
-    kept = F.when(F.col("_drops").isNull(), text_or_empty(text_col)).otherwise(F.array_join(kept_lines(lines, F.col("_drops")), "\n"))
-    return rows.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": n.cast("long"), "_kept": kept}).drop("_row", "_id", "_r", "_drops")
+    """docs with the columns _n_lines, _n_dropped and _kept (the text without the dropped lines) beside its own.
+
+    Columns of docs may have any other names; those of these three are replaced. Null text counts as one empty line and its
+    _kept is empty. Repeated rows and null ids keep their own row each. An empty table gives an empty result, and drops
+    without rows leave all lines. A text of any length is one row and never spread out into lines.
+    """
+    made = ("_n_lines", "_n_dropped", "_kept")
+    rows = docs.select(whole_row(docs).alias("all"), F.xxhash64(text_or_empty(text_col)).alias("row")).alias("d")
+    f = drops.select(F.col(id_col).alias("id"), "row", "drops").alias("f")
+    rows = rows.join(f, F.col("d.all")[id_col].eqNullSafe(F.col("f.id")) & (F.col("d.row") == F.col("f.row")), "left")
+    text = F.coalesce(F.col("d.all")[text_col].cast("string"), F.lit(""))
+    lines = F.split(text, "\n", -1)
+    n = F.coalesce(F.aggregate("f.drops", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
+    kept = F.when(F.col("f.drops").isNull(), text).otherwise(F.array_join(kept_lines(lines, F.col("f.drops")), "\n"))
+    own = [F.col("d.all")[c].alias(c) for c in docs.columns if c not in made]
+    return rows.select(*own, F.size(lines).cast("long").alias(made[0]), n.cast("long").alias(made[1]), kept.alias(made[2]))

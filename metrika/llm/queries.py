@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, line_dedup, packing, passage_dedup, simhash, suffix_dedup, topk, warc
 
-TOKENIZERS = "/opt/tokenizers"
-BYTE_BPE, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

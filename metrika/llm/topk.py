@@ -6,12 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import written
 
-QUERIES_A_BLOCK, CANDIDATES_A_BLOCK, QUERIES_AT_ONCE = 2048, 4096, 256
-#: Parts of the lists that are read before each look at the bounds.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
+QUERIES_A_BLOCK, CANDIDATES_A_BLOCK = 2048, 4096
+#: Entries of each list that are read before the first look at the bounds; then as many again as were read so far.
+FIRST_READ = 64
+#: Candidates still in question whose scores are resolved at once, as a multiple of k.
+RESOLVED = 16
 
 
 def exact_kind(q: np.ndarray, x: np.ndarray):
@@ -20,49 +23,54 @@ def exact_kind(q: np.ndarray, x: np.ndarray):
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def nra(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> list[np.ndarray]:
-    """For each query the rows of x with the k highest inner products, ties to the smaller row; own: a row to leave out, or -1.
+def nra(q: np.ndarray, x: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
+    """For each query the rows of x with the k highest inner products, ties to the smaller row, and the entries read in all;
+    the rows from first to last (left out) are none of the query's.
 
-    A list for each dimension holds the candidates by value; a query reads it from the top where its weight is positive, else
-    from the bottom. After each stretch the entries read give every candidate a lower bound (unread entries count as the
-    list's last value) and an upper bound (as the value just read). A query stops once no outsider's upper bound reaches the
-    k-th lower bound and few insiders are left, whose final scores are then resolved; at full depth the bounds meet.
+    A list for each dimension holds the candidates by value; a query reads it from the end where its weight counts most, a
+    stretch at a time. What was read of a candidate is summed up. Its score is at least that sum with the far end of all lists
+    where it wasn't met, and at most the sum with the values just read there. A query stops once the unread candidates and all
+    but a few of those read can't reach the k-th lower bound; the final scores of these few are then resolved.
     """
-    n, kind = len(x), exact_kind(q, x)
+    n, dims, kind = *x.shape, exact_kind(q, x)
     q, x = q.astype(kind), x.astype(kind)
-    plus = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
-    order = np.argsort(-x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
+    order = np.argsort(-x, axis=0, kind="stable").astype(np.int32)
     lists = np.take_along_axis(x, order, axis=0)
     least = -np.inf if kind != np.int64 else np.iinfo(np.int64).min
-    best: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-    todo, k = np.arange(len(q)), min(k, n)
-    for depth in depths:
-        t = n if depth >= 1 else max(1, int(n * depth))
-        top, bottom = rank < t, rank >= n - t
-        low = np.concatenate([np.where(top, x, lists[-1]), np.where(bottom, x, lists[0])], axis=1).T
-        high = np.concatenate([np.where(top, x, lists[t - 1]), np.where(bottom, x, lists[n - t])], axis=1).T if t < n else low
-        left = []
-        for at in range(0, len(todo), QUERIES_AT_ONCE):
-            some = todo[at : at + QUERIES_AT_ONCE]
-            lower = plus[some] @ low
-            upper = plus[some] @ high if t < n else lower
-            mine = np.flatnonzero(own[some] >= 0)
-            lower[mine, own[some][mine]] = least
-            bound = np.partition(lower, n - k, axis=1)[:, n - k]
-            for r, i in enumerate(some):
-                inside = np.flatnonzero(upper[r] >= bound[r])
-                inside = inside[inside != own[i]]
-                if t < n and len(inside) > 16 * k:
-                    left.append(i)
+    best, entries = [], 0
+    for w, start, stop in zip(q, first, last, strict=True):
+        down, used = w < 0, np.flatnonzero(w)
+        wanted = min(k, n - (stop - start))
+        far = np.where(down, w * lists[0], w * lists[-1])
+        total, low = np.zeros(n, kind), np.full(n, far.sum(), kind)
+        met = np.zeros((n, dims), bool)
+        seen, t, some = np.zeros(n, bool), 0, np.arange(n)
+        seen[start:stop] = True
+        while wanted > 0 and t < n:
+            till = min(n, max(FIRST_READ, 2 * t))
+            for d in used:
+                at = slice(n - till, n - t) if down[d] else slice(t, till)
+                who = order[at, d]
+                got = w[d] * lists[at, d]
+                total[who] += got
+                low[who] += got - far[d]
+                met[who, d] = seen[who] = True
+            entries, t = entries + (till - t) * len(used), till
+            front = np.where(down, w * lists[n - t], w * lists[t - 1])
+            low[start:stop] = least
+            bound = np.partition(low, n - wanted)[n - wanted]
+            some = np.flatnonzero(low >= bound) if t == n else np.flatnonzero(seen)
+            some = some[(some < start) | (some >= stop)]
+            if t < n:
+                if front.sum() >= bound and not seen.all():
                     continue
-                final = x[inside] @ q[i]
-                best[i] = inside[np.lexsort((inside, -final))[:k]]
-        todo = np.array(left, np.int64)
-        if not len(todo):
-            break
-    return best
+                some = some[total[some] + front.sum() - met[some] @ front >= bound]
+                if len(some) <= RESOLVED * k:
+                    break
+        some = some[(some < start) | (some >= stop)]
+        final = x[some] @ w
+        best.append(some[np.lexsort((some, -final))[:wanted]])
+    return best, entries
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -81,7 +89,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     returns k rows a query, and these partial lists are ranked in a second step. No block grows with the data; the number of
     block pairs does, as the search demands. Vectors that are null or hold null or non-finite components take no part; those
     of another length than the query's are no candidates of it. Rows with a null id take no part. Rows that repeat id and
-    vector count once. No queries or no candidates give no rows. Other columns are never read.
+    vector count once; rows of one id with different vectors are queries of their own, with k rows each, and candidates of
+    their own for other ids. No queries or no candidates give no rows. Other columns are never read.
     """
     rows = written(integer_vectors(vectors, id_col, vector_col, scale).filter("id is not null"), "vectors")
     n = rows.count()
@@ -103,23 +112,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
             ids, m = ids[np.sort(once)], m[np.sort(once)]
         return ids, m
 
-    kinds = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+    kinds = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         (qi, qv), (ci, cv) = arrays(left), arrays(right)
         if not len(qi) or not len(ci):
             return kinds.empty_table()
-        at = np.searchsorted(ci, qi)
-        own = np.where(ci[np.minimum(at, len(ci) - 1)] == qi, at, -1)
-        found = nra(qv, cv, own, k)
+        found, _ = nra(qv, cv, np.searchsorted(ci, qi), np.searchsorted(ci, qi, "right"), k)
         picked = np.concatenate(found)
         of = np.repeat(np.arange(len(qi)), [len(f) for f in found])
         score = np.einsum("ij,ij->i", qv[of], cv[picked]) if len(of) else np.empty(0, np.int64)
-        out = ci[picked] != qi[of]
-        return pa.Table.from_arrays([pa.array(qi[of][out]), pa.array(ci[picked][out]), pa.array(score[out].astype(np.int64))], schema=kinds)
+        asked = np.array([xxh3_64_intdigest(v.tobytes()) for v in qv], np.uint64).view(np.int64)
+        return pa.Table.from_arrays([pa.array(qi[of]), pa.array(asked[of]), pa.array(ci[picked]), pa.array(score.astype(np.int64))], schema=kinds)
 
     keys = ["dim", "qb", "cb"]
-    part = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, "query_id long, id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    part = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, "query_id long, asked long, id long, score long")
+    w = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "id")
     ranked = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -69,6 +69,14 @@ def test_exact_dedup_nulls_repeats_and_names(spark, documents):
     assert exact_dedup.exact_dedup(documents([]), digest_all=True).count() == 0
 
 
+def test_lines_beside_columns_of_any_name(documents):
+    line = "a line of more than forty characters, many times"
+    df = documents([(i, f"own {i}\n{line}") for i in range(6)]).withColumnsRenamed({"lang": "row", "source": "drops", "n_chars": "_row"}).selectExpr("*", "1 AS all", "'x' AS _drops", "2 AS id")
+    got = line_dedup.without_lines(df, line_dedup.line_dedup(df))
+    assert got.columns == [*df.columns, "_n_lines", "_n_dropped", "_kept"]
+    assert sorted((r.doc_id, r.row, r.all, r._drops, r._row, r._n_dropped) for r in got.collect()) == [(i, "en", 1, "x", len(f"own {i}\n{line}"), int(i < 5)) for i in range(6)]
+
+
 def brute_lines(rows, least_chars=40, least_docs=5):
     space, where = " \t\n\x0b\x0c\r", defaultdict(set)
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -50,13 +50,32 @@ def test_top_k_few_and_none(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
-def test_nra_stops_early_and_is_exact():
+@pytest.mark.parametrize("scale", [1, 1 << 30])
+def test_nra_reads_a_part_of_the_lists_and_is_exact(scale):
     rng = np.random.default_rng(4)
-    x = (rng.pareto(1.0, (500, 6)) * 50).astype(np.int64)
-    q = np.array([[9, 0, 0, 0, 0, 0], [1, -2, 3, 0, 5, 1]])
-    for found, w in zip(topk.nra(q, x, np.array([-1, -1]), 5), q, strict=True):
-        s = x @ w
-        assert found.tolist() == np.lexsort((np.arange(500), -s))[:5].tolist()
+    x = (rng.pareto(1.0, (3000, 6)) * 50).astype(np.int64) * scale
+    x[100:200] = x[100]
+    for w in ([9, 0, 0, 0, 0, 0], [1, -2, 3, 0, 5, 1], [0] * 6, [-1, -1, -1, -1, -1, -1], [4, 1, 0, 0, 0, 0]):
+        for start, stop in ((0, 0), (100, 103), (7, 8)):
+            [found], entries = topk.nra(np.array([w]), x, np.array([start]), np.array([stop]), 5)
+            score = x @ np.array(w)
+            order = [i for i in np.lexsort((np.arange(3000), -score)) if not start <= i < stop]
+            assert found.tolist() == order[:5]
+            if sorted(w)[-2] <= 1 and any(w):
+                assert entries < 3000 * np.count_nonzero(w) * (0.1 if max(w) == 9 else 1)
+
+
+def test_top_k_repeated_ids(spark):
+    r = random.Random(3)
+    rows = [(50, [r.random() for _ in range(4)]) for _ in range(4)] + [(i, [r.random() for _ in range(4)]) for i in range(1, 10)] + [(3, [9.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("id") % 50 == 0).collect()
+    ints = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    want = []
+    for _, q in ints[:4]:
+        s = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in ints if i != 50)[:5]
+        want += [(50, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    assert sorted(tuple(x) for x in got) == sorted(want) and len(got) == 20
 
 
 # --- WARC -------------------------------------------------------------------------------------------------------------
