@@ -1,31 +1,34 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads stretches of bytes without white space (at most LONGEST bytes; longer ones are cut), forwards and
-backwards, and gives every byte position a distribution over the languages. A document's distribution pools the log
-probabilities of all positions of its whole text. As the state starts anew with each stretch, a stretch's sum over its
-positions is the same wherever it stands and is remembered by the worker: most of a text costs a look-up.
+The whole text is read as UTF-8 bytes, white space, digits and signs included, in windows of SPAN bytes. Within a window the
+network carries its state from byte to byte, forwards and backwards, and gives every byte position a distribution over the
+languages. A document's distribution pools the log probabilities of all its positions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import text_or_empty, text_slices
+from .common import text_slices
 
-#: Bounds of the training sample: documents a language (about), characters a document, distinct stretches in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRETCHES = 300, 20_000, 60_000
-HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, LONGEST = 16, 3, 300, 256, 0.01, 24
-REMEMBERED = 300_000
+#: Bytes of a window; windows that are read at once.
+SPAN, AT_ONCE = 128, 4096
+#: Bounds of the training sample: documents a language (about), characters a document, windows of TRAIN_SPAN bytes a language.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 300, 20_000, 2000
+TRAIN_SPAN, HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE = 64, 16, 2, 120, 128, 0.02
 UNKNOWN = "und"
+LETTER = re.compile(r"[^\W\d_]")
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 class Gru:
@@ -39,18 +42,22 @@ class Gru:
             "u": (rng.normal(0, 1, (hidden, 3 * hidden)) / np.sqrt(hidden)).astype(np.float32),
         }
 
-    def run(self, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
-        """States (time, batch, hidden) of bytes x (time, batch); positions that aren't live keep the state."""
+    def run(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States (time, batch, hidden) of bytes x (time, batch), and what back() needs of every step if it is to be kept."""
         n, w, u = self.n, self.p["w"] + self.p["b"], self.p["u"]
-        h, out, kept = np.zeros((x.shape[1], n), np.float32), np.empty((*x.shape, n), np.float32), []
+        gates, candidate = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
+        h, kept = np.zeros((x.shape[1], n), w.dtype), []
+        out = np.empty((*x.shape, n), w.dtype)
         for t in range(len(x)):
             a = w[x[t]]
-            g = sigmoid(a[:, : 2 * n] + h @ u[:, : 2 * n])
+            g = np.tanh((a[:, : 2 * n] + h @ gates) / 2)
+            g += 1
+            g /= 2
             z, r = g[:, :n], g[:, n:]
-            c = np.tanh(a[:, 2 * n :] + (r * h) @ u[:, 2 * n :])
-            m = live[t][:, None]
-            kept.append((h, z, r, c, m))
-            h = h + m * z * (c - h)
+            c = np.tanh(a[:, 2 * n :] + (r * h) @ candidate)
+            if keep:
+                kept.append((h, z, r, c))
+            h = h + z * (c - h)
             out[t] = h
         return out, kept
 
@@ -60,22 +67,31 @@ class Gru:
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         dh = np.zeros_like(d_out[0])
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, c, m = kept[t]
+            h, z, r, c = kept[t]
             dh = dh + d_out[t]
-            step = dh * m
-            dc = step * z * (1 - c * c)
-            dz = step * (c - h) * z * (1 - z)
+            dc = dh * z * (1 - c * c)
+            dz = dh * (c - h) * z * (1 - z)
             drh = dc @ u[:, 2 * n :].T
             dr = drh * h * r * (1 - r)
             da = np.concatenate([dz, dr, dc], axis=1)
             np.add.at(g["w"], x[t], da)
             g["u"][:, : 2 * n] += h.T @ da[:, : 2 * n]
             g["u"][:, 2 * n :] += (r * h).T @ dc
-            dh = dh - step * z + drh * r + da[:, : 2 * n] @ u[:, : 2 * n].T
+            dh = dh - dh * z + drh * r + da[:, : 2 * n] @ u[:, : 2 * n].T
         g["b"] = g["w"].sum(axis=0)
         return g
 
 
+def windows_of(raws: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes (window, span) filled up with zeros, bytes of each window, text of each window) of all whole texts."""
+    n = np.array([-(-len(r) // span) for r in raws], np.int64)
+    x = np.frombuffer(b"".join(r.ljust(k * span, b"\0") for r, k in zip(raws, n.tolist(), strict=True)), np.uint8).reshape(-1, span)
+    size = np.full(len(x), span)
+    last = np.cumsum(n)[n > 0] - 1
+    size[last] = [(len(r) - 1) % span + 1 for r in raws if r]
+    return x, size, np.repeat(np.arange(len(raws)), n)
+
+
 class Network:
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -83,126 +99,86 @@ class Network:
         self.p = {"v": rng.normal(0, 0.1, (2 * hidden, len(labels))).astype(np.float32), "c": np.zeros(len(labels), np.float32)}
 
     @staticmethod
-    def padded(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes (time, batch) from the front, the same reversed, and which positions hold a byte."""
-        size = np.array([len(s) for s in stretches])
-        longest = int(size.max())
-        x = np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in stretches), np.uint8).reshape(len(stretches), longest).T
-        at = np.arange(longest)[:, None]
-        return x, x[np.where(at < size, size - 1 - at, at), np.arange(len(stretches))], (at < size).astype(np.float32)
-
-    def states(self, x, y, live):
-        f, kept_f = self.forward.run(x, live)
-        b, kept_b = self.backward.run(y, live)
-        size = live.sum(axis=0).astype(int)
-        at = np.arange(len(x))[:, None]
-        turn = (np.where(at < size, size - 1 - at, at), np.arange(x.shape[1]))
-        s = np.concatenate([f, b[turn]], axis=2)
-        logit = s @ self.p["v"] + self.p["c"]
+    def turned(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes (time, window) from the front, the same from the back of each window, where each position stands from the
+        back, and which positions hold a byte. Positions without one come last in both, so no state passes through them."""
+        at = np.arange(x.shape[1])[:, None]
+        turn = np.where(at < size, size - 1 - at, at)
+        x = np.ascontiguousarray(x.T)
+        return x, np.take_along_axis(x, turn, axis=0), turn, at < size
+
+    def log_probabilities(self, f: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """(time, window, language) from the states of both directions, b in its own order."""
+        n, v = self.forward.n, self.p["v"]
+        logit = f @ v[:n] + np.take_along_axis(b @ v[n:], turn[:, :, None], axis=0) + self.p["c"]
         logit -= logit.max(axis=2, keepdims=True)
-        return s, logit - np.log(np.exp(logit).sum(axis=2, keepdims=True)), turn, kept_f, kept_b
-
-    def sums(self, stretches: list[bytes]) -> np.ndarray:
-        """Log probabilities (stretch, language), summed over positions, and in the last column the positions."""
-        out = np.zeros((len(stretches), len(self.labels) + 1), np.float32)
-        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
-        for k in range(0, len(order), 2048):
-            some = order[k : k + 2048]
-            x, y, live = self.padded([stretches[i] for i in some])
-            _, logp, *_ = self.states(x, y, live)
-            out[some, :-1] = (logp * live[:, :, None]).sum(axis=0)
-            out[some, -1] = live.sum(axis=0)
+        return logit - np.log(np.exp(logit).sum(axis=2, keepdims=True))
+
+    def sums(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log probabilities (window, language), summed over the positions of each window."""
+        out = np.zeros((len(x), len(self.labels)))
+        for k in range(0, len(x), AT_ONCE):
+            x_t, y_t, turn, live = self.turned(x[k : k + AT_ONCE], size[k : k + AT_ONCE])
+            logp = self.log_probabilities(self.forward.run(x_t)[0], self.backward.run(y_t)[0], turn)
+            out[k : k + AT_ONCE] = (logp * live[:, :, None]).sum(axis=0)
         return out
 
-    def train(self, stretches: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 8) -> None:
+    def read(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """The language and its pooled probability for every whole text; ties go to the first label."""
+        some = [k for k, t in enumerate(texts) if has_letter(t)]
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        raws = [texts[k].encode() for k in some]
+        total = np.zeros((len(raws), len(self.labels)))
+        x, size, of = windows_of(raws, SPAN)
+        np.add.at(total, of, self.sums(x, size))
+        for k, r, s in zip(some, raws, total, strict=True):
+            p = np.exp((s - s.max()) / len(r))
+            names[k], scores[k] = self.labels[int(p.argmax())], float(p.max() / p.sum())
+        return names, scores
+
+    def gradients(self, x: np.ndarray, size: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+        """Of the cross-entropy of every position, weighted by window, for the parameters in the order of parameters()."""
+        x_t, y_t, turn, live = self.turned(x, size)
+        (f, kept_f), (b, kept_b) = self.forward.run(x_t, True), self.backward.run(y_t, True)
+        d = np.exp(self.log_probabilities(f, b, turn))
+        d[:, np.arange(len(x)), labels] -= 1
+        d *= (live * weights)[:, :, None].astype(d.dtype)
+        back, n, v = np.take_along_axis(d, turn[:, :, None], axis=0), self.forward.n, self.p["v"]
+        own = np.concatenate([np.einsum("tbi,tbj->ij", f, d), np.einsum("tbi,tbj->ij", b, back)])
+        g_f, g_b = self.forward.back(x_t, kept_f, d @ v[:n].T), self.backward.back(y_t, kept_b, back @ v[n:].T)
+        return [own, d.sum(axis=(0, 1)), *(g_f[k] for k in self.forward.p), *(g_b[k] for k in self.backward.p)]
+
+    def parameters(self) -> list[tuple[dict, str]]:
+        return [(self.p, k) for k in ("v", "c")] + [(d.p, k) for d in (self.forward, self.backward) for k in d.p]
+
+    def train(self, x: np.ndarray, size: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 8) -> None:
         """Adam on the cross-entropy of every position."""
-        rng, params = np.random.default_rng(seed), [(self.p, k) for k in self.p] + [(d.p, k) for d in (self.forward, self.backward) for k in d.p]
+        rng, params = np.random.default_rng(seed), self.parameters()
         mean, square = [np.zeros_like(o[k]) for o, k in params], [np.zeros_like(o[k]) for o, k in params]
-        size, step = np.array([len(s) for s in stretches]), 0
-        total = max(1, epochs * -(-len(stretches) // batch))
+        total, step = max(1, epochs * -(-len(x) // batch)), 0
         for _ in range(epochs):
-            order = rng.permutation(len(stretches))
-            order = order[np.argsort(size[order] // 3, kind="stable")]
-            cuts = [order[k : k + batch] for k in range(0, len(order), batch)]
-            for j in rng.permutation(len(cuts)):
-                some, step = cuts[j], step + 1
-                x, y, live = self.padded([stretches[i] for i in some])
-                s, logp, turn, kept_f, kept_b = self.states(x, y, live)
-                w = live * weights[some]
-                w /= w.sum()
-                d = np.exp(logp)
-                d[:, np.arange(len(some)), labels[some]] -= 1
-                d *= w[:, :, None]
-                ds = d @ self.p["v"].T
-                n = self.forward.n
-                db = np.zeros_like(ds[:, :, n:])
-                db[turn] = ds[:, :, n:]
-                f, b = self.forward.back(x, kept_f, ds[:, :, :n]), self.backward.back(y, kept_b, db)
-                grads = [np.einsum("tbi,tbj->ij", s, d), d.sum(axis=(0, 1)), *(f[k] for k in self.forward.p), *(b[k] for k in self.backward.p)]
+            order = rng.permutation(len(x))
+            for j in range(0, len(order), batch):
+                some, step = order[j : j + batch], step + 1
+                w = weights[some] / (weights[some] * size[some]).sum()
                 lr = rate * min(1, 2 * (1 - (step - 1) / total)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for (o, k), g, m, v in zip(params, grads, mean, square, strict=True):
+                for (o, k), g, m, q in zip(params, self.gradients(x[some], size[some], labels[some], w), mean, square, strict=True):
                     m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    o[k] -= (lr * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-
-
-def stretches_of(text: str) -> list[str]:
-    """The stretches of the whole text that hold a letter."""
-    return [w for w in text.split() if any(map(str.isalpha, w))] if not text.isascii() else [w for w in text.split() if w.upper() != w.lower()]
-
-
-def cut(word: str) -> list[bytes]:
-    raw = word.encode()
-    return [raw[k : k + LONGEST] for k in range(0, len(raw), LONGEST)]
-
-
-class Reader:
-    """Document distributions, with the sums of known stretches remembered."""
-
-    def __init__(self, network: Network):
-        self.network, self.at = network, {}
-        self.rows = np.zeros((0, len(network.labels) + 1), np.float32)
-
-    def learn(self, words: list[str]) -> None:
-        parts = [cut(w) for w in words]
-        sums = self.network.sums([p for c in parts for p in c])
-        first = np.cumsum([0, *(len(c) for c in parts)])[:-1]
-        new = np.add.reduceat(sums, first, axis=0)
-        self.at.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.rows = np.concatenate([self.rows, new])
-
-    def read(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        words = [stretches_of(t) for t in texts]
-        used: set[str] = set().union(*words) if words else set()
-        if len(self.at) + len(used) > REMEMBERED:
-            self.at, self.rows = {}, self.rows[:0]
-        if new := list(used - self.at.keys()):
-            self.learn(new)
-        names, scores = [], []
-        for w in words:
-            if not w:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            s = self.rows[np.fromiter(map(self.at.__getitem__, w), np.int64, len(w))].sum(axis=0, dtype=np.float64)
-            p = s[:-1] / s[-1]
-            p = np.exp(p - p.max())
-            k = int(p.argmax())
-            names.append(self.network.labels[k])
-            scores.append(float(p[k] / p.sum()))
-        return names, scores
+                    q += 0.001 * (g * g - q)
+                    o[k] -= (lr * m / (np.sqrt(q) + 1e-8)).astype(np.float32)
 
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_stretches: int = SAMPLE_STRETCHES) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
     """Trains on a bounded sample of the labelled rows that aren't held out; None if there are none.
 
     About sample_docs rows of every label, chosen by a hash of the id, and of a longer text the sample_chars characters from
-    a place chosen by that hash; of their distinct stretches at most sample_stretches, by frequency. The driver gets that
-    sample and the number of rows of each label alone. Null texts and labels are left out.
+    a place chosen by that hash; of their windows of TRAIN_SPAN bytes at most sample_windows a label, at random with a fixed
+    seed. The driver gets that sample and the number of rows of each label alone. Null texts and labels, and texts without a
+    letter, are left out. An empty table, or one without labels, gives None. Every label weighs the same.
     """
     rows = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("text is not null and label is not null")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -214,52 +190,50 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     piece = rows.filter(chosen).select("label", F.substring("text", begin + 1, F.lit(sample_chars)).alias("text"))
     sample = piece.limit(2 * sample_docs * len(counts)).collect()
     labels = sorted(counts)
-    found: Counter[tuple[bytes, int]] = Counter()
-    for r in sample:
-        found.update((s, labels.index(r["label"])) for w in stretches_of(r["text"]) for s in cut(w))
-    if not found:
+    rng, x, size, of = np.random.default_rng(5), [], [], []
+    for k, name in enumerate(labels):
+        own, n, _ = windows_of(sorted(r["text"].encode() for r in sample if r["label"] == name and has_letter(r["text"])), TRAIN_SPAN)
+        some = rng.permutation(len(own))[:sample_windows]
+        x, size, of = [*x, own[some]], [*size, n[some]], [*of, np.full(len(some), k)]
+    x, size, of = (np.concatenate(v) for v in (x, size, of))
+    if not len(x):
         return None
-    top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:sample_stretches]
     network = Network(labels)
-    n = np.array([c for _, c in top], np.float32)
-    of = np.array([k for (_, k), _ in top])
-    share_of = np.bincount(of, n, len(labels))
-    network.train([s for (s, _), _ in top], of, (np.sqrt(n) / np.maximum(share_of[of], 1) ** 0.5).astype(np.float32), max(EPOCHS, LEAST_STEPS // -(-len(top) // BATCH)))
+    weights = 1 / np.bincount(of, size, len(labels))[of]
+    network.train(x, size, of, weights, max(EPOCHS, LEAST_STEPS // -(-len(x) // BATCH)))
     return network
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score added, from the whole text alone.
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two columns added, the language and its probability, from the whole text alone; `names` says their names.
 
-    Null texts, and those without a letter, get `und` and score 0; so do all where there was nothing to learn from.
-    Repeated rows and null ids pass through; columns of these two names are replaced. The network's size is fixed, and it
-    goes to the tasks with the function.
+    Null texts, and those without a letter, get `und` and score 0; so do all where there was nothing to learn from. Ties go
+    to the label that comes first in order. Texts of any length are read a bounded number of windows at a time. Repeated
+    rows and null ids pass through, an empty table stays empty, and columns of the two names are replaced. The network's
+    size is fixed, and it goes to the tasks with the function.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
+    rest = [c for c in docs.columns if c not in names]
+    k = rest.index(text_col)
 
     def predict(batches):
-        reader = Reader(network) if network else None
         for b in batches:
-            own = b.column(b.schema.get_field_index("_text"))
             at = 0
-            for _, texts in text_slices(pa.RecordBatch.from_arrays([own, own], names=["a", "b"])):
+            for _, texts in text_slices(pa.RecordBatch.from_arrays([b.column(k), pc.fill_null(b.column(k), "")], names=["a", "b"])):
                 part = b.slice(at, len(texts))
                 at += len(texts)
-                names, scores = reader.read(texts) if reader else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
+                found, scores = network.read(texts) if network else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*rest, *names])
 
-    schema = StructType([docs.schema[c] for c in rest]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.select(*rest, text_or_empty(text_col).alias("_text")).mapInArrow(predict, schema)
+    schema = StructType([docs.schema[c] for c in rest]).add(names[0], StringType()).add(names[1], DoubleType())
+    return docs.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(predict, schema)
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows whose text holds a letter by the rule of stretches_of."""
+    """The rows whose text holds a letter."""
     k = docs.columns.index(text_col)
 
     def keep(batches):
         for b in batches:
-            yield b.filter(pa.array([bool(stretches_of(t or "")) for t in b.column(k).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([has_letter(t or "") for t in b.column(k).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

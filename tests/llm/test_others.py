@@ -143,34 +143,69 @@ def test_language_edges(spark, documents):
     assert langid.identify(documents([]), net).count() == 0
 
 
-def test_gradients_by_difference():
+def small_network():
     rng = np.random.default_rng(0)
     net = langid.Network(["a", "b", "c"], hidden=4)
-    for d in (net, net.forward, net.backward):
-        for k in d.p:
-            d.p[k] = rng.normal(0, 0.5, d.p[k].shape).astype(np.float64)
-    words, label = [b"abcab", b"ba", b"c"], np.array([0, 2, 1])
-    x, y, live = net.padded(words)
+    for o, k in net.parameters():
+        o[k] = rng.normal(0, 0.5, o[k].shape)
+    return net
+
+
+def brute_pooled(net, raw, span):
+    """Step by step, one byte at a time: summed log probabilities of all positions of a text."""
+
+    def states(gru, window):
+        n, h, out = gru.n, np.zeros(gru.n), []
+        for byte in window:
+            a, u = gru.p["w"][byte] + gru.p["b"], gru.p["u"]
+            z, r = (1 / (1 + np.exp(-(a[k * n : k * n + n] + h @ u[:, k * n : k * n + n]))) for k in (0, 1))
+            c = np.tanh(a[2 * n :] + (r * h) @ u[:, 2 * n :])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return out
+
+    total = np.zeros(len(net.labels))
+    for k in range(0, len(raw), span):
+        window = raw[k : k + span]
+        for f, b in zip(states(net.forward, window), states(net.backward, window[::-1])[::-1], strict=True):
+            y = np.concatenate([f, b]) @ net.p["v"] + net.p["c"]
+            total += y - np.log(np.exp(y).sum())
+    return total
+
+
+def test_language_reads_every_byte_in_context(monkeypatch):
+    monkeypatch.setattr(langid, "SPAN", 16)
+    monkeypatch.setattr(langid, "AT_ONCE", 3)
+    net, texts = small_network(), ["a b, 12 c" * 9, "é日 本", "", "7 +", "x", "no  end " * 40]
+    names, scores = net.read(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        if not langid.has_letter(t):
+            assert (name, score) == ("und", 0.0)
+            continue
+        want = brute_pooled(net, t.encode(), 16) / len(t.encode())
+        assert name == net.labels[int(want.argmax())] and abs(score - np.exp(want.max()) / np.exp(want).sum()) < 1e-9
+    assert [langid.has_letter(t) for t in ("²", "x²", "_", "日", "\u0301", "ª")] == [False, True, False, True, False, True]
+
+
+def test_gradients_by_difference():
+    net = small_network()
+    x, size, _ = langid.windows_of([b"abcab", b"ba", b"c c"], 5)
+    label, weight = np.array([0, 2, 1]), np.array([1.0, 0.5, 2.0])
 
     def loss():
-        return -(net.states(x, y, live)[1][:, np.arange(3), label] * live).sum()
-
-    s, logp, turn, kf, kb = net.states(x, y, live)
-    d = np.exp(logp)
-    d[:, np.arange(3), label] -= 1
-    d *= live[:, :, None]
-    ds = d @ net.p["v"].T
-    db = np.zeros_like(ds[:, :, 4:])
-    db[turn] = ds[:, :, 4:]
-    for gru, g in ((net.forward, net.forward.back(x, kf, ds[:, :, :4])), (net.backward, net.backward.back(y, kb, db))):
-        for name, at in (("u", (1, 2)), ("u", (3, 9)), ("w", (ord("a"), 5)), ("b", (7,))):
-            h = 1e-3
-            gru.p[name][at] += h
+        x_t, y_t, turn, live = net.turned(x, size)
+        logp = net.log_probabilities(net.forward.run(x_t)[0], net.backward.run(y_t)[0], turn)
+        return -(logp[:, np.arange(3), label] * live * weight).sum()
+
+    for (o, k), g in zip(net.parameters(), net.gradients(x, size, label, weight), strict=True):
+        some = [(ord("a"), 5), (ord(" "), 2)] if k == "w" else [(1, 2), (3, 1)] if g.ndim == 2 else [(1,)]
+        for at in some:
+            o[k][at] += 1e-4
             up = loss()
-            gru.p[name][at] -= 2 * h
+            o[k][at] -= 2e-4
             down = loss()
-            gru.p[name][at] += h
-            assert abs((up - down) / (2 * h) - g[name][at]) < 5e-3
+            o[k][at] += 1e-4
+            assert abs((up - down) / 2e-4 - g[at]) < 1e-5
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------------
