@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = langid.fit(docs)
     if network is None:
         return langid.with_letters(docs)
-    seen = langid.identify(docs.select(F.struct(*docs.columns).alias("_all"), "text"), network)
-    return seen.filter(F.col("lang_pred") != langid.UNKNOWN).select("_all.*")
+    name, score = (next(n for n in (stem + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("lang_pred", "score"))
+    return langid.identify(docs, network, names=(name, score)).filter(F.col(name) != langid.UNKNOWN).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
