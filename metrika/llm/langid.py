@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from .common import text_slices
 
 #: Bytes of a window; windows that are read at once.
-SPAN, AT_ONCE = 128, 4096
+SPAN, AT_ONCE = 128, 1024
 #: Bounds of the training sample: documents a language (about), characters a document, windows of TRAIN_SPAN bytes a language.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 300, 20_000, 2000
 TRAIN_SPAN, HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE = 64, 16, 2, 120, 128, 0.02
