@@ -354,3 +354,11 @@ def test_pipeline_language_without_anything_to_learn_from(spark, documents, pros
     docs = documents([(1, prose(30, 1) + " " * pad), (2, "123 456" + " " * pad), (3, None), (4, "42 é" + " " * pad), (4, "42 é" + " " * pad)], lang)
     out = P.language(spark, docs, "")
     assert out.schema == docs.schema and sorted(r.doc_id for r in out.collect()) == [1, 4, 4]
+
+
+def test_queries_leave_the_session_as_it_was(spark):
+    settings = lambda: {r[0]: r[1] for r in spark.sql("SET -v").select("key", "value").collect()}
+    before = settings()
+    for name in ("op2_warc", "op6_bpe", "op7_passages"):
+        queries.QUERIES[name](spark, SMALL).count()
+    assert settings() == before
