@@ -33,12 +33,12 @@ def table_path(spark: SparkSession, name: str) -> str:
 def small_batches(spark: SparkSession):
     """Meanwhile, an Arrow batch brings BATCH_BYTES to a Python worker at most; then the session is as it was."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
+    before = spark.conf.get(name, None)
     spark.conf.set(name, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
