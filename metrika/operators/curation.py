@@ -63,9 +63,13 @@ def to_yolo(images: DataFrame, annotations: DataFrame) -> DataFrame:
 def augmentation_plan(images: DataFrame, order: str, seed: int = 42, combined: bool = False) -> DataFrame:
     """What each image gets: types rotate by position modulo 3, or all at once; amounts from a seeded hash of the order key."""
     u = lambda k: F.pmod(F.xxhash64(F.col(order), F.lit(seed), F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    kind = F.lit("combined") if combined else F.when(i % 3 == 0, "intensity").when(i % 3 == 1, "noise").otherwise("rotation")
-    return images.withColumn("aug_type", kind).withColumns({"factor": 0.7 + 0.6 * u(1), "noise_sd": 5 + 15 * u(2), "degrees": -15 + 30 * u(3)})
+    if combined:
+        planned = images.withColumn("aug_type", F.lit("combined"))
+    else:
+        i = F.col("_at") - 1
+        kind = F.when(i % 3 == 0, "intensity").when(i % 3 == 1, "noise").otherwise("rotation")
+        planned = T.numbered(images, order, "_at").withColumn("aug_type", kind).drop("_at")
+    return planned.withColumns({"factor": 0.7 + 0.6 * u(1), "noise_sd": 5 + 15 * u(2), "degrees": -15 + 30 * u(3)})
 
 
 def roi_dataset(annotations: DataFrame, scale: float = 1.3, least: int = 32, out: int = 512) -> DataFrame:

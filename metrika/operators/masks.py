@@ -100,15 +100,21 @@ def augmented(images: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def on_canvas(images: DataFrame, threshold: float, height: int, width: int) -> DataFrame:
-    """(id, area): foreground pixels of each cut-out's mask once pasted at (top, left, size) on a canvas."""
+    """(id, area, x1, y1, x2, y2): foreground pixels of each cut-out's mask once pasted at (top, left, size) on a canvas, and
+    the box around them; the box is null where nothing is lit."""
     kind = dict(images.dtypes)["id"]
 
     def run(batches):
         for b in batches:
-            out = [(r.id, int((K.paste(_grid(r.pixels, r.height, r.width) > threshold, r.top, r.left, r.size, height, width) > 0).sum())) for r in b.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["id", "area"])
-
-    return images.select("id", "pixels", "height", "width", "top", "left", F.col("side").alias("size")).mapInPandas(run, f"id {kind}, area long")
+            out = []
+            for r in b.itertuples(index=False):
+                y, x = np.nonzero(K.paste(_grid(r.pixels, r.height, r.width) > threshold, r.top, r.left, r.size, height, width))
+                out.append((r.id, len(x), *((x.min(), y.min(), x.max(), y.max()) if len(x) else (None,) * 4)))
+            names = ["id", "area", "x1", "y1", "x2", "y2"]
+            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[2:], "Int64"))
+
+    out = f"id {kind}, area long, x1 long, y1 long, x2 long, y2 long"
+    return images.select("id", "pixels", "height", "width", "top", "left", F.col("side").alias("size")).mapInPandas(run, out)
 
 
 def inside_well(images: DataFrame, inset: int = 1) -> DataFrame:

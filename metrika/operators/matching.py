@@ -100,12 +100,13 @@ def assign(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
         out = []
         number: dict = {}
         part_of = np.array([number.setdefault(find(("a", a)), len(number)) for a in g["a"]], int)
-        for k in range(len(number)):
-            part = g[part_of == k]
-            rows, cols = sorted(part["a"].unique()), sorted(part["b"].unique())
-            m = np.zeros((len(rows), len(cols)), np.float32)
-            m[[rows.index(x) for x in part["a"]], [cols.index(x) for x in part["b"]]] = part["iou"]
-            out += [(g[key].iloc[0], rows[r], cols[c], float(part.loc[(part["a"] == rows[r]) & (part["b"] == cols[c]), "iou"].iloc[0])) for r, c in hungarian(m) if m[r, c] > 0 and m[r, c] >= np.float32(threshold)]
+        for _, part in g.groupby(part_of):
+            row, rows = pd.factorize(part["a"], sort=True)
+            col, cols = pd.factorize(part["b"], sort=True)
+            iou = np.zeros((len(rows), len(cols)))
+            iou[row, col] = part["iou"]
+            m = iou.astype(np.float32)
+            out += [(part[key].iloc[0], rows[r], cols[c], float(iou[r, c])) for r, c in hungarian(m) if m[r, c] > 0 and m[r, c] >= np.float32(threshold)]
         return pd.DataFrame(out, columns=[key, "a", "b", "iou"])
 
     return pairs.select(key, "a", "b", "iou").groupBy(key).applyInPandas(solve, f"{key} {kinds[key]}, a {kinds['a']}, b {kinds['b']}, iou double")
@@ -122,15 +123,15 @@ def match_summary(matches: DataFrame, left: DataFrame, right: DataFrame) -> Data
     return m.join(sizes).withColumns({"num_unmatched_left": F.col("num_left") - F.col("num_matched"), "num_unmatched_right": F.col("num_right") - F.col("num_matched")})
 
 
-def nearest_anchor(points: DataFrame, anchors: DataFrame) -> DataFrame:
-    """points (x, y, ...) with `anchor`: the id of the nearest row of anchors (anchor, ax, ay), ties to the smaller id.
+def nearest_anchor(points: DataFrame, anchors: DataFrame, image: str) -> DataFrame:
+    """points (image, x, y, ...) with `anchor`: the id of the nearest row of anchors (image, anchor, ax, ay) of the same image,
+    ties to the smaller id, null where the image has none.
 
-    Anchors are few by their meaning (the points of one centerline): they are gathered into one array and joined as a
-    single row, which Spark's size limit for broadcasts governs.
+    The anchors of one image, the points of its centerline, are gathered into one array, which meets its points by the image.
     """
-    one = anchors.agg(F.sort_array(F.collect_list(F.struct("anchor", "ax", "ay"))).alias("_all"))
+    own = anchors.groupBy(image).agg(F.sort_array(F.collect_list(F.struct("anchor", "ax", "ay"))).alias("_all"))
     d = F.transform("_all", lambda a: F.struct(((F.col("x") - a["ax"]) ** 2 + (F.col("y") - a["ay"]) ** 2).alias("d"), a["anchor"].alias("anchor")))
-    return points.join(one).withColumn("anchor", F.array_min(d)["anchor"]).drop("_all")
+    return points.join(own, image, "left").withColumn("anchor", F.array_min(d)["anchor"]).drop("_all")
 
 
 def suppress(boxes: DataFrame, image: str, threshold: float, conf_least: float = 0.25) -> DataFrame:

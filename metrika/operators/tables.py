@@ -152,8 +152,22 @@ def islands(df: DataFrame, per: Sequence[str], order: str, flag: str) -> DataFra
     return runs.groupBy(*per, "run").agg(F.first(flag).alias(flag), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def new_ids(df: DataFrame, order: str, start: Column) -> Column:
-    return start + F.row_number().over(Window.orderBy(order))
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its position from 1 in the order of a column; nulls first, equal values in any order.
+
+    Rows are range-partitioned by the column and numbered inside their range; only the ranges' sizes are accumulated over
+    all. No task sorts the whole table.
+    """
+    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    rank = F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.join(base, "_part").withColumn(name, rank).drop("_part", "_base")
+
+
+def new_ids(df: DataFrame, order: str, start: int, name: str = "new_id") -> DataFrame:
+    """df with ids start + 1, start + 2, ... in the order of a column."""
+    return numbered(df, order, name).withColumn(name, F.col(name) + start)
 
 
 # --- summaries --------------------------------------------------------------------------------------------------------

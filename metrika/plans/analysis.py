@@ -373,28 +373,27 @@ def w13_w18_display_order(s, d):
 
 # --- tests ------------------------------------------------------------------------------------------------------------
 
-GROUPS = "g AS (SELECT event_type, value FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3))"
+GROUPS = "g AS (SELECT event_type, value FROM events)"
 
 
-def three_groups(s, d) -> DataFrame:
-    e = table(s, d, "events").select("event_type", "value")
-    return e.join(e.select("event_type").distinct().orderBy("event_type").limit(3), "event_type", "left_semi")
+def all_groups(s, d) -> DataFrame:
+    return table(s, d, "events").select("event_type", "value")
 
 
 @query(f"""WITH {GROUPS}, m AS (SELECT event_type, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM g GROUP BY 1), t AS (SELECT avg(value) AS grand FROM g)
 SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, round((sum(n * (mean - grand) ** 2) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))), 6) AS f FROM m, t""")
 def a13_anova(s, d):
-    return I.anova(three_groups(s, d), "event_type", "value").select("k", "n", r("f").alias("f"))
+    return I.anova(all_groups(s, d), "event_type", "value").select("k", "n", r("f").alias("f"))
 
 
 @query()
 def a13_anova_p(s, d):
-    return I.anova(three_groups(s, d), "event_type", "value")
+    return I.anova(all_groups(s, d), "event_type", "value")
 
 
 @query()
 def a14_tukey(s, d):
-    return I.tukey(three_groups(s, d), "event_type", "value")
+    return I.tukey(all_groups(s, d), "event_type", "value")
 
 
 @query("""WITH t AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), g AS (SELECT event_type, value FROM events WHERE event_type IN (SELECT * FROM t)),
@@ -429,10 +428,10 @@ def a17_regression(s, d):
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM events), b AS (SELECT ntile(20) OVER (ORDER BY event_id) AS batch, value FROM o WHERE rn > 5), x AS (SELECT batch, count(*) AS n, sum(value) AS t FROM b GROUP BY 1)
-SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS items, round(avg(t), 3) AS mean, round(stddev_samp(t), 3) AS sd, round(min(t), 3) AS min, round(max(t), 3) AS max, round(quantile_cont(t, 0.5), 3) AS median, round(sum(n) / sum(t), 6) AS per_second, round(sum(t) / sum(n), 6) AS per_item FROM x""")
+SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS items, round(avg(t), 4) AS mean, round(stddev_samp(t), 4) AS sd, round(min(t), 3) AS min, round(max(t), 3) AS max, round(quantile_cont(t, 0.5), 3) AS median, round(sum(n) / sum(t), 6) AS per_second, round(sum(t) / sum(n), 6) AS per_item FROM x""")
 def a31_w3_w4_speed_summary(s, d):
     out = T.speed_summary(table(s, d, "events"), "event_id", "value", 20, 5)
-    return rounded(rounded(out, "mean", "sd", "min", "max", "median", n=3), "per_second", "per_item")
+    return rounded(rounded(rounded(out, "mean", "sd", n=4), "min", "max", "median", n=3), "per_second", "per_item")
 
 
 @query("""WITH x AS (SELECT user_id, event_type AS module, sum(value) AS t FROM events WHERE event_type NOT IN ('click') GROUP BY 1, 2) SELECT module, count(*) AS items, round(avg(t), 4) AS mean_s FROM x GROUP BY 1""")

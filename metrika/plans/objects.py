@@ -208,16 +208,16 @@ def w8_without_repeats(s, d):
     return x.groupBy("user_id").agg(line.alias("line")).select("user_id", F.size(G.without_repeats(F.col("line"))).cast("long").alias("n"))
 
 
-@query("""WITH g AS (SELECT user_id, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY 1), k AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_id % 10 = 0)
-SELECT user_id, min(i) AS lo, max(i) AS hi FROM g JOIN k ON event_id BETWEEN a AND b WHERE user_id < 20 GROUP BY 1""")
+@query("""WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+g AS (SELECT user_id, min(event_id) + (max(event_id) - min(event_id)) // 4 AS a, max(event_id) - (max(event_id) - min(event_id)) // 4 AS b FROM events GROUP BY 1)
+SELECT k.user_id, min(i) AS lo, max(i) AS hi FROM g JOIN k ON g.user_id = k.user_id AND event_id BETWEEN a AND b GROUP BY 1""")
 def w7_ranges_to_indices(s, d):
-    ev = table(s, d, "events")
-    g = ev.filter("user_id < 20").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
-    k = ev.filter("event_id % 10 = 0").select("event_id").withColumn("i", F.row_number().over(Window.orderBy("event_id")).cast("long"))
-    cell = 1000
-    spread = g.select("*", F.explode(F.sequence(F.floor(F.col("a") / cell), F.floor(F.col("b") / cell))).alias("c"))
-    hit = spread.join(k.withColumn("c", F.floor(F.col("event_id") / cell)), "c").filter("event_id between a and b")
-    return hit.groupBy("user_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    """The middle half of each user's range of events, as positions among the user's events."""
+    ev = table(s, d, "events").select("user_id", "event_id")
+    k = ev.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    span = F.floor((F.max("event_id") - F.min("event_id")) / 4)
+    g = ev.groupBy("user_id").agg((F.min("event_id") + span).alias("a"), (F.max("event_id") - span).alias("b"))
+    return k.join(g, "user_id").filter("event_id between a and b").groupBy("user_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
 
 
 # --- masks: 64 floats as an 8 x 8 grid --------------------------------------------------------------------------------------
@@ -230,12 +230,12 @@ def a36_s28_mask_area_and_box(s, d):
     return p.groupBy("vec_id").agg(F.count("*").alias("area"), F.min(c).alias("x1"), F.min(q).alias("y1"), F.max(c).alias("x2"), F.max(q).alias("y2"))
 
 
-@query("""WITH m AS (SELECT vec_id, label, [CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding] AS px FROM embeddings WHERE vec_id < 60)
+@query("""WITH m AS (SELECT vec_id, vec_id // 16 AS image, [CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding] AS px FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum([a.px[i] * b.px[i] FOR i IN range(1, 65)]) / nullif(list_sum(a.px) + list_sum(b.px) - list_sum([a.px[i] * b.px[i] FOR i IN range(1, 65)]), 0), 8) AS iou
-FROM m a JOIN m b ON a.label = b.label AND a.vec_id < b.vec_id""")
+FROM m a JOIN m b ON a.image = b.image AND a.vec_id < b.vec_id""")
 def j12_mask_iou(s, d):
-    m = table(s, d, "embeddings").filter("vec_id < 60").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: (v > 0).cast("int")).alias("pixels"))
-    p = m.select("label", F.col("id").alias("a")).join(m.select("label", F.col("id").alias("b")), "label").filter("a < b")
+    m = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 16).alias("image"), F.transform("embedding", lambda v: (v > 0).cast("int")).alias("pixels"))
+    p = m.select("image", F.col("id").alias("a")).join(m.select("image", F.col("id").alias("b")), "image").filter("a < b")
     return X.mask_iou(p, m, m).select("a", "b", r("iou", 8).alias("iou"))
 
 
@@ -258,8 +258,10 @@ def pixels(s, d) -> DataFrame:
 n AS (SELECT vec_id, v, arg_min(anchor, ((x - ax) ** 2 + (y - ay) ** 2, anchor)) AS seg FROM px, an GROUP BY vec_id, x, y, v)
 SELECT vec_id, seg, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, count(*) AS n FROM n GROUP BY vec_id, seg UNION ALL SELECT vec_id, 4, NULL, NULL, 0 FROM embeddings""")
 def j17_a23_g25_intensity_profile(s, d):
-    an = s.createDataFrame([(0, 1.0, 1.0), (1, 5.5, 1.25), (2, 1.5, 6.0), (3, 6.0, 6.5)], "anchor int, ax double, ay double")
-    x = X.nearest_anchor(pixels(s, d), an).withColumnRenamed("anchor", "seg")
+    four = [(0, 1.0, 1.0), (1, 5.5, 1.25), (2, 1.5, 6.0), (3, 6.0, 6.5)]
+    each = F.array(*(F.struct(F.lit(k).alias("anchor"), F.lit(x).alias("ax"), F.lit(y).alias("ay")) for k, x, y in four))
+    an = table(s, d, "embeddings").select("vec_id", F.inline(each))
+    x = X.nearest_anchor(pixels(s, d), an, "vec_id").withColumnRenamed("anchor", "seg")
     return T.profile(x, "vec_id", "seg", "v", 5).select("vec_id", "seg", r("mean").alias("mean"), r("sd").alias("sd"), "n")
 
 
@@ -268,17 +270,17 @@ def p10_f9_foreground(s, d):
     return table(s, d, "embeddings").select("vec_id", F.size(F.filter("embedding", lambda v: v > 0)).cast("long").alias("kept"))
 
 
-@query(f"""WITH en AS (SELECT label, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS sx, CAST(embedding[2] AS DOUBLE) AS sy, CAST(embedding[3] AS DOUBLE) AS ex, CAST(embedding[4] AS DOUBLE) AS ey FROM embeddings WHERE vec_id < 100),
+@query(f"""WITH en AS (SELECT vec_id // 16 AS image, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS sx, CAST(embedding[2] AS DOUBLE) AS sy, CAST(embedding[3] AS DOUBLE) AS ex, CAST(embedding[4] AS DOUBLE) AS ey FROM embeddings),
 f AS (SELECT a.id AS a, b.id AS b, fa, fb, CASE WHEN fa = 1 THEN a.sx ELSE a.ex END AS ax, CASE WHEN fa = 1 THEN a.sy ELSE a.ey END AS ay, CASE WHEN fa = 1 THEN a.sx - a.ex ELSE a.ex - a.sx END AS dax, CASE WHEN fa = 1 THEN a.sy - a.ey ELSE a.ey - a.sy END AS day,
  CASE WHEN fb = 1 THEN b.ex ELSE b.sx END AS bx, CASE WHEN fb = 1 THEN b.ey ELSE b.sy END AS byy, CASE WHEN fb = 1 THEN b.sx - b.ex ELSE b.ex - b.sx END AS dbx, CASE WHEN fb = 1 THEN b.sy - b.ey ELSE b.ey - b.sy END AS dby
- FROM en a JOIN en b ON a.label = b.label AND a.id <> b.id, range(2) x(fa), range(2) y(fb)),
+ FROM en a JOIN en b ON a.image = b.image AND a.id <> b.id, range(2) x(fa), range(2) y(fb)),
 g AS (SELECT *, bx - ax AS gx, byy - ay AS gy FROM f), k AS (SELECT *, (dax * gx + day * gy) / (sqrt(dax ** 2 + day ** 2) * sqrt(gx ** 2 + gy ** 2)) AS ca, (dbx * gx + dby * gy) / (sqrt(dbx ** 2 + dby ** 2) * sqrt(gx ** 2 + gy ** 2)) AS cb FROM g)
 SELECT a, b, fa, fb, round(sqrt(gx ** 2 + gy ** 2), 6) AS gap, round(ca, 6) AS cos_a, round(cb, 6) AS cos_b, sqrt(gx ** 2 + gy ** 2) <= 0.3 AND ca >= cos(radians(110)) AND cb >= cos(radians(110)) AS passed FROM k""")
 def g18_g29_gap_costs(s, d):
-    v = table(s, d, "embeddings").filter("vec_id < 100").select("label", F.col("vec_id").alias("id"), *(e(i).alias(n) for i, n in enumerate(("sx", "sy", "ex", "ey"))))
-    a, b = (v.select("label", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "sx", "sy", "ex", "ey"))) for k in "ab")
+    v = table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("image"), F.col("vec_id").alias("id"), *(e(i).alias(n) for i, n in enumerate(("sx", "sy", "ex", "ey"))))
+    a, b = (v.select("image", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "sx", "sy", "ex", "ey"))) for k in "ab")
     flip = F.explode(F.array(F.lit(0), F.lit(1)))
-    x = a.join(b, "label").filter("a_id <> b_id").select("*", flip.alias("fa")).select("*", flip.alias("fb"))
+    x = a.join(b, "image").filter("a_id <> b_id").select("*", flip.alias("fa")).select("*", flip.alias("fb"))
     fa, fb = F.col("fa") == 1, F.col("fb") == 1
     pick = lambda f, p, q: F.when(f, F.col(p)).otherwise(F.col(q))
     gx, gy = pick(fb, "b_ex", "b_sx") - pick(fa, "a_sx", "a_ex"), pick(fb, "b_ey", "b_sy") - pick(fa, "a_sy", "a_ey")
@@ -420,7 +422,7 @@ def r7_class_routing(s, d):
 
 @query("SELECT s_suppkey, 1000 + row_number() OVER (ORDER BY s_suppkey) AS new_id FROM supplier")
 def w14_new_ids(s, d):
-    return table(s, d, "supplier").select("s_suppkey", T.new_ids(None, "s_suppkey", F.lit(1000)).cast("long").alias("new_id"))
+    return T.new_ids(table(s, d, "supplier").select("s_suppkey"), "s_suppkey", 1000)
 
 
 @query("SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")
@@ -447,7 +449,7 @@ def k21_copy_status(s, d):
 
 @query()
 def g27_roi_dataset(s, d):
-    ann = lines(s, d).filter("vec_id < 60").select(F.col("label").alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
+    ann = lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
     return C.roi_dataset(ann).select("image_id", "target", "ann_id", "size", "scale_factor")
 
 
@@ -464,9 +466,8 @@ def k6_k7_yolo_text(s, d):
 
 @query()
 def s5_k2_roi_catalog(s, d):
-    b = boxes(s, d).filter("vec_id < 50")
-    rows = b.select(F.concat(F.lit("im_roi_"), "vec_id").alias("name"), F.lit("im").alias("source_image"), F.col("vec_id").cast("int").alias("detection_index"), r("x1", 2).alias("confidence"), F.array(*(r(c, 2) for c in X.BOX)).alias("bbox_original"))
-    return S.from_catalog_text(K.catalog_json(rows)).select("name", "source_image", "detection_index", "bbox_original")
+    rows = boxes(s, d).select("label", F.concat(F.lit("im_roi_"), "vec_id").alias("name"), F.lit("im").alias("source_image"), F.col("vec_id").cast("int").alias("detection_index"), r("x1", 2).alias("confidence"), F.array(*(r(c, 2) for c in X.BOX)).alias("bbox_original"))
+    return S.from_catalog_text(K.catalog_json(rows, per="label")).select("name", "source_image", "detection_index", "bbox_original")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v, json_keys(props)[1] AS k FROM events WHERE props IS NOT NULL AND len(json_keys(props)) > 0")
@@ -546,19 +547,23 @@ def k12_report_lines(s, d):
     return text.select(F.trim(F.substring("text", 1, 40)).alias("label"), F.trim(F.substring("text", 41, 12)).cast("double").cast("long").alias("n"))
 
 
-@query("SELECT rank, 'rank' || lpad(CAST(rank AS VARCHAR), 2, '0') || '_abs' || lpad(printf('%.3f', abs(percent)), 7, '0') || 'pct_' || CASE WHEN percent < 0 THEN 'neg' ELSE 'pos' END || '_' || p_type || '_' || p_partkey || '.png' AS target FROM (SELECT row_number() OVER (ORDER BY p_partkey) AS rank, p_type, p_partkey, p_size - 25.5 AS percent FROM part WHERE p_partkey <= 60)")
+@query("""SELECT rank, 'rank' || lpad(CAST(rank AS VARCHAR), 2, '0') || '_abs' || lpad(printf('%.3f', abs(percent)), 7, '0') || 'pct_' || CASE WHEN percent < 0 THEN 'neg' ELSE 'pos' END
+ || '_' || p_type || '_' || p_partkey || '.png' AS target
+FROM (SELECT p_type, p_partkey, p_size - 25.5 AS percent, row_number() OVER (ORDER BY abs(p_size - 25.5) DESC, p_partkey) AS rank FROM part) WHERE rank <= 60""")
 def k22_ranked_names(s, d):
-    x = table(s, d, "part").filter("p_partkey <= 60").withColumn("rank", F.row_number().over(Window.orderBy("p_partkey")))
-    x = x.select("rank", (F.col("p_size") - 25.5).alias("percent"), F.col("p_type").alias("category"), F.concat("p_partkey", F.lit(".png")).alias("file"))
+    """The names of the 60 largest errors: a top-n report."""
+    x = table(s, d, "part").select((F.col("p_size") - 25.5).alias("percent"), F.col("p_type").alias("category"), "p_partkey")
+    x = x.orderBy(F.abs("percent").desc(), "p_partkey").limit(60)
+    x = x.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("percent").desc(), "p_partkey"))).withColumn("file", F.concat("p_partkey", F.lit(".png")))
     return K.ranked_manifest(x).select(F.col("rank").cast("long").alias("rank"), "target")
 
 
 # --- images ---------------------------------------------------------------------------------------------------------------------
 
 
-def images(s, d, n: int = 24) -> DataFrame:
+def images(s, d) -> DataFrame:
     """Deterministic 64 x 64 pictures of a bar, one for each vector: placed and turned by its first components."""
-    return s.createDataFrame([(i,) for i in range(n)], "vec_id long").join(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id").select(
+    return table(s, d, "embeddings").select(
         F.concat(F.lit("20200101-e1-p1-4x_A01_roi_"), "vec_id", F.lit(".png")).alias("path"), F.lit(64).alias("height"), F.lit(64).alias("width"),
         F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.when((F.abs(i % 64 - 32) < 24) & (F.abs(F.floor(i / 64) - 32 - F.get("embedding", 0) * 10) < 4), 1.0).otherwise(0.0)).alias("pixels"),
     )
@@ -589,12 +594,16 @@ def f1_suppress_boxes(s, d):
 
 
 def grids(s, d) -> DataFrame:
-    return table(s, d, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
 
 
-@query("SELECT vec_id AS id, CAST(list_sum([CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding]) AS BIGINT) AS area FROM embeddings WHERE vec_id < 200")
+@query("""WITH RECURSIVE px AS (SELECT vec_id AS id, i // 8 AS y, i % 8 AS x, i FROM embeddings, range(64) t(i) WHERE embedding[i + 1] > 0),
+e AS (SELECT a.id, a.i AS a, b.i AS b FROM px a JOIN px b ON a.id = b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+w AS (SELECT id, i AS a, i AS b FROM px UNION SELECT w.id, w.a, e.b FROM w JOIN e ON w.id = e.id AND w.b = e.a),
+m AS (SELECT id, a, min(b) AS first FROM w GROUP BY 1, 2)
+SELECT id, count(*) AS area, round(avg(a // 8), 6) AS row, round(avg(a % 8), 6) AS col FROM m GROUP BY id, first""")
 def g3_components(s, d):
-    return Z.component_table(grids(s, d)).groupBy("id").agg(F.sum("area").alias("area"))
+    return Z.component_table(grids(s, d)).select("id", "area", r("row").alias("row"), r("col").alias("col"))
 
 
 @query()
@@ -604,14 +613,14 @@ def g5_g9_g22_shapes(s, d):
 
 @query()
 def p18_clip_polygons(s, d):
-    ann = lines(s, d).filter("vec_id < 60").select(F.col("label").alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
+    ann = lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
     return Z.clipped(C.roi_dataset(ann)).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
 
 
 @query()
 def g23_rasterize(s, d):
     poly = F.transform("line", lambda p: F.struct((p["x"] * 60 + 32).alias("x"), (p["y"] * 60 + 32).alias("y")))
-    return lines(s, d).filter("vec_id < 100").select("vec_id", Z.rasterized_area(poly, 64, 64).alias("area"))
+    return lines(s, d).select("vec_id", Z.rasterized_area(poly, 64, 64).alias("area"))
 
 
 @query()
@@ -620,7 +629,9 @@ def p38_augment_pixels(s, d):
     return Z.augmented(x).select("id", "aug_type", F.array_max("changed").alias("most"))
 
 
-@query("SELECT vec_id AS id, CAST(list_sum([CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding]) AS BIGINT) AS area FROM embeddings WHERE vec_id < 200")
+@query("""SELECT vec_id AS id, count(*) FILTER (v > 0) AS area, min(i % 8 + vec_id % 20) FILTER (v > 0) AS x1, min(i // 8 + 2) FILTER (v > 0) AS y1,
+ max(i % 8 + vec_id % 20) FILTER (v > 0) AS x2, max(i // 8 + 2) FILTER (v > 0) AS y2
+FROM (SELECT vec_id, i, embedding[i + 1] AS v FROM embeddings, range(64) t(i)) GROUP BY vec_id""")
 def p10_k4_masks_on_canvas(s, d):
     x = grids(s, d).withColumns({"top": F.lit(2), "left": (F.col("id") % 20).cast("int"), "side": F.lit(8)})
     return Z.on_canvas(x, 0.0, 32, 32)
@@ -633,10 +644,10 @@ def p40_inside_well(s, d):
 
 @query()
 def g20_g21_stitch(s, d):
-    x = lines(s, d).filter("vec_id < 60").select(F.concat(F.lit("im"), F.floor(F.col("vec_id") / 3)).alias("image"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.transform(F.slice("line", 1, 4), lambda p: F.struct((p["x"] * 100).alias("x"), (p["y"] * 100).alias("y"))).alias("line"))
+    x = lines(s, d).select(F.concat(F.lit("im"), F.floor(F.col("vec_id") / 3)).alias("image"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.transform(F.slice("line", 1, 4), lambda p: F.struct((p["x"] * 100).alias("x"), (p["y"] * 100).alias("y"))).alias("line"))
     return Z.stitched(x)
 
 
 @query()
 def g10_g17_centerlines(s, d):
-    return measure.measure(images(s, d, 12), measure.ThresholdPredictor).select("path", "length_px", "width_px", "topology", "fragments")
+    return measure.measure(images(s, d), measure.ThresholdPredictor).select("path", "length_px", "width_px", "topology", "fragments")

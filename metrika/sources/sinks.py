@@ -12,11 +12,11 @@ def measurement_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("nanValue", "nan").option("emptyValue", "").csv(path)
 
 
-def catalog_json(df: DataFrame, key: str = "name") -> DataFrame:
-    """One row `value`: the whole catalog as a JSON object. For catalogs of one data set; larger ones go to json_lines."""
-    fields = [c for c in df.columns if c != key]
+def catalog_json(df: DataFrame, key: str = "name", per: str | None = None) -> DataFrame:
+    """One row `value` for each data set (`per`; all rows are one without it): its catalog as a JSON object."""
+    fields = [c for c in df.columns if c not in (key, per)]
     entry = F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value"))
-    return df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
+    return df.groupBy(*([per] if per else [])).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
 def json_lines(df: DataFrame, path: str) -> None:

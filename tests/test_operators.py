@@ -189,9 +189,46 @@ def test_dose_response_finds_the_curve(spark):
         assert r.EC10 == pytest.approx(r.EC50 * 9 ** (-1 / r.b)) and r.EC90 == pytest.approx(r.EC50 * 9 ** (1 / r.b))
 
 
+def test_dose_response_of_rising_and_steep_curves(spark):
+    """Slopes have no bounds; estimates do not depend on the direction of the curve."""
+    doses = (0.0, 0.001, 0.002, 0.004, 0.006, 0.01, 0.02, 0.04)
+    curves = (("steep", 6.0, 0.005), ("rising", -1.5, 0.004))
+    rows = [(s, x, float(I.ll4(np.array([x]), b, 0.2, 1.0, e)[0]) if x else (1.0 if b > 0 else 0.2)) for s, b, e in curves for x in doses]
+    got = {r.strain: r for r in I.dose_response(spark.createDataFrame(rows, "strain string, dose double, v double"), "strain", "dose", "v", 0.2).collect()}
+    for s, b, e in curves:
+        assert got[s].b == pytest.approx(b, rel=0.02) and got[s].EC50 == pytest.approx(e, rel=0.02)
+
+
+def test_positions_and_ids(spark):
+    df = spark.createDataFrame([(i * 7 % 100,) for i in range(100)], "k int").repartition(7)
+    assert sorted((r.k, r.at) for r in T.numbered(df, "k", "at").collect()) == [(i, i + 1) for i in range(100)]
+    assert {(r.k, r.new_id) for r in T.new_ids(df, "k", 1000).collect()} == {(i, 1001 + i) for i in range(100)}
+    assert T.numbered(df.limit(0), "k", "at").count() == 0
+
+
+def test_nearest_anchor_of_the_same_image(spark):
+    points = spark.createDataFrame([("a", 0.0, 0.0), ("a", 9.0, 9.0), ("b", 0.0, 0.0), ("c", 1.0, 1.0)], "image string, x double, y double")
+    anchors = spark.createDataFrame([("a", 1, 1.0, 0.0), ("a", 2, -1.0, 0.0), ("a", 3, 8.0, 8.0), ("b", 4, 50.0, 50.0)], "image string, anchor int, ax double, ay double")
+    got = {(r.image, r.x): r.anchor for r in X.nearest_anchor(points, anchors, "image").collect()}
+    assert got == {("a", 0.0): 1, ("a", 9.0): 3, ("b", 0.0): 4, ("c", 1.0): None}
+
+
 # --- matching ---------------------------------------------------------------------------------------------------------
 
 
+def test_assignment_is_optimal_in_every_image(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, a, b, float(np.float32(rng.random()))) for k in range(6) for a in range(4) for b in range(4) if rng.random() < 0.6]
+    got = {}
+    for r in X.assign(spark.createDataFrame(rows, "k int, a int, b int, iou double"), "k", 0.0).collect():
+        got.setdefault(r.k, []).append((r.a, r.b, r.iou))
+    for k in range(6):
+        iou = {(a, b): x for i, a, b, x in rows if i == k}
+        best = max(sum(iou.get((a, b), 0.0) for a, b in enumerate(order)) for order in itertools.permutations(range(4)))
+        assert sum(x for *_, x in got.get(k, [])) == pytest.approx(best, abs=1e-5)
+        assert len({a for a, *_ in got.get(k, [])}) == len({b for _, b, _ in got.get(k, [])}) == len(got.get(k, []))
+
+
 def test_hungarian_is_optimal():
     rng = np.random.default_rng(3)
     for n, m in itertools.product(range(1, 6), range(1, 6)):
@@ -270,6 +307,35 @@ def test_stitch_joins_and_falls_back():
     assert K.stitch([])[2] == "no fragments"
 
 
+def test_stitch_of_seven_and_against_all_orders():
+    line_ = [np.column_stack([np.zeros(12), np.arange(x, x + 12)]).astype(float) for x in range(0, 140, 20)]
+    order = [3, 0, 6, 2, 5, 1, 4]
+    points, used, failed = K.stitch([line_[k][::-1] if k % 2 else line_[k] for k in order])
+    assert failed == "" and [order[k] for k in used] in ([*range(7)], [*range(6, -1, -1)]) and len(points) == 7 * 12 + 6 * 12
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        frags = [np.cumsum(rng.normal(0, 3, (15, 2)), axis=0) + rng.normal(0, 40, 2) for _ in range(4)]
+        least = min(
+            sum(K.gap_cost(a, b, 110, 110) for a, b in itertools.pairwise([frags[i][::-1] if f else frags[i] for i, f in zip(o, flips, strict=True)]))
+            for o in itertools.permutations(range(4)) for flips in itertools.product((0, 1), repeat=4)
+        )
+        cost = K.cheapest_chains(frags, 110, 110).get(15, (math.inf,))[0]
+        assert cost == pytest.approx(least) or cost == least
+
+
+def test_tangled_skeletons():
+    grid = [(a, b) for a in range(25) for b in range(25) if b - a in (1, 5) and (b % 5 or b - a == 5)]
+    edges = [(a, b, [(a // 5 * 9, a % 5 * 9), (b // 5 * 9, b % 5 * 9)]) for a, b in grid]
+    with pytest.raises(K.Tangled):
+        K.longest_path(edges, most=1000)
+    forest = K.break_cycles(edges)
+    assert len(forest) == 24 and len(K.longest_path(forest, most=1)) > 5
+    ring_ = [(0, 0), (0, 5), (5, 5), (5, 0), (0, 0)]
+    width = np.full((6, 6), 4.0)
+    width[5, 5] = 1
+    assert K.turned_ring(ring_, width) == [(5, 5), (5, 0), (0, 0), (0, 5)]
+
+
 def test_contours_and_rasters():
     m = bar()
     c = K.contour(m)
