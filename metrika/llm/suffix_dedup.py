@@ -193,10 +193,10 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
 
     def make(batches):
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         for b in batches:
-            cols, of, hashes = ([], [], [], [], []), [], ([], [], [])
+            cols, of, hashes, whole = ([], [], [], [], []), [], ([], []), []
             for i, x in enumerate(b.column(2)):
                 view = memoryview(x.as_buffer())
                 for part in text_runs(view):
@@ -204,22 +204,23 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         c.append(p)
                     of.append((i, len(part[0])))
                     for lo, n, at in zip(part[1].tolist(), part[2].tolist(), part[4].tolist(), strict=True):
-                        hashes[0].append(xxh3_64_intdigest(view[lo : lo + n + LENGTH - 1]))
-                        hashes[1].append(xxh3_64_intdigest(view[at - HALF : at]) if at - lo >= HALF else 0)
-                        hashes[2].append(xxh3_64_intdigest(view[at + K : at + K + HALF]) if lo + n - 1 + LENGTH - at - K >= HALF else 0)
+                        whole.append(xxh3_128_digest(view[lo : lo + n + LENGTH - 1]))
+                        hashes[0].append(xxh3_64_intdigest(view[at - HALF : at]) if at - lo >= HALF else 0)
+                        hashes[1].append(xxh3_64_intdigest(view[at + K : at + K + HALF]) if lo + n - 1 + LENGTH - at - K >= HALF else 0)
             if of:
                 at = pa.array(np.repeat([i for i, _ in of], [n for _, n in of]))
                 m, first, windows, recurs, place = (np.concatenate(c) for c in cols)
-                s, before, after = (np.array(h, np.uint64).view(np.int64) for h in hashes)
+                before, after = (np.array(h, np.uint64).view(np.int64) for h in hashes)
+                s, s2 = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2).T
                 half = lambda h: pa.array(h, mask=h == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m), pa.array(s), half(before), half(after), b.column(0).take(at), b.column(1).take(at), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(recurs), pa.array(place)],
-                    names=["m", "s", "before", "after", "id", "row", "first", "windows", "recurs", "place"],
+                    [pa.array(m), pa.array(s), pa.array(s2), half(before), half(after), b.column(0).take(at), b.column(1).take(at), pa.array(first), pa.array(windows.astype(np.int32)), pa.array(recurs), pa.array(place)],
+                    names=["m", "s", "s2", "before", "after", "id", "row", "first", "windows", "recurs", "place"],
                 )
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
-    return rows.mapInArrow(make, f"m long, s long, before long, after long, id {kind}, row long, first long, windows int, recurs boolean, place long")
+    return rows.mapInArrow(make, f"m long, s long, s2 long, before long, after long, id {kind}, row long, first long, windows int, recurs boolean, place long")
 
 
 def same_neighbour(a: np.ndarray) -> np.ndarray:
@@ -236,7 +237,7 @@ def recurring(made: DataFrame) -> DataFrame:
 
     One shuffle by minimizer, sorted; windows read each group in order and spill, so none is collected.
     """
-    by_m, by_s = Window.partitionBy("m"), Window.partitionBy("m", "s")
+    by_m, by_s = Window.partitionBy("m"), Window.partitionBy("m", "s", "s2")
     x = made.repartition("m").withColumns({"n_s": F.count("*").over(by_s), "k": F.row_number().over(by_s.orderBy("id", "row", "first"))})
     x = x.withColumns({"n_m": F.count("*").over(by_m), "different": F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(by_m)})
     other = (F.col("k") == 1) & ((F.col("different") > 1) | (F.col("recurs") & (F.col("n_s") == 1)))
@@ -367,7 +368,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     another; row is a hash of the text, which tells texts of one id apart.
 
     Null text is empty, and texts under LENGTH bytes have no window. Repeated rows hold each other's strings. An empty table
-    gives an empty result. Runs with equal bytes are settled by their hashes; different ones that share a minimizer are
+    gives an empty result. Runs with equal bytes are settled by 128-bit hashes of the whole run; different ones that share a minimizer are
     merged in one task only up to GROUP of them. Those of larger groups are compared by 128-bit hashes of each window,
     streamed in sorted order, so no group is collected.
     """
