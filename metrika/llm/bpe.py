@@ -24,7 +24,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def encode(batches):
         codec = forced_boundary(path)
         for b in batches:
-            for ids, texts in text_slices(b):
+            for ids, texts in text_slices(b, 4 << 20):
                 found = codec.encode(texts)
                 if digests:
                     decoded = [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in found]

@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         codec, part, seen = words(path), TaskContext.get().partitionId(), Counter()
         tail = np.array([end], "<u4").tobytes()
         for b in batches:
-            for ids, texts in text_slices(b):
+            for ids, texts in text_slices(b, 4 << 20):
                 rows, of = [], []
                 for k, x in enumerate(codec.encode(texts)):
                     x += tail

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Fragments remembered by a worker; beyond it only those of the last batch stay. Bounds memory, never results.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Characters whose class, case and normal form are beyond doubt in any Unicode version; fragments of these alone are
 #: encoded many at a time by the merge ranks, all others one by one by the tokenizers library itself.
 PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
