@@ -10,9 +10,9 @@ from xxhash import xxh3_64_intdigest
 
 from .common import written
 
-QUERIES_A_BLOCK, CANDIDATES_A_BLOCK = 2048, 4096
-#: Entries of each list that are read before the first look at the bounds; then as many again as were read so far.
-FIRST_READ = 64
+QUERIES_A_BLOCK, CANDIDATES_A_BLOCK, QUERIES_AT_ONCE = 2048, 4096, 256
+#: Parts of the lists that are read before each look at the bounds.
+DEPTHS = (1 / 64, 1 / 8, 1 / 2, 1.0)
 #: Candidates still in question whose scores are resolved at once, as a multiple of k.
 RESOLVED = 16
 
@@ -23,53 +23,50 @@ def exact_kind(q: np.ndarray, x: np.ndarray):
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def nra(q: np.ndarray, x: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
+def nra(q: np.ndarray, x: np.ndarray, first: np.ndarray, last: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> tuple[list[np.ndarray], int]:
     """For each query the rows of x with the k highest inner products, ties to the smaller row, and the entries read in all;
     the rows from first to last (left out) are none of the query's.
 
-    A list for each dimension holds the candidates by value; a query reads it from the end where its weight counts most, a
-    stretch at a time. What was read of a candidate is summed up. Its score is at least that sum with the far end of all lists
-    where it wasn't met, and at most the sum with the values just read there. A query stops once the unread candidates and all
-    but a few of those read can't reach the k-th lower bound; the final scores of these few are then resolved.
+    A list for each dimension holds the candidates by value; a query reads it from the top where its weight is positive, else
+    from the bottom, to one depth after another. The entries read give every candidate a lower bound (unread entries count
+    as the list's far end) and an upper bound (as the value just read); both are summed for many queries at a time, as a
+    product of their weights and a table with what is known of each entry. A query stops once no outsider's upper bound
+    reaches the k-th lower bound and few insiders are left, whose final scores are then resolved; at full depth both meet.
     """
-    n, dims, kind = *x.shape, exact_kind(q, x)
+    n, kind = len(x), exact_kind(q, x)
     q, x = q.astype(kind), x.astype(kind)
-    order = np.argsort(-x, axis=0, kind="stable").astype(np.int32)
+    plus = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+    order = np.argsort(-x, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     lists = np.take_along_axis(x, order, axis=0)
     least = -np.inf if kind != np.int64 else np.iinfo(np.int64).min
-    best, entries = [], 0
-    for w, start, stop in zip(q, first, last, strict=True):
-        down, used = w < 0, np.flatnonzero(w)
-        wanted = min(k, n - (stop - start))
-        far = np.where(down, w * lists[0], w * lists[-1])
-        total, low = np.zeros(n, kind), np.full(n, far.sum(), kind)
-        met = np.zeros((n, dims), bool)
-        seen, t, some = np.zeros(n, bool), 0, np.arange(n)
-        seen[start:stop] = True
-        while wanted > 0 and t < n:
-            till = min(n, max(FIRST_READ, 2 * t))
-            for d in used:
-                at = slice(n - till, n - t) if down[d] else slice(t, till)
-                who = order[at, d]
-                got = w[d] * lists[at, d]
-                total[who] += got
-                low[who] += got - far[d]
-                met[who, d] = seen[who] = True
-            entries, t = entries + (till - t) * len(used), till
-            front = np.where(down, w * lists[n - t], w * lists[t - 1])
-            low[start:stop] = least
-            bound = np.partition(low, n - wanted)[n - wanted]
-            some = np.flatnonzero(low >= bound) if t == n else np.flatnonzero(seen)
-            some = some[(some < start) | (some >= stop)]
-            if t < n:
-                if front.sum() >= bound and not seen.all():
+    best: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
+    wanted = np.minimum(k, n - (last - first))
+    todo, lengths, entries, before = np.flatnonzero(wanted > 0), np.count_nonzero(q, axis=1), 0, 0
+    for depth in depths:
+        t = n if depth >= 1 else max(1, int(n * depth))
+        top, bottom = rank < t, rank >= n - t
+        low = np.concatenate([np.where(top, x, lists[-1]), np.where(bottom, x, lists[0])], axis=1).T
+        high = np.concatenate([np.where(top, x, lists[t - 1]), np.where(bottom, x, lists[n - t])], axis=1).T if t < n else low
+        entries, before, left = entries + (t - before) * int(lengths[todo].sum()), t, []
+        for at in range(0, len(todo), QUERIES_AT_ONCE):
+            some = todo[at : at + QUERIES_AT_ONCE]
+            lower = plus[some] @ low
+            upper = plus[some] @ high if t < n else lower
+            for r, i in enumerate(some):
+                lower[r, first[i] : last[i]] = least
+                bound = np.partition(lower[r], n - wanted[i])[n - wanted[i]]
+                inside = np.flatnonzero(upper[r] >= bound)
+                inside = inside[(inside < first[i]) | (inside >= last[i])]
+                if t < n and len(inside) > RESOLVED * k:
+                    left.append(i)
                     continue
-                some = some[total[some] + front.sum() - met[some] @ front >= bound]
-                if len(some) <= RESOLVED * k:
-                    break
-        some = some[(some < start) | (some >= stop)]
-        final = x[some] @ w
-        best.append(some[np.lexsort((some, -final))[:wanted]])
+                final = x[inside] @ q[i]
+                best[i] = inside[np.lexsort((inside, -final))[: wanted[i]]]
+        todo = np.array(left, np.int64)
+        if not len(todo):
+            break
     return best, entries
 
 
