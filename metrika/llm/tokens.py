@@ -9,8 +9,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Fragments remembered by a worker; beyond it only those of the last batch stay. Bounds memory, never results.
-REMEMBERED = 500_000
+#: Fragments remembered by a worker, in two halves: when the newer is full, the older goes, but for what was used again.
+#: Bounds memory, never results.
+REMEMBERED = 250_000
 #: Characters whose class, case and normal form are beyond doubt in any Unicode version; fragments of these alone are
 #: encoded many at a time by the merge ranks, all others one by one by the tokenizers library itself.
 PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -47,7 +48,8 @@ class Ranks:
             r = np.array(self.encoding.encode_ordinary("".join(some)), np.int64)
             ends = np.searchsorted(np.cumsum(self.size[r]), np.cumsum([len(p.encode()) for p in some]), "left") + 1
             raw = self.ids[r].tobytes()
-            out += [raw[4 * i : 4 * j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]
+            ends = (4 * ends).tolist()
+            out += [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
 
@@ -62,6 +64,7 @@ class Fragments:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -76,12 +79,17 @@ class Fragments:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.cut(t) for t in texts]
         used: set[str] = set().union(*cut) if cut else set()
-        self.learn(list(used - self.known.keys()))
+        new = used.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((f, self.older[f]) for f in again)
+        new -= again
+        self.learn(list(new))
         get = self.known.__getitem__
         out = [b"".join(map(get, c)) for c in cut]
-        if len(self.known) > REMEMBERED or any(len(f) > LONGEST for f in used):
-            keep = used if len(self.known) > REMEMBERED else self.known
-            self.known = {f: self.known[f] for f in keep if len(f) <= LONGEST} | {"": b""}
+        for f in [f for f in new if len(f) > LONGEST]:
+            del self.known[f]
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {"": b""}
         return out
 
 
