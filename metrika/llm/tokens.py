@@ -20,6 +20,9 @@ TOGETHER = 4000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer fragments are encoded each time.
 LONGEST = 64
+#: Characters of plain texts that are merged at a time; longer texts go in stretches that end before a blank.
+STRETCH = 1 << 19
+BLANK, LETTER, DIGIT, OTHER = range(4)
 
 
 def byte_chars() -> dict[str, int]:
@@ -29,6 +32,19 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def stretches(text: str, most: int) -> list[str]:
+    """text in stretches of at most `most` characters that end before a blank; a longer run without one stands whole."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = max(text.rfind(c, at + 1, at + most + 1) for c in " \t\r\n")
+        if end < 0:
+            later = [x for x in (text.find(c, at + most) for c in " \t\r\n") if x >= 0]
+            end = min(later, default=len(text))
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 class Ranks:
     """Byte-pair merging by rank. `ranks` has all single bytes and the bytes of every merge's result, in order of merging."""
 
@@ -187,7 +203,13 @@ class Words(Fragments):
             order.setdefault(raw(a + b), vocab[a + b])
         self.ranks = Ranks("[^\x01]+\x01", {t: k for k, t in enumerate(order)}, np.array(list(order.values())))
         self.plain = re.compile(f"[{PLAIN}]+")
+        self.blank_or_plain = re.compile(f"[ \t\r\n{PLAIN}]*")
+        self.contraction = re.compile("'(?:s|t|re|ve|m|ll|d)")
         letters = "a-z\u00df-\u00f6\u00f8-\u017f"
+        self.kind = np.full(0x180, OTHER, np.uint8)
+        self.kind[[ord(c) for c in " \t\r\n"]] = BLANK
+        self.kind[[k for k in range(0x180) if re.match(f"[{letters}]", chr(k))]] = LETTER
+        self.kind[[ord(c) for c in "0123456789"]] = DIGIT
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
 
     def cut(self, text: str) -> list[str]:
@@ -195,6 +217,61 @@ class Words(Fragments):
             return [text]
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Plain texts are merged whole and many at a time, without a look at single fragments; all others by fragments."""
+        if not self.ranks or self.whole:
+            return super().encode(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if self.blank_or_plain.fullmatch(t) and "<|" not in t]
+        plain.sort(key=lambda k: texts[k].isascii())
+        at = 0
+        while at < len(plain):
+            end, size = at, 0
+            while end < len(plain) and (end == at or size + len(texts[plain[end]]) <= STRETCH):
+                size += len(texts[plain[end]])
+                end += 1
+            some = plain[at:end]
+            if size <= STRETCH:
+                made = self.merged([texts[k] for k in some])
+            else:
+                made = [b"".join(self.merged([x])[0] for x in stretches(texts[some[0]], STRETCH))]
+            for k, ids in zip(some, made, strict=True):
+                out[k] = ids
+            at = end
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, super().encode([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def merged(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts. Pieces end where the kind of character changes and after each digit; a contraction, where a
+        piece starts with its apostrophe, is a piece of its own. Blanks go and END follows each piece."""
+        text = "\n".join(texts).lower() + "\n"
+        narrow = text.isascii()
+        code = "ascii" if narrow else "utf-16-le"
+        chars = np.frombuffer(text.encode(code), np.uint8 if narrow else "<u2")
+        kind = self.kind[chars]
+        kept = kind != BLANK
+        last = np.zeros(len(chars), bool)
+        last[:-1] = kept[:-1] & ((kind[:-1] != kind[1:]) | (kind[:-1] == DIGIT))
+        if "'" in text:
+            for m in self.contraction.finditer(text):
+                i, j = m.span()
+                if not i or kind[i - 1] != OTHER:
+                    last[i], last[i + 1 : j - 1], last[j - 1] = False, False, True
+        width = kept.view(np.int8) + last.view(np.int8)
+        place = np.cumsum(width, dtype=np.int32)
+        ended = np.repeat(chars, width)
+        ended[place[last] - 1] = ord(self.END)
+        joined = ended.tobytes().decode(code)
+        if not narrow:
+            place = np.cumsum(width + (chars >= 0x80), dtype=np.int32)
+        r = np.array(self.ranks.encoding.encode_ordinary(joined), np.uint32)
+        texts_end = place[np.cumsum([len(t) + 1 for t in texts]) - 1]
+        ends = (4 * np.searchsorted(np.cumsum(self.ranks.size[r]), texts_end, "right")).tolist()
+        raw = self.ranks.ids[r].tobytes()
+        return [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
     def learn(self, fragments: list[str]) -> None:
         if not self.ranks:
             return super().learn(fragments)

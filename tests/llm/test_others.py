@@ -241,6 +241,27 @@ def test_fragments_forget_and_cut(monkeypatch):
     assert len(codec.known) <= 5 and codec.encode(["some words to know"]) == before
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 50, tokens.STRETCH])
+def test_plain_texts_are_merged_whole(monkeypatch, stretch):
+    monkeypatch.setattr(tokens, "STRETCH", stretch)
+    codec, r = tokens.words(WORD), random.Random(5)
+    assert codec.ranks is not None and not codec.whole
+    chars = "abzABZ'''stredvml  \n\t\r0123.,!-éÀßſŉĸ<|>~ÿ"
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(60))) for _ in range(3000)]
+    texts += ["don't'S ''s 's's I'LL'd'", "'re", "", " ", "\r\n", "x" * 1000, " \n " * 100, "a" * 500 + " " + "b" * 200 + " c", " ".join(texts)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in codec.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert codec.encode(texts) == want
+
+
+def test_stretches():
+    r = random.Random(6)
+    for _ in range(300):
+        text, most = "".join(r.choice("ab \n\t") for _ in range(r.randrange(60))), r.randrange(1, 12)
+        parts = tokens.stretches(text, most)
+        assert "".join(parts) == text and all(p[0].isspace() for p in parts[1:] if p)
+        assert all(len(p) <= most or not any(c.isspace() for c in p[1:]) for p in parts)
+
+
 def test_bpe_operator(spark, documents):
     rows = [(1, None), (2, ""), (3, "Hello world é"), (None, "x"), (3, "Hello world é")]
     enc = bpe.bpe_encode(documents(rows), BYTE)
