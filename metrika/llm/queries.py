@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, as the contracts name the columns, and their SQL."""
+"""Queries of the operators over their whole tables, as the contracts name the columns, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, packing, passage_dedup, simhash, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, filter_audit, infill, langid, line_dedup, packing, passage_dedup, simhash, suffix_dedup, token_counts, topk, warc
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 
@@ -103,5 +103,67 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM d GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op7_passages, op8_suffix_array, op9_line_dedup, op10_packing)}
-SQL = {"op1_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
+
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = out.select("doc_id", F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"), F.col("_middle_chars").alias("middle_chars"), "_output")
+    back = infill.restored(F.col("_output"), F.col("form"))
+    return made.withColumns({"output_sha256": F.sha2("_output", 256), "restored_sha256": F.sha2(back, 256)}).drop("_output")
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+             CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, n, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), coalesce(min(w.doc_id) OVER (PARTITION BY t) < w.doc_id, false)] AS bad,
+             coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+g AS (SELECT part, bad, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT part, p, CAST(i AS INTEGER) AS step, p[i] AS k, n, good, toxic, bad[p[i]] AS fails, len(list_filter(p[1:i - 1], lambda y: bad[y])) > 0 AS gone,
+             len(list_filter(bad, lambda y: y)) = 1 AS single FROM g, o, x),
+r AS (SELECT part, array_to_string([chr(CAST(64 + y AS INTEGER)) FOR y IN p], '') AS filter_order, step, any_value(k) AS k,
+             coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+             coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (fails AND single), 0) AS unique_fails,
+             coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND toxic), 0) AS toxic_lost
+      FROM s GROUP BY part, p, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk, op2_warc, op3_language, op4_simhash, op5_exact_dedup, op6_bpe, op7_passages, op8_suffix_array, op9_line_dedup, op10_packing, op11_infill, op12_filter_audit,
+        op13_token_counts,
+    )
+}
+SQL = {"op1_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_infill": OP11_SQL, "op12_filter_audit": OP12_SQL}
