@@ -115,13 +115,14 @@ class Merger:
             at = at[self.ranks(symbols[at], symbols[after[at]]) == r]
             if not len(at):
                 continue
-            new = np.r_[True, after[at[:-1]] != at[1:]]
-            run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-            do = at[(np.arange(len(at)) - run) % 2 == 0]
-            if not self.together[r] and len(do) > 1:
-                rest, do = do[1:], do[:1]
+            if self.together[r]:
+                new = np.r_[True, after[at[:-1]] != at[1:]]
+                run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                do = at[(np.arange(len(at)) - run) % 2 == 0]
+            else:
+                do = at[:1]
                 heapq.heappush(queue, r)
-                waiting[r] = [rest]
+                waiting[r] = [at[1:]]
             lost = after[do]
             symbols[do], here[lost], gone = self.made[r], False, gone + len(do)
             after[do] = after[lost]
