@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import names as N
+from . import ranking as R
 from . import tables as T
 
 
 def category_stats(annotations: DataFrame, category: str, area: str) -> DataFrame:
     """Count, percent of all, and area statistics (population SD) a category."""
     v = F.col(area)
-    per = annotations.groupBy(category).agg(
-        F.count("*").alias("n"), F.avg(v).alias("area_mean"), F.stddev_pop(v).alias("area_sd"), F.min(v).alias("area_min"), F.max(v).alias("area_max"), F.percentile(v, F.lit(0.5)).alias("area_median"),
-    )
+    per = annotations.groupBy(category).agg(F.count("*").alias("n"), F.avg(v).alias("area_mean"), F.stddev_pop(v).alias("area_sd"), F.min(v).alias("area_min"), F.max(v).alias("area_max"))
+    per = R.with_quantiles(per, annotations, [category], area, {"area_median": 0.5})
     return per.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def per_image(images: DataFrame, annotations: DataFrame, image: str) -> DataFrame:
     """Annotations an image over those that have any, and how many images have none."""
     n = annotations.groupBy(image).agg(F.count("*").alias("n"))
-    stats = n.agg(F.count("*").alias("annotated"), F.avg("n").alias("mean"), F.coalesce(F.stddev_pop("n"), F.lit(0.0)).alias("sd"), F.min("n").alias("min"), F.max("n").alias("max"), F.percentile("n", F.lit(0.5)).alias("median"))
+    stats = n.agg(F.count("*").alias("annotated"), F.avg("n").alias("mean"), F.coalesce(F.stddev_pop("n"), F.lit(0.0)).alias("sd"), F.min("n").alias("min"), F.max("n").alias("max"))
+    stats = R.with_quantiles(stats, n, [], "n", {"median": 0.5}).select("annotated", "mean", "sd", "min", "max", "median")
     empty = images.select(image).distinct().join(n, image, "left_anti").agg(F.count("*").alias("empty"))
     return stats.join(empty)
 
@@ -68,7 +69,7 @@ def augmentation_plan(images: DataFrame, order: str, seed: int = 42, combined: b
     else:
         i = F.col("_at") - 1
         kind = F.when(i % 3 == 0, "intensity").when(i % 3 == 1, "noise").otherwise("rotation")
-        planned = T.numbered(images, order, "_at").withColumn("aug_type", kind).drop("_at")
+        planned = R.numbered(images, order, "_at").withColumn("aug_type", kind).drop("_at")
     return planned.withColumns({"factor": 0.7 + 0.6 * u(1), "noise_sd": 5 + 15 * u(2), "degrees": -15 + 30 * u(3)})
 
 

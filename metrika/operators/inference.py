@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking as R
+
 # --- distributions ----------------------------------------------------------------------------------------------------
 
 
@@ -127,24 +129,10 @@ def tukey(df: DataFrame, group: str, value: str) -> DataFrame:
     return pairs.select("a", "b", (F.col("m_a") - F.col("m_b")).alias("diff"), q.alias("q"), tail(q, "k", "dof").alias("p"))
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, ties, rank): each distinct value with its average rank.
-
-    Counting distinct values first leaves one row a value for the running sum. That sum works in ranges: the values are
-    range-partitioned, each range's total is added up, and only these few totals are accumulated over all.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
-    parts = counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id())
-    bounds = parts.groupBy("_part").agg(F.sum("ties").alias("_n"))
-    base = bounds.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    run = F.sum("ties").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.join(base, "_part").select(value, "ties", (F.col("_base") + run - (F.col("ties") - 1) / 2).alias("rank"))
-
-
 def rank_sum(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """Two-sided Mann-Whitney: n1, n2, u1, p; normal with tie and continuity corrections, exact for small samples without ties."""
     two = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
-    ranks = average_ranks(two, value)
+    ranks = R.average_ranks(two, value)
     tie = ranks.agg(F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tie"))
     one = two.filter(F.col(group) == first).groupBy(value).agg(F.count("*").alias("c")).join(ranks, value).agg(F.sum(F.col("c") * F.col("rank")).alias("r1"), F.sum("c").alias("n1"))
     other = two.filter(F.col(group) == second).agg(F.count("*").alias("n2"))
@@ -177,15 +165,17 @@ def welch(df: DataFrame, group: str, value: str, first: str, second: str) -> Dat
     return s.withColumn("p", p("t", "df"))
 
 
-def regression(x: Column, y: Column) -> list[Column]:
-    """Aggregates of y on x: n, slope, intercept, r2, bias, mean, extreme and median errors of y - x."""
-    e = y - x
-    slope = F.try_divide(F.covar_pop(x, y), F.var_pop(x))
-    r2 = F.try_divide(F.covar_pop(x, y) ** 2, F.var_pop(x) * F.var_pop(y))
-    return [
-        F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"), slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"), r2.alias("r2"),
-        F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.min(e).alias("min_error"), F.max(e).alias("max_error"), F.percentile(e, F.lit(0.5)).alias("median_error"),
-    ]
+def regression(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Regression of y on x a group: n, slope, intercept, r2, and bias, mean, extreme and median errors of y - x."""
+    rows = R.shared(df.select(by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))).withColumn("_e", F.col("_y") - F.col("_x"))
+    u, v, e = F.col("_x"), F.col("_y"), F.col("_e")
+    slope = F.try_divide(F.covar_pop(u, v), F.var_pop(u))
+    r2 = F.try_divide(F.covar_pop(u, v) ** 2, F.var_pop(u) * F.var_pop(v))
+    stats = rows.groupBy(by).agg(
+        F.count(F.when(u.isNotNull() & v.isNotNull(), 1)).alias("n"), slope.alias("slope"), (F.avg(v) - slope * F.avg(u)).alias("intercept"), r2.alias("r2"),
+        F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.min(e).alias("min_error"), F.max(e).alias("max_error"),
+    )
+    return R.with_quantiles(stats, rows, [by], "_e", {"median_error": 0.5})
 
 
 # --- dose response ----------------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from . import ranking as R
 
 ALL = "all"
 
@@ -135,13 +136,17 @@ def top(df: DataFrame, by: str, value: str, tie: str, n: int) -> DataFrame:
 
 def batches(df: DataFrame, order: str, k: int, per: str | None = None) -> DataFrame:
     """Contiguous batches 1..k, the first n mod k one larger; `per` starts anew for each value."""
-    w = (Window.partitionBy(per) if per else Window.partitionBy()).orderBy(order)
-    return df.withColumn("batch", F.ntile(k).over(w))
+    if per:
+        return df.withColumn("batch", F.ntile(k).over(Window.partitionBy(per).orderBy(order)))
+    rows = R.numbered(df, order, "_at", "_rows")
+    return rows.withColumn("batch", R.batch_of(F.col("_at"), F.col("_rows"), k)).drop("_at", "_rows")
 
 
 def after_first(df: DataFrame, order: str, n: int, per: str | None = None) -> DataFrame:
-    w = (Window.partitionBy(per) if per else Window.partitionBy()).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") > n).drop("_rn")
+    """df without its first n rows in the order of a column, or those of each value of `per`."""
+    if per:
+        return df.withColumn("_rn", F.row_number().over(Window.partitionBy(per).orderBy(order))).filter(F.col("_rn") > n).drop("_rn")
+    return R.numbered(df, order, "_at").filter(F.col("_at") > n).drop("_at")
 
 
 def islands(df: DataFrame, per: Sequence[str], order: str, flag: str) -> DataFrame:
@@ -152,32 +157,28 @@ def islands(df: DataFrame, per: Sequence[str], order: str, flag: str) -> DataFra
     return runs.groupBy(*per, "run").agg(F.first(flag).alias(flag), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """df with its position from 1 in the order of a column; nulls first, equal values in any order.
-
-    Rows are range-partitioned by the column and numbered inside their range; only the ranges' sizes are accumulated over
-    all. No task sorts the whole table.
-    """
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rank = F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return parts.join(base, "_part").withColumn(name, rank).drop("_part", "_base")
-
-
 def new_ids(df: DataFrame, order: str, start: int, name: str = "new_id") -> DataFrame:
     """df with ids start + 1, start + 2, ... in the order of a column."""
-    return numbered(df, order, name).withColumn(name, F.col(name) + start)
+    return R.numbered(df, order, name).withColumn(name, F.col(name) + start)
 
 
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 
-def box_stats(value: str) -> list[Column]:
-    v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+
+
+def box_stats(df: DataFrame, by: str | Sequence[str], value: str, total: str | None = None) -> DataFrame:
+    """(by, n, mean, median, sd, q25, q75) of a group; with `total` also over all rows under that name, in place of the last
+    column of by. The sample SD of one value is 0. Exact, and no task holds a group; df is computed once."""
+    by = [by] if isinstance(by, str) else list(by)
+    rows = R.shared(df.select(*by, F.col(value).cast("double").alias("_x")))
+    if total is not None:
+        rows = rows.withColumn(by[-1], F.explode(F.array(F.col(by[-1]), F.lit(total))))
+    v = F.col("_x")
     sd = F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v))
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), q[1].alias("median"), sd.alias("sd"), q[0].alias("q25"), q[2].alias("q75")]
+    stats = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), sd.alias("sd"))
+    return R.with_quantiles(stats, rows, by, "_x", QUARTILES).select(*by, "n", "mean", "median", "sd", "q25", "q75")
 
 
 def grouped(df: DataFrame, by: str, aggregates: Sequence[Column], total: str | None = None) -> DataFrame:
@@ -215,8 +216,10 @@ def ratio_to_control(df: DataFrame, group: str, dose: str, value: str, to: str =
 
 
 def speed_summary(df: DataFrame, order: str, seconds: str, k: int, warm_up: int = 0) -> DataFrame:
-    """Sums of k contiguous batches after the warm-up, and their mean, sample SD, extremes, median, rate and time an item."""
-    rows = batches(after_first(df, order, warm_up), order, k)
+    """Sums of k contiguous batches after the warm-up, and their mean, sample SD, extremes, median (of k sums), rate and time an
+    item."""
+    rows = R.numbered(df, order, "_at", "_rows").filter(F.col("_at") > warm_up)
+    rows = rows.withColumn("batch", R.batch_of(F.col("_at") - warm_up, F.col("_rows") - warm_up, k))
     sums = rows.groupBy("batch").agg(F.count("*").alias("items"), F.sum(seconds).alias("s"))
     total = sums.agg(
         F.count("*").alias("batches"), F.sum("items").alias("items"), F.avg("s").alias("mean"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("sd"),

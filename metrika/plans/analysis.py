@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..operators import inference as I
+from ..operators import ranking as R
 from ..operators import tables as T
 from .registry import query, table
 
@@ -254,7 +255,7 @@ def rounded(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
 
 @query(f"WITH {ERRORS} SELECT coalesce(category, 'all') AS category, {STATS.format('pa')} FROM e GROUP BY ROLLUP (category)")
 def a5_a6_box_stats_with_all(s, d):
-    return rounded(T.grouped(errors(s, d), "category", T.box_stats("pa"), T.ALL), "mean", "median", "sd", "q25", "q75")
+    return rounded(T.box_stats(errors(s, d), "category", "pa", T.ALL), "mean", "median", "sd", "q25", "q75")
 
 
 @query(f"""WITH {ERRORS} SELECT category, round(avg(gt - a), 3) AS mean, round(coalesce(stddev_samp(gt - a) / sqrt(count(*)), 0.0), 3) AS sem,
@@ -267,7 +268,7 @@ def a7_a8_mean_and_sem(s, d):
 @query(f"WITH {ERRORS}, {MERGE} SELECT coalesce(parent, category) AS category, {STATS.format('pa')} FROM e LEFT JOIN map ON src = category GROUP BY 1")
 def a9_r1_merge_then_aggregate(s, d):
     x = T.relabel(errors(s, d), "category", s.createDataFrame(MERGED, "src string, parent string"))
-    return rounded(T.grouped(x, "category", T.box_stats("pa")), "mean", "median", "sd", "q25", "q75")
+    return rounded(T.box_stats(x, "category", "pa"), "mean", "median", "sd", "q25", "q75")
 
 
 @query(f"""WITH {METHODS} SELECT coalesce(category, 'all') AS category, count(*) AS n_truth, count(b) AS n_found, round(100.0 * count(b) / count(*), 6) AS percent FROM m GROUP BY ROLLUP (category)""")
@@ -317,14 +318,13 @@ def a45_warning_effect(s, d):
     e = errors(s, d)
     kinds = F.when(F.col("warn") == "F", F.array(F.lit("unfiltered"), F.lit("warned"))).otherwise(F.array(F.lit("unfiltered"), F.lit("filtered")))
     u = e.select("category", F.explode(kinds).alias("k"), "pa", "pb").unpivot(["category", "k"], ["pa", "pb"], "metric", "v").filter("v is not null")
-    both = u.union(u.withColumn("category", F.lit(T.ALL)))
-    return rounded(both.groupBy("k", "metric", "category").agg(*T.box_stats("v")), "mean", "median", "sd", "q25", "q75")
+    return rounded(T.box_stats(u, ["k", "metric", "category"], "v", T.ALL), "mean", "median", "sd", "q25", "q75")
 
 
 @query(f"WITH {ERRORS} SELECT category, {STATS.format('x')} FROM (SELECT category, 100.0 * (width_a - width) / width AS x FROM e WHERE b IS NOT NULL) GROUP BY category")
 def a46_width_common_only(s, d):
     e = errors(s, d).filter("b is not null").withColumn("x", M.percent_difference(F.col("width_a"), F.col("width")))
-    return rounded(T.grouped(e, "category", T.box_stats("x")), "mean", "median", "sd", "q25", "q75")
+    return rounded(T.box_stats(e, "category", "x"), "mean", "median", "sd", "q25", "q75")
 
 
 @query(f"WITH {METHODS} SELECT category, file, round(gt, 4) AS gt, round(coalesce(b, a, gt), 4) AS computed FROM m")
@@ -337,7 +337,7 @@ def a49_species_groups(s, d):
     e = errors(s, d)
     ends = e.agg(r(F.min("pa")).alias("lo"), r(F.max("pa")).alias("hi"))
     x = e.join(s.createDataFrame(MERGED, "src string, parent string"), F.col("src") == F.col("category"))
-    return rounded(T.grouped(x.withColumn("species", F.col("parent")), "species", T.box_stats("pa")), "mean", "median", "sd", "q25", "q75").join(ends)
+    return rounded(T.box_stats(x.withColumn("species", F.col("parent")), "species", "pa"), "mean", "median", "sd", "q25", "q75").join(ends)
 
 
 @query("SELECT p_type AS category, count(*) AS n FROM part WHERE p_size = 1 AND p_retailprice > 1500 GROUP BY 1 HAVING count(*) < 20")
@@ -420,7 +420,7 @@ def a16_welch(s, d):
 round(avg(l_extendedprice - l_quantity), 3) AS bias, round(avg(abs(l_extendedprice - l_quantity)), 3) AS mae, round(min(l_extendedprice - l_quantity), 3) AS min_error, round(max(l_extendedprice - l_quantity), 3) AS max_error,
 round(quantile_cont(l_extendedprice - l_quantity, 0.5), 3) AS median_error FROM lineitem GROUP BY 1""")
 def a17_regression(s, d):
-    out = table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(*I.regression(F.col("l_quantity"), F.col("l_extendedprice")))
+    out = I.regression(table(s, d, "lineitem").withColumnRenamed("l_returnflag", "g"), "g", "l_quantity", "l_extendedprice")
     return rounded(rounded(rounded(out, "slope", n=4), "r2", n=8), "intercept", "bias", "mae", "min_error", "max_error", "median_error", n=3)
 
 
@@ -488,8 +488,9 @@ def a38_histogram(s, d):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS sd, round(max(value) - min(value), 6) AS range FROM events GROUP BY 1")
 def a39_annotation(s, d):
-    v = F.col("value")
-    return table(s, d, "events").groupBy("event_type").agg(r(F.avg(v)).alias("mean"), r(F.percentile(v, F.lit(0.5))).alias("median"), r(F.stddev_pop(v)).alias("sd"), r(F.max(v) - F.min(v)).alias("range"))
+    v, rows = F.col("value"), table(s, d, "events").select("event_type", "value")
+    stats = rows.groupBy("event_type").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), (F.max(v) - F.min(v)).alias("range"))
+    return rounded(R.with_quantiles(stats, rows, ["event_type"], "value", {"median": 0.5}), "mean", "median", "sd", "range")
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -409,10 +409,10 @@ def r8_seeded_sample(s, d):
     return T.sample(table(s, d, "part"), "p_partkey", 50).agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("distinct_ids"))
 
 
-@query("SELECT p_partkey, CASE (row_number() OVER (ORDER BY p_partkey) - 1) % 3 WHEN 0 THEN 'intensity' WHEN 1 THEN 'noise' ELSE 'rotation' END AS aug_type, true AS in_range FROM part")
+@query("SELECT o_orderkey, CASE (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 WHEN 0 THEN 'intensity' WHEN 1 THEN 'noise' ELSE 'rotation' END AS aug_type, true AS in_range FROM orders")
 def r9_g26_augmentation_plan(s, d):
-    x = C.augmentation_plan(table(s, d, "part"), "p_partkey")
-    return x.select("p_partkey", "aug_type", F.col("factor").between(0.7, 1.3).alias("in_range"))
+    x = C.augmentation_plan(table(s, d, "orders"), "o_orderkey")
+    return x.select("o_orderkey", "aug_type", (F.col("factor").between(0.7, 1.3) & F.col("noise_sd").between(5, 20) & F.col("degrees").between(-15, 15)).alias("in_range"))
 
 
 @query("SELECT p_type AS class, count(*) AS n, 0 AS class_id FROM part GROUP BY 1")
@@ -420,9 +420,9 @@ def r7_class_routing(s, d):
     return table(s, d, "part").withColumn("class_id", F.lit(0)).groupBy(F.col("p_type").alias("class"), "class_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, 1000 + row_number() OVER (ORDER BY s_suppkey) AS new_id FROM supplier")
+@query("SELECT event_id, ts, user_id, event_type, value, 1000 + row_number() OVER (ORDER BY event_id) AS new_id FROM events")
 def w14_new_ids(s, d):
-    return T.new_ids(table(s, d, "supplier").select("s_suppkey"), "s_suppkey", 1000)
+    return T.new_ids(table(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id", 1000)
 
 
 @query("SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")

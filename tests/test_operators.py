@@ -15,6 +15,7 @@ from metrika.operators import curation as C
 from metrika.operators import inference as I
 from metrika.operators import kernels as K
 from metrika.operators import matching as X
+from metrika.operators import ranking as R
 from metrika.operators import tables as T
 from metrika.plans import measure
 from metrika.sources import files as S
@@ -133,7 +134,7 @@ def test_taxonomy(spark):
 
 def test_box_stats_and_total(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double")
-    got = {r.g: r for r in T.grouped(df, "g", T.box_stats("v"), "all").collect()}
+    got = {r.g: r for r in T.box_stats(df, "g", "v", "all").collect()}
     assert (got["a"].mean, got["a"].median, got["a"].sd) == (2.0, 2.0, pytest.approx(math.sqrt(2))) and got["b"].sd == 0 and got["all"].n == 3
 
 
@@ -201,9 +202,9 @@ def test_dose_response_of_rising_and_steep_curves(spark):
 
 def test_positions_and_ids(spark):
     df = spark.createDataFrame([(i * 7 % 100,) for i in range(100)], "k int").repartition(7)
-    assert sorted((r.k, r.at) for r in T.numbered(df, "k", "at").collect()) == [(i, i + 1) for i in range(100)]
+    assert sorted((r.k, r.at) for r in R.numbered(df, "k", "at").collect()) == [(i, i + 1) for i in range(100)]
     assert {(r.k, r.new_id) for r in T.new_ids(df, "k", 1000).collect()} == {(i, 1001 + i) for i in range(100)}
-    assert T.numbered(df.limit(0), "k", "at").count() == 0
+    assert R.numbered(df.limit(0), "k", "at").count() == 0
 
 
 def test_nearest_anchor_of_the_same_image(spark):
