@@ -75,14 +75,6 @@ def clipped(pairs: DataFrame, least_area: float = 1.0) -> DataFrame:
     return pairs.withColumn("clip", cut("polygon", own, F.col("rx1").cast("double"), F.col("ry1").cast("double"), F.col("size").cast("double"))).filter("clip is not null")
 
 
-def rasterized_area(polygon: Column, height: int, width: int) -> Column:
-    @F.pandas_udf("long")
-    def area(poly: pd.Series) -> pd.Series:
-        return pd.Series([int(K.rasterize([(q["x"], q["y"]) for q in p], height, width).sum()) for p in poly])
-
-    return area(polygon)
-
-
 def augmented(images: DataFrame, seed: int = 42) -> DataFrame:
     """images (id, pixels, height, width, aug_type, factor, noise_sd) with `changed`: the pixels after that augmentation."""
 
@@ -99,24 +91,6 @@ def augmented(images: DataFrame, seed: int = 42) -> DataFrame:
     return images.withColumn("changed", apply(F.col("id"), "pixels", "aug_type", "factor", "noise_sd"))
 
 
-def on_canvas(images: DataFrame, threshold: float, height: int, width: int) -> DataFrame:
-    """(id, area, x1, y1, x2, y2): foreground pixels of each cut-out's mask once pasted at (top, left, size) on a canvas, and
-    the box around them; the box is null where nothing is lit."""
-    kind = dict(images.dtypes)["id"]
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                y, x = np.nonzero(K.paste(_grid(r.pixels, r.height, r.width) > threshold, r.top, r.left, r.size, height, width))
-                out.append((r.id, len(x), *((x.min(), y.min(), x.max(), y.max()) if len(x) else (None,) * 4)))
-            names = ["id", "area", "x1", "y1", "x2", "y2"]
-            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[2:], "Int64"))
-
-    out = f"id {kind}, area long, x1 long, y1 long, x2 long, y2 long"
-    return images.select("id", "pixels", "height", "width", "top", "left", F.col("side").alias("size")).mapInPandas(run, out)
-
-
 def inside_well(images: DataFrame, inset: int = 1) -> DataFrame:
     """(id, lit): pixels above 0 that are left inside the well's disc."""
     kind = dict(images.dtypes)["id"]

@@ -39,15 +39,6 @@ def with_box_iou(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", box_iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX)))
 
 
-def mask_iou(pairs: DataFrame, left: DataFrame, right: DataFrame, mask: str = "pixels") -> DataFrame:
-    """IoU of masks given as flat arrays of 0 and 1; arrays of different length share nothing."""
-    x = pairs.join(left.select(F.col("id").alias("a"), F.col(mask).alias("_a")), "a").join(right.select(F.col("id").alias("b"), F.col(mask).alias("_b")), "b")
-    both = F.aggregate(F.zip_with("_a", "_b", lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
-    iou = F.when(F.size("_a") != F.size("_b"), 0.0).otherwise(F.coalesce(F.try_divide(both.cast("double"), total("_a") + total("_b") - both), F.lit(0.0)))
-    return x.withColumn("iou", iou).drop("_a", "_b")
-
-
 def hungarian(gain: np.ndarray) -> list[tuple[int, int]]:
     """Assignment of the largest total gain, by shortest augmenting paths; rows and columns may differ in number."""
     flip = gain.shape[0] > gain.shape[1]
@@ -132,23 +123,3 @@ def nearest_anchor(points: DataFrame, anchors: DataFrame, image: str) -> DataFra
     own = anchors.groupBy(image).agg(F.sort_array(F.collect_list(F.struct("anchor", "ax", "ay"))).alias("_all"))
     d = F.transform("_all", lambda a: F.struct(((F.col("x") - a["ax"]) ** 2 + (F.col("y") - a["ay"]) ** 2).alias("d"), a["anchor"].alias("anchor")))
     return points.join(own, image, "left").withColumn("anchor", F.array_min(d)["anchor"]).drop("_all")
-
-
-def suppress(boxes: DataFrame, image: str, threshold: float, conf_least: float = 0.25) -> DataFrame:
-    """Confidence filter and greedy non-maximum suppression within an image."""
-    schema = boxes.schema
-
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["conf", "x1", "y1"], ascending=[False, True, True])
-        x1, y1, x2, y2 = (g[c].to_numpy() for c in BOX)
-        area, left, out = (x2 - x1) * (y2 - y1), np.arange(len(g)), []
-        while len(left):
-            i, rest = left[0], left[1:]
-            out.append(i)
-            w = np.clip(np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]), 0, None)
-            h = np.clip(np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]), 0, None)
-            union = area[i] + area[rest] - w * h
-            left = rest[np.where(union > 0, w * h / np.where(union > 0, union, 1), 0) <= threshold]
-        return g.iloc[out]
-
-    return boxes.filter(F.col("conf") >= conf_least).groupBy(image).applyInPandas(keep, schema)

@@ -230,15 +230,6 @@ def a36_s28_mask_area_and_box(s, d):
     return p.groupBy("vec_id").agg(F.count("*").alias("area"), F.min(c).alias("x1"), F.min(q).alias("y1"), F.max(c).alias("x2"), F.max(q).alias("y2"))
 
 
-@query("""WITH m AS (SELECT vec_id, vec_id // 16 AS image, [CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding] AS px FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum([a.px[i] * b.px[i] FOR i IN range(1, 65)]) / nullif(list_sum(a.px) + list_sum(b.px) - list_sum([a.px[i] * b.px[i] FOR i IN range(1, 65)]), 0), 8) AS iou
-FROM m a JOIN m b ON a.image = b.image AND a.vec_id < b.vec_id""")
-def j12_mask_iou(s, d):
-    m = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 16).alias("image"), F.transform("embedding", lambda v: (v > 0).cast("int")).alias("pixels"))
-    p = m.select("image", F.col("id").alias("a")).join(m.select("image", F.col("id").alias("b")), "image").filter("a < b")
-    return X.mask_iou(p, m, m).select("a", "b", r("iou", 8).alias("iou"))
-
-
 @query("SELECT vec_id, round(min(v), 4) AS lo, round(max(v), 4) AS hi, round(avg(v), 4) AS mean FROM (SELECT vec_id, (CAST(x AS DOUBLE) - list_min(embedding)) * 255.0 / (CAST(list_max(embedding) AS DOUBLE) - CAST(list_min(embedding) AS DOUBLE)) AS v FROM (SELECT vec_id, embedding, unnest(embedding) AS x FROM embeddings)) GROUP BY 1")
 def p1_depth_normalize(s, d):
     px = F.transform("embedding", lambda v: v.cast("double"))
@@ -584,12 +575,6 @@ def p7_k1_measurement_rows(s, d):
     return measure.measurement_rows(measure.measure(images(s, d), measure.ThresholdPredictor))
 
 
-@query()
-def f1_suppress_boxes(s, d):
-    b = boxes(s, d).withColumn("conf", F.abs(F.col("x1")) * 2)
-    return X.suppress(b, "label", 0.5, 0.05).select("label", "vec_id")
-
-
 # --- mask kernels over 8 x 8 grids ------------------------------------------------------------------------------------------------
 
 
@@ -617,26 +602,12 @@ def p18_clip_polygons(s, d):
     return Z.clipped(C.roi_dataset(ann)).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
 
 
-@query()
-def g23_rasterize(s, d):
-    poly = F.transform("line", lambda p: F.struct((p["x"] * 60 + 32).alias("x"), (p["y"] * 60 + 32).alias("y")))
-    return lines(s, d).select("vec_id", Z.rasterized_area(poly, 64, 64).alias("area"))
-
-
 @query()
 def p38_augment_pixels(s, d):
     x = C.augmentation_plan(grids(s, d).withColumn("pixels", F.transform("pixels", lambda v: F.abs(v) * 400)), "id")
     return Z.augmented(x).select("id", "aug_type", F.array_max("changed").alias("most"))
 
 
-@query("""SELECT vec_id AS id, count(*) FILTER (v > 0) AS area, min(i % 8 + vec_id % 20) FILTER (v > 0) AS x1, min(i // 8 + 2) FILTER (v > 0) AS y1,
- max(i % 8 + vec_id % 20) FILTER (v > 0) AS x2, max(i // 8 + 2) FILTER (v > 0) AS y2
-FROM (SELECT vec_id, i, embedding[i + 1] AS v FROM embeddings, range(64) t(i)) GROUP BY vec_id""")
-def p10_k4_masks_on_canvas(s, d):
-    x = grids(s, d).withColumns({"top": F.lit(2), "left": (F.col("id") % 20).cast("int"), "side": F.lit(8)})
-    return Z.on_canvas(x, 0.0, 32, 32)
-
-
 @query()
 def p40_inside_well(s, d):
     return Z.inside_well(grids(s, d).withColumn("pixels", F.transform("pixels", lambda v: F.floor(F.abs(v) * 10000).cast("double"))))

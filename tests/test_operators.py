@@ -251,11 +251,6 @@ def test_candidates_by_cell_are_the_same(spark):
     assert plain == cells and plain
 
 
-def test_suppression(spark):
-    df = spark.createDataFrame([("i", 0.0, 0.0, 2.0, 2.0, 0.9), ("i", 0.1, 0.0, 2.0, 2.0, 0.8), ("i", 5.0, 5.0, 6.0, 6.0, 0.5), ("i", 5.0, 5.0, 6.0, 6.0, 0.1)], "img string, x1 double, y1 double, x2 double, y2 double, conf double")
-    assert sorted(r.conf for r in X.suppress(df, "img", 0.5).collect()) == [0.5, 0.9]
-
-
 # --- kernels ----------------------------------------------------------------------------------------------------------
 
 
