@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,3 +191,96 @@ def gap_cost(dx: Column, dy: Column, cos_a: Column, cos_b: Column, far: float, t
 
 def field_of_view(size: Column, um_per_px: float) -> Column:
     return size * um_per_px
+
+
+# --- repair and clipping of polygons ----------------------------------------------------------------------------------
+
+POINTS = "array<struct<x:double,y:double>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _cross(o: Column, a: Column, b: Column) -> Column:
+    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def crosses_itself(polygon: Column) -> Column:
+    """Two edges that are not neighbours meet: cross, touch or lie on each other."""
+    n = F.size(polygon)
+    at = lambda i: F.get(polygon, i % n)
+    side = lambda o, a, b: F.signum(_cross(o, a, b))
+
+    def on(o: Column, a: Column, b: Column) -> Column:
+        """b, in line with o and a, is between them."""
+        return (b["x"] >= F.least(o["x"], a["x"])) & (b["x"] <= F.greatest(o["x"], a["x"])) & (b["y"] >= F.least(o["y"], a["y"])) & (b["y"] <= F.greatest(o["y"], a["y"]))
+
+    def meet(i: Column, j: Column) -> Column:
+        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
+        p, q, r, s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+        touch = ((p == 0) & on(a, b, c)) | ((q == 0) & on(a, b, d)) | ((r == 0) & on(c, d, a)) | ((s == 0) & on(c, d, b))
+        return ((p != q) & (r != s) & (p * q * r * s != 0)) | touch
+
+    later = lambda i: F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j > i + 1) & ~((i == 0) & (j == n - 1)))
+    return F.when(n < 4, False).otherwise(F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.exists(later(i), lambda j: meet(i, j))))
+
+
+def hull(points: Column) -> Column:
+    """The convex hull, counter-clockwise from the leftmost point: the lower and the upper chain of the points in order, each
+    a fold that first drops from its end what would turn the wrong way."""
+
+    def chain(order: Column) -> Column:
+        def add(done: Column, p: Column) -> Column:
+            keeps = lambda m: (m < 2) | (_cross(F.get(done, m - 2), F.get(done, m - 1), p) > 0)
+            m = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size(done)), keeps)), F.lit(0))
+            return F.when(F.size(done) == 0, F.array(p)).otherwise(F.concat(F.slice(done, 1, m), F.array(p)))
+
+        return F.aggregate(order, F.array().cast(POINTS), add)
+
+    ends = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    whole = lambda p: F.concat(let(chain(p), ends), let(chain(F.reverse(p)), ends))
+    return let(F.array_sort(F.array_distinct(points)), lambda p: F.when(F.size(p) < 3, p).otherwise(whole(p)))
+
+
+def signed_area(polygon: Column) -> Column:
+    """Half the shoelace sum: above 0 counter-clockwise where y points up."""
+    n = F.size(polygon)
+    term = lambda p, i: p["x"] * F.get(polygon, (i + 1) % n)["y"] - F.get(polygon, (i + 1) % n)["x"] * p["y"]
+    return F.when(n < 3, 0.0).otherwise(F.aggregate(F.transform(polygon, term), F.lit(0.0), lambda a, x: a + x) / 2)
+
+
+def repaired(polygon: Column) -> Column:
+    """A polygon without repeated points (the first after the last included) that goes counter-clockwise; one whose edges
+    meet is replaced by its hull."""
+    closed = lambda p: (F.size(p) > 1) & (F.get(p, 0) == F.get(p, F.size(p) - 1))
+    once = F.filter(polygon, lambda p, i: (i == 0) | (F.get(polygon, i - 1) != p))
+    open_ = let(once, lambda p: F.when(closed(p), F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return let(open_, lambda p: F.when(crosses_itself(p), hull(p)).when(signed_area(p) < 0, F.reverse(p)).otherwise(p))
+
+
+def clipped(polygon: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The part of a simple polygon inside a rectangle, cut along one side after the other. Separate parts of a polygon that
+    isn't convex stay connected along the sides, by edges without area."""
+    out = polygon
+    for axis, limit, sign in (("x", x1, 1), ("x", x2, -1), ("y", y1, 1), ("y", y2, -1)):
+        out = let(out, (lambda a, v, k: lambda p: _cut(p, a, v, k))(axis, limit, sign))
+    return out
+
+
+def _cut(polygon: Column, axis: str, limit: Column, sign: int) -> Column:
+    def kept(p: Column, i: Column) -> Column:
+        q = F.get(polygon, F.when(i == 0, F.size(polygon) - 1).otherwise(i - 1))
+        a, b = sign * (q[axis] - limit), sign * (p[axis] - limit)
+        t = F.try_divide(a, a - b)
+        own, other = F.lit(1.0) * limit, (lambda c: q[c] + t * (p[c] - q[c]))
+        on = _point(own, other("y")) if axis == "x" else _point(other("x"), own)
+        entry = F.when((a >= 0) != (b >= 0), F.array(on)).otherwise(F.array().cast(POINTS))
+        return F.concat(entry, F.when(b >= 0, F.array(_point(p["x"], p["y"]))).otherwise(F.array().cast(POINTS)))
+
+    return F.flatten(F.transform(polygon, kept))

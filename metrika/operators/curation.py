@@ -88,24 +88,19 @@ def roi_dataset(annotations: DataFrame, scale: float = 1.3, least: int = 32, out
     return pair.filter(meets)
 
 
-def clip_polygon(points: list[tuple[float, float]], x1: float, y1: float, x2: float, y2: float) -> list[tuple[float, float]]:
-    """Part of a polygon inside a rectangle, cut along one side after the other."""
-    out = list(points)
-    for axis, limit, sign in ((0, x1, 1), (0, x2, -1), (1, y1, 1), (1, y2, -1)):
-        src, out = out, []
-        for k, p in enumerate(src):
-            q = src[k - 1]
-            a, b = sign * (q[axis] - limit), sign * (p[axis] - limit)
-            if (a >= 0) != (b >= 0):
-                t = a / (a - b)
-                out.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
-            if b >= 0:
-                out.append(tuple(p))
-    return out
-
-
-def polygon_area(points: list[tuple[float, float]]) -> float:
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True))) / 2
+def clip_polygons(pairs: DataFrame, least_share: float = 0.001) -> DataFrame:
+    """Rows of roi_dataset with `clip`: the polygon in fractions of its square, clipped to it. The target is not cut; its
+    points are moved to the nearest inside. Neighbours are repaired first (geometry.repaired); what is left of them below
+    least_share of the square, or with fewer than three points, goes. Points within 1e-6 of the last one kept are left out.
+    """
+    side, own = F.col("size").cast("double"), F.col("ann_id") == F.col("target")
+    x = pairs.withColumn("_own", own).withColumn("_simple", F.when(own, F.col("polygon")).otherwise(G.repaired(F.col("polygon"))))
+    x = x.withColumn("_cut", F.when(F.col("_own"), F.col("_simple")).otherwise(G.clipped(F.col("_simple"), *(F.col(c).cast("double") for c in ("rx1", "ry1", "rx2", "ry2")))))
+    x = x.filter(F.col("_own") | (F.abs(G.signed_area(F.col("_cut"))) >= least_share * side * side))
+    unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    scaled = F.transform("_cut", lambda p: F.struct(unit((p["x"] - F.col("rx1")) / side).alias("x"), unit((p["y"] - F.col("ry1")) / side).alias("y")))
+    x = x.withColumn("_clip", scaled).withColumn("clip", F.when(F.col("_own"), F.col("_clip")).otherwise(G.without_repeats(F.col("_clip"))))
+    return x.filter(F.col("_own") | (F.size("clip") >= 3)).drop("_own", "_simple", "_cut", "_clip")
 
 
 @dataclass

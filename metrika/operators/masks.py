@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .curation import clip_polygon, polygon_area
-
-POLYGON = "array<struct<x:double,y:double>>"
 
 
 def _grid(pixels, h, w) -> np.ndarray:
@@ -50,31 +47,6 @@ def shape_table(images: DataFrame, threshold: float = 0.0, ring_radius: int = 1,
     return images.select("id", "pixels", "height", "width").mapInPandas(run, f"id {kind}, ring boolean, filled long, smoothed long, widest double, skeleton long, topology string, border long")
 
 
-def clipped(pairs: DataFrame, least_area: float = 1.0) -> DataFrame:
-    """Rows of curation.roi_dataset with `clip`: the polygon inside the square, normalized to it; the target is not cut.
-
-    Pieces under least_area square pixels go. Points repeated within 1e-6 are left out. Self-intersections are not repaired.
-    """
-
-    @F.pandas_udf(POLYGON)
-    def cut(poly: pd.Series, own: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series) -> pd.Series:
-        out = []
-        for p, o, a, b, s in zip(poly, own, x, y, size, strict=True):
-            pts = [(q["x"], q["y"]) for q in p]
-            if not o:
-                pts = clip_polygon(pts, a, b, a + s, b + s)
-                if polygon_area(pts) < least_area:
-                    out.append(None)
-                    continue
-            pts = [((u - a) / s, (v - b) / s) for u, v in pts]
-            kept = [q for k, q in enumerate(pts) if not k or abs(q[0] - pts[k - 1][0]) > 1e-6 or abs(q[1] - pts[k - 1][1]) > 1e-6]
-            out.append([{"x": float(u), "y": float(v)} for u, v in kept])
-        return pd.Series(out)
-
-    own = F.col("ann_id") == F.col("target")
-    return pairs.withColumn("clip", cut("polygon", own, F.col("rx1").cast("double"), F.col("ry1").cast("double"), F.col("size").cast("double"))).filter("clip is not null")
-
-
 def augmented(images: DataFrame, seed: int = 42) -> DataFrame:
     """images (id, pixels, height, width, aug_type, factor, noise_sd) with `changed`: the pixels after that augmentation."""
 

@@ -215,12 +215,16 @@ def ratio_to_control(df: DataFrame, group: str, dose: str, value: str, to: str =
     return df.join(control, group, "left").withColumn(to, F.try_divide(F.col(value), F.col("_control"))).drop("_control")
 
 
-def speed_summary(df: DataFrame, order: str, seconds: str, k: int, warm_up: int = 0) -> DataFrame:
-    """Sums of k contiguous batches after the warm-up, and their mean, sample SD, extremes, median (of k sums), rate and time an
-    item."""
+def speed_batches(df: DataFrame, order: str, seconds: str, k: int, warm_up: int = 0) -> DataFrame:
+    """(batch, items, s): sums of k contiguous batches after the warm-up."""
     rows = R.numbered(df, order, "_at", "_rows").filter(F.col("_at") > warm_up)
     rows = rows.withColumn("batch", R.batch_of(F.col("_at") - warm_up, F.col("_rows") - warm_up, k))
-    sums = rows.groupBy("batch").agg(F.count("*").alias("items"), F.sum(seconds).alias("s"))
+    return rows.groupBy("batch").agg(F.count("*").alias("items"), F.sum(seconds).alias("s"))
+
+
+def speed_summary(df: DataFrame, order: str, seconds: str, k: int, warm_up: int = 0) -> DataFrame:
+    """Of the batches: mean, sample SD, extremes and median of their k sums, rate and time an item."""
+    sums = speed_batches(df, order, seconds, k, warm_up)
     total = sums.agg(
         F.count("*").alias("batches"), F.sum("items").alias("items"), F.avg("s").alias("mean"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("sd"),
         F.min("s").alias("min"), F.max("s").alias("max"), F.percentile("s", F.lit(0.5)).alias("median"), F.sum("s").alias("total"),

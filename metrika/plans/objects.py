@@ -599,7 +599,7 @@ def g5_g9_g22_shapes(s, d):
 @query()
 def p18_clip_polygons(s, d):
     ann = lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
-    return Z.clipped(C.roi_dataset(ann)).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
+    return C.clip_polygons(C.roi_dataset(ann)).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
 
 
 @query()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -19,6 +21,56 @@ def catalog_json(df: DataFrame, key: str = "name", per: str | None = None) -> Da
     return df.groupBy(*([per] if per else [])).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish(df: DataFrame, path: str, runs: DataFrame, per: Sequence[str] = ("run",), form: str = "csv") -> None:
+    """Replaces what a table holds of some runs: rows of df, one folder a run (its columns are `per`), and nothing of a run of
+    `runs` (the same columns) that has no row. Runs that are in neither stay as they are.
+
+    Only the folders of runs that have rows are written, each as a whole, so a second publishing leaves no row twice. A run
+    of df that `runs` lacks is an error and nothing is written. What the driver gets is the runs without rows.
+    """
+    per = list(per)
+    strange = df.select(*per).distinct().join(runs.select(*per), per, "left_anti")
+    if not strange.isEmpty():
+        raise ValueError(f"rows of runs that are not published: {strange.first()}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*per)
+    writer.options(**({"header": True} if form == "csv" else {})).format(form).save(path)
+    empty = runs.select(*per).distinct().join(df.select(*per).distinct(), per, "left_anti")
+    escape = df.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in empty.toLocalIterator():
+        _remove(df.sparkSession, "/".join([path.rstrip("/"), *(f"{c}={escape(str(row[c]))}" for c in per)]))
+
+
+def estimate_tables(estimates: DataFrame, path: str) -> None:
+    """<path>/<data set>: the estimates of each data set as CSV; <path>/comparison: a row a strain and a `value ± error` text a
+    data set, with a byte-order mark before the header, for spreadsheets. estimates: dataset, strain, EC50, EC50_se, ..."""
+    from ..operators.inference import ec_comparison
+
+    estimates.withColumn("name", F.col("dataset")).write.mode("overwrite").partitionBy("name").option("header", True).csv(f"{path}/estimates")
+    wide = ec_comparison(estimates).orderBy("strain")
+    cell = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), '"', '""'), F.lit('"'))
+    head = "\ufeff" + ",".join(wide.columns)
+    lines = wide.select(F.col("strain").alias("k"), F.concat_ws(",", *(cell(c) for c in wide.columns)).alias("value"))
+    first = wide.sparkSession.createDataFrame([(None, head)], "k string, value string")
+    first.union(lines).orderBy(F.asc_nulls_first("k")).select("value").coalesce(1).write.mode("overwrite").text(f"{path}/comparison")
+
+
+def speed_files(df: DataFrame, path: str, name: str, order: str, seconds: str, k: int, warm_up: int = 0, **more: str) -> None:
+    """<path>/raw: batch_idx from 0, n_items and seconds with six decimals of each batch, as CSV; <path>/summary: one JSON
+    object with the name, the statistics of tables.speed_summary and the fields of `more`."""
+    from ..operators import tables as T
+
+    sums = T.speed_batches(df, order, seconds, k, warm_up)
+    raw = sums.select((F.col("batch") - 1).alias("batch_idx"), F.col("items").alias("n_items"), F.format_string("%.6f", "s").alias("seconds"))
+    raw.coalesce(1).orderBy("batch_idx").write.mode("overwrite").option("header", True).csv(f"{path}/raw")
+    fields = [F.lit(name).alias("name"), "*", *(F.lit(v).alias(c) for c, v in more.items())]
+    T.speed_summary(df, order, seconds, k, warm_up).select(*fields).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

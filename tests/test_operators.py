@@ -370,11 +370,6 @@ def test_dataset(spark, tmp_path):
     assert a.images.count() == b.images.count() == 1 and a.annotations.count() == 1
 
 
-def test_clip_polygon():
-    sq = [(0, 0), (4, 0), (4, 4), (0, 4)]
-    assert C.polygon_area(C.clip_polygon(sq, 2, 2, 6, 6)) == pytest.approx(4) and C.clip_polygon(sq, 5, 5, 6, 6) == []
-
-
 def test_folders_and_lists(spark, tmp_path):
     for n in ("b.PNG", "a.jpg", "c.txt", "d.tif"):
         (tmp_path / "raw").mkdir(exist_ok=True)
