@@ -1,9 +1,7 @@
-"""One-to-one matching of two object sets: candidates by key and overlapping boxes, IoU, optimal assignment."""
+"""One-to-one matching of two object sets: candidates by key and overlapping boxes, IoU, the rest after matching."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,70 +37,6 @@ def with_box_iou(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", box_iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX)))
 
 
-def hungarian(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Assignment of the largest total gain, by shortest augmenting paths; rows and columns may differ in number."""
-    flip = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if flip else gain).astype(np.float64)
-    n, m = cost.shape
-    u, v, of, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        of[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = of[j0]
-            now = np.append(np.inf, cost[i0 - 1] - u[i0] - v[1:])
-            better = ~used & (now < least)
-            least[better], way[better] = now[better], j0
-            j1 = int(np.argmin(np.where(used, np.inf, least)))
-            d = least[j1]
-            u[of[used]] += d
-            v[used] -= d
-            least[~used] -= d
-            j0 = j1
-            if of[j0] == 0:
-                break
-        while j0:
-            of[j0], j0 = of[way[j0]], way[j0]
-    out = [(int(of[j]) - 1, j - 1) for j in range(1, m + 1) if of[j]]
-    return sorted((c, r) if flip else (r, c) for r, c in out)
-
-
-def assign(pairs: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(key, a, b, iou) of the one-to-one assignment with the largest total IoU in each key, and IoU >= threshold.
-
-    IoU is compared in single precision, as the matrices of this method are. Only pairs with a positive IoU come in, so an
-    independent part of the candidate graph is small even where a key is large; parts are solved one by one.
-    """
-    kinds = dict(pairs.dtypes)
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["iou"] > 0]
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(g["a"], g["b"], strict=True):
-            root[find(("a", a))] = find(("b", b))
-        out = []
-        number: dict = {}
-        part_of = np.array([number.setdefault(find(("a", a)), len(number)) for a in g["a"]], int)
-        for _, part in g.groupby(part_of):
-            row, rows = pd.factorize(part["a"], sort=True)
-            col, cols = pd.factorize(part["b"], sort=True)
-            iou = np.zeros((len(rows), len(cols)))
-            iou[row, col] = part["iou"]
-            m = iou.astype(np.float32)
-            out += [(part[key].iloc[0], rows[r], cols[c], float(iou[r, c])) for r, c in hungarian(m) if m[r, c] > 0 and m[r, c] >= np.float32(threshold)]
-        return pd.DataFrame(out, columns=[key, "a", "b", "iou"])
-
-    return pairs.select(key, "a", "b", "iou").groupBy(key).applyInPandas(solve, f"{key} {kinds[key]}, a {kinds['a']}, b {kinds['b']}, iou double")
-
-
 def unmatched(objects: DataFrame, matches: DataFrame, object_id: str, side: str) -> DataFrame:
     return objects.join(matches.select(F.col(side).alias(object_id)), object_id, "left_anti")
 

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import measures as M
 from ..functions import names as N
 from ..operators import curation as C
+from ..operators import assignment as H
 from ..operators import masks as Z
 from ..operators import matching as X
 from ..operators import tables as T
@@ -60,20 +61,20 @@ def j13_box_iou(s, d):
 
 @query()
 def j14_assignment(s, d):
-    return X.assign(X.with_box_iou(X.candidates(*sides(s, d), "label", "vec_id", "vec_id")), "label", 0.3)
+    return H.assign(X.with_box_iou(X.candidates(*sides(s, d), "label", "vec_id", "vec_id")), "label", 0.3)
 
 
 @query()
 def a28_a29_match_summary(s, d):
     left, right = sides(s, d)
-    m = X.assign(X.with_box_iou(X.candidates(left, right, "label", "vec_id", "vec_id")), "label", 0.3)
+    m = H.assign(X.with_box_iou(X.candidates(left, right, "label", "vec_id", "vec_id")), "label", 0.3)
     return X.match_summary(m, left, right)
 
 
 @query()
 def u4_k11_unmatched_objects(s, d):
     left, right = sides(s, d)
-    m = X.assign(X.with_box_iou(X.candidates(left, right, "label", "vec_id", "vec_id")), "label", 0.3)
+    m = H.assign(X.with_box_iou(X.candidates(left, right, "label", "vec_id", "vec_id")), "label", 0.3)
     return X.unmatched(left, m, "vec_id", "a").select("vec_id").union(X.unmatched(right, m, "vec_id", "b").select("vec_id"))
 
 

@@ -217,32 +217,6 @@ def test_nearest_anchor_of_the_same_image(spark):
 # --- matching ---------------------------------------------------------------------------------------------------------
 
 
-def test_assignment_is_optimal_in_every_image(spark):
-    rng = np.random.default_rng(6)
-    rows = [(k, a, b, float(np.float32(rng.random()))) for k in range(6) for a in range(4) for b in range(4) if rng.random() < 0.6]
-    got = {}
-    for r in X.assign(spark.createDataFrame(rows, "k int, a int, b int, iou double"), "k", 0.0).collect():
-        got.setdefault(r.k, []).append((r.a, r.b, r.iou))
-    for k in range(6):
-        iou = {(a, b): x for i, a, b, x in rows if i == k}
-        best = max(sum(iou.get((a, b), 0.0) for a, b in enumerate(order)) for order in itertools.permutations(range(4)))
-        assert sum(x for *_, x in got.get(k, [])) == pytest.approx(best, abs=1e-5)
-        assert len({a for a, *_ in got.get(k, [])}) == len({b for _, b, _ in got.get(k, [])}) == len(got.get(k, []))
-
-
-def test_hungarian_is_optimal():
-    rng = np.random.default_rng(3)
-    for n, m in itertools.product(range(1, 6), range(1, 6)):
-        g = rng.random((n, m))
-        best = max(sum(g[i, j] for i, j in zip(rows, cols, strict=True)) for k in [min(n, m)] for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k))
-        assert sum(g[i, j] for i, j in X.hungarian(g)) == pytest.approx(best)
-
-
-def test_assignment_threshold_in_single_precision(spark):
-    pairs = spark.createDataFrame([("k", 1, 1, 0.7), ("k", 1, 2, 0.6), ("k", 2, 2, 0.69), ("j", 5, 5, 0.9), ("j", 6, 5, 0.95)], "k string, a int, b int, iou double")
-    assert {(r.a, r.b) for r in X.assign(pairs, "k", 0.7).collect()} == {(1, 1), (6, 5)}
-
-
 def test_candidates_by_cell_are_the_same(spark):
     r = random.Random(4)
     rows = lambda: [("k", i, x := r.uniform(-3, 3), y := r.uniform(-3, 3), x + r.random(), y + r.random()) for i in range(80)]
