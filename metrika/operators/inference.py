@@ -183,20 +183,27 @@ def regression(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def ll4(x: np.ndarray, b: np.ndarray, c: float, d: float, e: np.ndarray) -> np.ndarray:
     """Four-parameter log-logistic curve: from d at dose 0 down to c, halfway at e, with slope b."""
-    with np.errstate(divide="ignore", over="ignore"):
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         return c + (d - c) / (1 + np.exp(b * (np.log(x) - np.log(e))))
 
 
-def joint_fit(strain: np.ndarray, dose: np.ndarray, weight: np.ndarray, y: np.ndarray, ssw: float, n: int, k: int, c: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+#: Part of the largest curvature below which a direction of the fit counts as flat.
+FLAT = 1e-9
+
+
+def joint_fit(strain: np.ndarray, dose: np.ndarray, weight: np.ndarray, y: np.ndarray, ssw: float, n: int, k: int, c: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Levenberg-Marquardt for (d, b_1.., e_1..): d shared, c fixed; e by its logarithm. Rows are group means with weights,
-    ssw what is inside the groups, n the values behind them. Slopes have no bounds, so that curves may rise. Returns parameters
-    and their covariance."""
+    ssw what is inside the groups, n the values behind them. Slopes have no bounds, so that curves may rise. Returns parameters,
+    their covariance, and which of them the data settle: all finite, the search ended before its last round, and no direction
+    in which the fit is flat moves the parameter."""
     d0 = float(np.average(y[dose == 0], weights=weight[dose == 0])) if (dose == 0).any() else float(y.max())
     pos = dose[dose > 0]
     p = np.concatenate([[d0], np.ones(k), np.full(k, math.log(float(np.median(pos))) if len(pos) else 0.0)])
 
     def residual(p):
-        return np.sqrt(weight) * (y - ll4(dose, p[1 + strain], c, p[0], np.exp(p[1 + k + strain])))
+        with np.errstate(over="ignore"):
+            e = np.exp(p[1 + k + strain])
+        return np.sqrt(weight) * (y - ll4(dose, p[1 + strain], c, p[0], e))
 
     def slopes(p):
         out = np.empty((len(y), len(p)))
@@ -208,7 +215,7 @@ def joint_fit(strain: np.ndarray, dose: np.ndarray, weight: np.ndarray, y: np.nd
             out[:, j] = -(residual(up) - residual(dn)) / (2 * h)
         return out
 
-    r, damp = residual(p), 1e-3
+    r, damp, ended = residual(p), 1e-3, False
     for _ in range(rounds):
         j = slopes(p)
         a, g = j.T @ j, j.T @ r
@@ -219,28 +226,40 @@ def joint_fit(strain: np.ndarray, dose: np.ndarray, weight: np.ndarray, y: np.nd
             done = np.abs(new - p).max() < 1e-10
             p, r, damp = new, rn, damp / 5
             if done:
+                ended = True
                 break
         else:
             damp *= 5
             if damp > 1e12:
+                ended = True
                 break
     j = slopes(p)
-    cov = np.linalg.pinv(j.T @ j) * (r @ r + ssw) / max(1, n - len(p))
-    e = np.exp(p[1 + k :])
-    back = np.diag(np.concatenate([np.ones(1 + k), e]))
-    return np.concatenate([p[: 1 + k], e]), back @ cov @ back
+    with np.errstate(all="ignore"):
+        size = np.sqrt((j * j).sum(axis=0))
+        unit = j / np.where(size > 0, size, 1)
+        values, vectors = np.linalg.eigh(unit.T @ unit) if np.isfinite(unit).all() else (np.zeros(len(p)), np.eye(len(p)))
+        flat = values < FLAT * max(values.max(), 1e-300)
+        settled = (size > 0) & ((vectors[:, flat] ** 2).sum(axis=1) < FLAT) & ended
+        cov = np.linalg.pinv(j.T @ j) * (r @ r + ssw) / max(1, n - len(p)) if np.isfinite(j).all() else np.full((len(p), len(p)), np.nan)
+        e = np.exp(p[1 + k :])
+        back = np.diag(np.concatenate([np.ones(1 + k), e]))
+        out, cov = np.concatenate([p[: 1 + k], e]), back @ cov @ back
+        settled &= np.isfinite(out) & np.isfinite(np.diag(cov))
+    return out, cov, settled
 
 
 EC = "strain string, b double, b_se double, c_fixed double, d_shared double, d_se double, " + ", ".join(
     f"EC{q} double, EC{q}_se double, EC{q}_lower95 double, EC{q}_upper95 double" for q in (10, 50, 90)
-)
+) + ", status string"
 
 
 def dose_response(df: DataFrame, strain: str, dose: str, value: str, c: float) -> DataFrame:
     """Shared-top log-logistic fit over all strains, and EC10, EC50, EC90 of each with delta-method errors.
 
     Spark reduces the wells to one row for each strain and dose (n, mean, inner sum of squares), which the weighted fit
-    needs and no more; the fit then sees strains times doses rows, whatever the wells.
+    needs and no more; the fit then sees strains times doses rows, whatever the wells. `status` is `ok`, or `not settled`
+    where the data leave a strain's slope or half-way dose open; its b, errors and doses are NULL then. Numbers that are not
+    finite are NULL.
     """
     cells = df.filter(F.col(value).isNotNull() & F.col(dose).isNotNull()).groupBy(F.col(strain).alias("strain"), F.col(dose).cast("double").alias("dose")).agg(
         F.count("*").alias("n"), F.avg(value).alias("y"), ((F.count("*") - 1) * F.coalesce(F.var_samp(value), F.lit(0.0))).alias("ss")
@@ -251,20 +270,24 @@ def dose_response(df: DataFrame, strain: str, dose: str, value: str, c: float) -
         names = sorted(g["strain"].unique())
         k = len(names)
         of = g["strain"].map({s: i for i, s in enumerate(names)}).to_numpy()
-        p, cov = joint_fit(of, g["dose"].to_numpy(), g["n"].to_numpy(float), g["y"].to_numpy(), float(g["ss"].sum()), int(g["n"].sum()), k, c)
+        p, cov, settled = joint_fit(of, g["dose"].to_numpy(), g["n"].to_numpy(float), g["y"].to_numpy(), float(g["ss"].sum()), int(g["n"].sum()), k, c)
         rows = []
         for i, s in enumerate(names):
             b, e = p[1 + i], p[1 + k + i]
             vb, ve, vbe = cov[1 + i, 1 + i], cov[1 + k + i, 1 + k + i], cov[1 + i, 1 + k + i]
-            row = {"strain": s, "b": b, "b_se": math.sqrt(max(vb, 0)), "c_fixed": c, "d_shared": p[0], "d_se": math.sqrt(max(cov[0, 0], 0))}
+            top = {"d_shared": p[0], "d_se": math.sqrt(cov[0, 0]) if settled[0] else None}
+            if not (settled[1 + i] and settled[1 + k + i]):
+                rows.append({"strain": s, "c_fixed": c, **top, "status": "not settled"})
+                continue
+            row = {"strain": s, "b": b, "b_se": math.sqrt(max(vb, 0)), "c_fixed": c, **top, "status": "ok"}
             for q in (10, 50, 90):
                 odds = q / (100 - q)
                 ec = e * odds ** (1 / b)
                 gb, ge = -ec * math.log(odds) / b**2, ec / e
                 se = math.sqrt(max(gb * gb * vb + ge * ge * ve + 2 * gb * ge * vbe, 0))
                 row |= {f"EC{q}": ec, f"EC{q}_se": se, f"EC{q}_lower95": ec - 1.96 * se, f"EC{q}_upper95": ec + 1.96 * se}
-            rows.append(row)
-        return pd.DataFrame(rows)
+            rows.append({c: v if isinstance(v, str) or (v is not None and math.isfinite(v)) else None for c, v in row.items()})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in EC.split(", ")])
 
     return cells.groupBy("one").applyInPandas(fit, EC)
 

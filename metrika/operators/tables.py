@@ -68,7 +68,8 @@ def with_indicator(df: DataFrame, table: DataFrame, key: str, columns: Sequence[
 
 def common(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The rows of each side whose key the other has too; multiplicities stay."""
-    return a.join(b.select(*keys), list(keys), "left_semi"), b.join(a.select(*keys), list(keys), "left_semi")
+    one, two = (x.select(*keys).distinct() for x in (a, b))
+    return a.join(two, list(keys), "left_semi"), b.join(one, list(keys), "left_semi")
 
 
 def attach(matches: DataFrame, table: DataFrame, key: str, table_key: str, columns: Sequence[str], suffix: str) -> DataFrame:

@@ -396,18 +396,24 @@ def a14_tukey(s, d):
     return I.tukey(all_groups(s, d), "event_type", "value")
 
 
+def first_two(s, d) -> DataFrame:
+    """Events of the first two types by name, as groups 1 and 2."""
+    e = table(s, d, "events").select("event_type", "value")
+    types = e.select("event_type").distinct().orderBy("event_type").limit(2)
+    types = types.select(F.col("event_type").alias("t"), F.row_number().over(Window.orderBy("event_type")).cast("string").alias("group"))
+    return e.join(types, F.col("event_type") == F.col("t")).select("group", "value")
+
+
 @query("""WITH t AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), g AS (SELECT event_type, value FROM events WHERE event_type IN (SELECT * FROM t)),
 k AS (SELECT event_type, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM g), a AS (SELECT min(event_type) AS e FROM t)
 SELECT count(*) FILTER (event_type = e) AS n1, count(*) FILTER (event_type <> e) AS n2, round(sum(rk) FILTER (event_type = e) - count(*) FILTER (event_type = e) * (count(*) FILTER (event_type = e) + 1) / 2, 1) AS u1 FROM k, a""")
 def a15_rank_sum(s, d):
-    names = [x[0] for x in table(s, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return I.rank_sum(table(s, d, "events"), "event_type", "value", *names).select("n1", "n2", r("u1", 1).alias("u1"))
+    return I.rank_sum(first_two(s, d), "group", "value", "1", "2").select("n1", "n2", r("u1", 1).alias("u1"))
 
 
 @query()
 def a15_p33_rank_sum_stars(s, d):
-    names = [x[0] for x in table(s, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return I.rank_sum(table(s, d, "events"), "event_type", "value", *names).withColumn("mark", M.stars(F.col("p")))
+    return I.rank_sum(first_two(s, d), "group", "value", "1", "2").withColumn("mark", M.stars(F.col("p")))
 
 
 @query("""WITH m AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) / count(*) AS v FROM lineitem GROUP BY 1)
@@ -444,9 +450,10 @@ def a33_wall_clock(s, d):
     from ..sources.files import wall_clock
 
     e = table(s, d, "events")
-    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
-    lines = e.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" <"), "event_type", F.lit(">")).alias("value"))
-    return wall_clock(lines, f"<{ends['a']}>", f"<{ends['b']}>")
+    ends = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b"))
+    kind = F.when(F.col("event_type") == F.col("a"), "<start>").when(F.col("event_type") == F.col("b"), "<end>").otherwise("<other>")
+    lines = e.join(ends).select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), kind).alias("value"))
+    return wall_clock(lines, "<start>", "<end>")
 
 
 @query("SELECT user_id, CAST(ntile(3) OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS batch, event_id FROM events")

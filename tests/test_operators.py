@@ -190,6 +190,19 @@ def test_dose_response_finds_the_curve(spark):
         assert r.EC10 == pytest.approx(r.EC50 * 9 ** (-1 / r.b)) and r.EC90 == pytest.approx(r.EC50 * 9 ** (1 / r.b))
 
 
+def test_dose_response_leaves_open_what_the_data_leave_open(spark):
+    """A strain without a response, and one with a single dose, have no half-way dose; the other is as good as alone."""
+    rng, doses = np.random.default_rng(7), (0.0, 0.001, 0.003, 0.01, 0.03, 0.1)
+    rows = [("good", x, float(I.ll4(np.array([x]), 1.2, 0.1, 1.0, 0.01)[0] if x else 1.0) + rng.normal(0, 0.002)) for x in doses for _ in range(6)]
+    rows += [("flat", x, 1.0) for x in doses for _ in range(6)] + [("lone", 0.0, 1.0)] * 3
+    got = {r.strain: r for r in I.dose_response(spark.createDataFrame(rows, "strain string, dose double, v double"), "strain", "dose", "v", 0.1).collect()}
+    assert got["good"].status == "ok" and got["good"].EC50 == pytest.approx(0.01, rel=0.1)
+    for s in ("flat", "lone"):
+        assert got[s].status == "not settled" and got[s].EC50 is None and got[s].b is None and got[s].EC90_se is None
+    finite = [v for r in got.values() for v in r if isinstance(v, float)]
+    assert all(math.isfinite(v) and abs(v) < 1e6 for v in finite)
+
+
 def test_dose_response_of_rising_and_steep_curves(spark):
     """Slopes have no bounds; estimates do not depend on the direction of the curve."""
     doses = (0.0, 0.001, 0.002, 0.004, 0.006, 0.01, 0.02, 0.04)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from metrika.plans import analysis, objects, registry, shapes  # noqa: F401
+from metrika.plans import analysis, exchange, objects, registry, shapes  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
