@@ -6,9 +6,13 @@ Faults become a status, never a lost row.
 
 from __future__ import annotations
 
+import contextlib
+import signal
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -20,7 +24,7 @@ from ..functions import names as N
 from ..operators import kernels as K
 
 DETECTIONS = "path string, detection_index int, x1 double, y1 double, x2 double, y2 double, conf double, class_id int, width int, height int, status string"
-MEASURED = "path string, length_px double, width_px double, area_px long, topology string, fragments int, warnings array<string>, status string, elapsed_ms double"
+MEASURED = "path string, length_px double, width_px double, area_px long, topology string, fragments int, warnings array<string>, status string, started timestamp, elapsed_ms double"
 
 
 @dataclass
@@ -72,44 +76,75 @@ def detect(images: DataFrame, predictor: Callable[[], ThresholdPredictor], conf_
     return out.filter(keep)
 
 
+class Late(Exception):
+    """Time is up."""
+
+
+@contextlib.contextmanager
+def deadline(seconds: float):
+    """Stops what runs inside by an alarm, wherever it is. Only a process's main thread gets alarms, as a worker's does;
+    elsewhere nothing is stopped, and the caller's own looks at the clock must do."""
+    if threading.current_thread() is not threading.main_thread() or not hasattr(signal, "setitimer"):
+        yield
+        return
+
+    def late(*_):
+        raise Late
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, max(seconds, 1e-6))
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def fill(row: list, mask: np.ndarray, end: float, h: int, w: int, least_area: int, far: float, turn: float) -> None:
+    """Puts the numbers of a cut-out's mask into its row."""
+    lab, n = K.label(mask)
+    parts = []
+    for i in range(1, n + 1):
+        own = lab == i
+        if own.sum() < least_area:
+            continue
+        if time.monotonic() > end:
+            raise Late
+        line, _, kind = K.centerline(own, least_pixels=least_area)
+        if len(line):
+            r, c = np.nonzero(own)
+            parts.append((np.hypot(r.mean() - h / 2, c.mean() - w / 2), i, line, kind))
+    if not parts:
+        row[7] = "nothing found"
+        return
+    parts.sort(key=lambda p: p[:2])
+    line, used, failed = K.stitch([p[2] for p in parts], far, turn)
+    chosen = np.isin(lab, [parts[k][1] for k in used])
+    seg = np.hypot(*np.diff(line, axis=0).T)
+    at = np.clip(np.rint(line).astype(int), 0, np.array(mask.shape) - 1)
+    inside = chosen[at[:, 0], at[:, 1]]
+    body = float(seg[inside[1:] & inside[:-1]].sum())
+    row[1:7] = [float(seg.sum()), float(chosen.sum()) / body if body else None, int(chosen.sum()), parts[used[0]][3], len(used), [f"gap: {failed}"] if failed else []]
+
+
 def measure(images: DataFrame, predictor: Callable[[], ThresholdPredictor], limit_s: float = 60, least_area: int = 20, far: float = 110, turn: float = 110) -> DataFrame:
-    """images (path, pixels, height, width) of cut-outs to one measured row each; what takes over limit_s has status TIMEOUT."""
+    """images (path, pixels, height, width) of cut-outs to one measured row each. What takes over limit_s is stopped, in the
+    middle of a fragment too, and has status TIMEOUT and no numbers; the rest of the batch goes on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = predictor()
         for b in batches:
             rows = []
             for path, px, h, w in zip(b["path"], b["pixels"], b["height"], b["width"], strict=True):
-                began, row = time.monotonic(), [path, None, None, 0, "none", 0, [], "ok"]
+                began, at, row = time.monotonic(), datetime.now(timezone.utc), [path, None, None, 0, "none", 0, [], "ok"]
                 try:
-                    mask = model.segment(_image(px, h, w))
-                    lab, n = K.label(mask)
-                    parts = []
-                    for i in range(1, n + 1):
-                        own = lab == i
-                        if own.sum() < least_area:
-                            continue
-                        if time.monotonic() - began > limit_s:
-                            row[7] = "TIMEOUT"
-                            break
-                        line, _, kind = K.centerline(own, least_pixels=least_area)
-                        if len(line):
-                            r, c = np.nonzero(own)
-                            parts.append((np.hypot(r.mean() - h / 2, c.mean() - w / 2), i, line, kind))
-                    if row[7] == "ok" and parts:
-                        parts.sort(key=lambda p: p[:2])
-                        line, used, failed = K.stitch([p[2] for p in parts], far, turn)
-                        chosen = np.isin(lab, [parts[k][1] for k in used])
-                        seg = np.hypot(*np.diff(line, axis=0).T)
-                        at = np.clip(np.rint(line).astype(int), 0, np.array(mask.shape) - 1)
-                        inside = chosen[at[:, 0], at[:, 1]]
-                        body = float(seg[inside[1:] & inside[:-1]].sum())
-                        row[1:7] = [float(seg.sum()), float(chosen.sum()) / body if body else None, int(chosen.sum()), parts[used[0]][3], len(used), [f"gap: {failed}"] if failed else []]
-                    elif row[7] == "ok":
-                        row[7] = "nothing found"
+                    with deadline(limit_s):
+                        fill(row, model.segment(_image(px, h, w)), began + limit_s, h, w, least_area, far, turn)
+                except Late:
+                    row[1:] = [None, None, 0, "none", 0, [], "TIMEOUT"]
                 except Exception as e:  # noqa: BLE001
                     row[7] = f"failed: {type(e).__name__}"
-                rows.append((*row, (time.monotonic() - began) * 1000))
+                rows.append((*row, at, (time.monotonic() - began) * 1000))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")])
 
     return images.select("path", "pixels", "height", "width").mapInPandas(run, MEASURED)
@@ -135,3 +170,16 @@ def run_counts(measured: DataFrame) -> DataFrame:
     """Counters from the status column: retries of tasks can't count twice."""
     s = F.col("status")
     return measured.agg(F.count("*").alias("total"), F.count_if(s == "ok").alias("measured"), F.count_if(s == "nothing found").alias("empty"), F.count_if(s == "TIMEOUT").alias("timed_out"), F.count_if(s.startswith("failed")).alias("failed"))
+
+
+def log_lines(measured: DataFrame) -> DataFrame:
+    """(path, at, text): what happened to each image as lines of a log in the order of time, two an image: START, and END,
+    TIMEOUT or FAILED with its seconds. The image that a killed job was at has no row; its task runs again."""
+    end = F.when(F.col("status") == "TIMEOUT", "TIMEOUT").when(F.col("status").startswith("failed"), "FAILED").otherwise("END")
+    stop = F.timestamp_micros(F.unix_micros("started") + (F.col("elapsed_ms") * 1000).cast("long"))
+    name, clock = N.basename(F.col("path")), lambda t: F.date_format(t, "HH:mm:ss")
+    lines = F.array(
+        F.struct(F.col("started").alias("at"), F.lit(0).alias("k"), F.concat_ws("\t", F.lit("START"), clock(F.col("started")), name).alias("text")),
+        F.struct(stop.alias("at"), F.lit(1).alias("k"), F.concat_ws("\t", end, clock(stop), name, F.format_string("%.2fs", F.col("elapsed_ms") / 1000)).alias("text")),
+    )
+    return measured.select("path", F.inline(lines)).orderBy("at", "k", "path").select("path", "at", "text")

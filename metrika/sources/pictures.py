@@ -62,7 +62,7 @@ def rois(images: DataFrame, detections: DataFrame, scale: float = 1.2, least: in
     """(name, path, detection_index, size, channels, data) of the square around each detection (path, detection_index, x1, y1,
     x2, y2) of an image; not resampled. name is <stem>_roi_<index>.png."""
     r = G.roi(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), scale, least)
-    x = detections.withColumns({f"_{k}": v for k, v in r.items()}).join(images.filter("data is not null"), "path")
+    x = detections.select("path", "detection_index", *(v.alias(f"_{k}") for k, v in r.items())).join(images.filter("data is not null"), "path")
     data = cut_out(F.col("_cx"), F.col("_cy"), F.col("_size"), F.col("width"), F.col("height"), F.col("channels"), F.col("data"))
     name = F.concat(N.without_extension(N.basename(F.col("path"))), F.lit("_roi_"), F.col("detection_index"), F.lit(".png"))
     return x.select(name.alias("name"), "path", "detection_index", F.col("_size").alias("size"), "channels", data.alias("data"))
