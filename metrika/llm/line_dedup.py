@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, whole_row, written
@@ -35,27 +35,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least_docs documents or more hold lose their lines everywhere but in the document with the largest id.
 
     Hashes (128 bits) are range-partitioned together with the document, so that one hot line spreads over many partitions,
-    and sorted by document and position; each sorted run is streamed into one row. Counts are pre-aggregated before the
-    shuffle by hash, and the join that brings a hot hash back to its rows has a plain exchange on both sides, so adaptive
-    execution splits it.
+    and sorted there by document and position; a window streams over the sorted rows and marks the first of each hash in each
+    document. Only first occurrences are counted, before the shuffle by hash, and the join that brings a hot hash back to its
+    rows has a plain exchange on both sides, so adaptive execution splits it.
 
     Null text is one empty line and never dropped. A null id is one document, smaller than any other. Repeated rows lose
     the same lines. Rows that share an id but not the text are one document. An empty table gives an empty result.
     """
     lines = written(line_keys(docs, id_col, text_col, least_chars), "line-keys")
-    runs = (
-        lines.repartitionByRange("h1", "h2", "id", "row").sortWithinPartitions("h1", "h2", "id", "row", "pos")
-        .groupBy("h1", "h2", "id", "row").agg(F.collect_set("pos").alias("at"))
-    )
-    runs = written(runs, "line-runs")
-    per_doc = runs.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
+    order = Window.partitionBy("h1", "h2", "id").orderBy("row", "pos")
+    marked = lines.repartitionByRange("h1", "h2", "id").withColumn("first", F.row_number().over(order) == 1)
+    marked = written(marked, "line-runs")
     common = written(
-        per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= least_docs).select("h1", "h2", "keep"),
+        marked.filter("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= least_docs).select("h1", "h2", "keep"),
         "line-common",
     )
-    lost = runs.join(common, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "row", "at")
-    at = F.array_sort(F.flatten(F.collect_list("at")))
-    drops = lost.groupBy("id", "row").agg(at.alias("at"))
+    lost = marked.join(common, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "row", "pos")
+    drops = lost.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     first = F.filter("at", lambda x, i: (i == 0) | (F.get(F.col("at"), i - 1) != x - 1))
     last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get(F.col("at"), i + 1) != x + 1))
     run = F.zip_with(first, last, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
