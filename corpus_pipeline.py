@@ -20,16 +20,23 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+#: How far from guessing towards certainty the probability of a document's language must be.
+LEAST_CERTAIN = 0.1
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which have no language, go; all others stay, whatever the network predicts.
+    """Documents go that have no language the network can tell: those without a letter, and those whose most probable language
+    is hardly more probable than a guess, 1 / n of n languages, by LEAST_CERTAIN of the way from there to 1.
 
-    The same holds where there was nothing to learn from and every document is unknown.
+    Where there was nothing to learn from, only documents without a letter go.
     """
     network = langid.fit(docs)
     if network is None:
         return langid.with_letters(docs)
     name, score = (next(n for n in (stem + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("lang_pred", "score"))
-    return langid.identify(docs, network, names=(name, score)).filter(F.col(name) != langid.UNKNOWN).select(*(f"`{c}`" for c in docs.columns))
+    guess = 1 / len(network.labels)
+    told = (F.col(name) != langid.UNKNOWN) & (F.col(score) >= guess + LEAST_CERTAIN * (1 - guess))
+    return langid.identify(docs, network, names=(name, score)).filter(told).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
