@@ -214,21 +214,32 @@ def _point(x: Column, y: Column) -> Column:
 def crosses_itself(polygon: Column) -> Column:
     """Two edges that are not neighbours meet: cross, touch or lie on each other."""
     n = F.size(polygon)
-    at = lambda i: F.get(polygon, i % n)
     side = lambda o, a, b: F.signum(_cross(o, a, b))
+    edge = lambda p, i: F.struct(i.alias("i"), p.alias("a"), F.get(polygon, (i + 1) % n).alias("b"))
+
+    def near(a: Column, b: Column, c: Column, d: Column) -> Column:
+        """The boxes around the edges meet."""
+        apart = [(F.greatest(a[k], b[k]) < F.least(c[k], d[k])) | (F.greatest(c[k], d[k]) < F.least(a[k], b[k])) for k in "xy"]
+        return ~(apart[0] | apart[1])
 
     def on(o: Column, a: Column, b: Column) -> Column:
         """b, in line with o and a, is between them."""
         return (b["x"] >= F.least(o["x"], a["x"])) & (b["x"] <= F.greatest(o["x"], a["x"])) & (b["y"] >= F.least(o["y"], a["y"])) & (b["y"] <= F.greatest(o["y"], a["y"]))
 
-    def meet(i: Column, j: Column) -> Column:
-        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
-        p, q, r, s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
-        touch = ((p == 0) & on(a, b, c)) | ((q == 0) & on(a, b, d)) | ((r == 0) & on(c, d, a)) | ((s == 0) & on(c, d, b))
-        return ((p != q) & (r != s) & (p * q * r * s != 0)) | touch
+    def meet(e: Column, f: Column) -> Column:
+        a, b, c, d = e["a"], e["b"], f["a"], f["b"]
+        sides = F.struct(side(a, b, c).alias("p"), side(a, b, d).alias("q"), side(c, d, a).alias("r"), side(c, d, b).alias("s"))
+
+        def found(t: Column) -> Column:
+            p, q, r, s = t["p"], t["q"], t["r"], t["s"]
+            touch = ((p == 0) & on(a, b, c)) | ((q == 0) & on(a, b, d)) | ((r == 0) & on(c, d, a)) | ((s == 0) & on(c, d, b))
+            return ((p != q) & (r != s) & (p * q * r * s != 0)) | touch
+
+        return near(a, b, c, d) & let(sides, found)
 
-    later = lambda i: F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j > i + 1) & ~((i == 0) & (j == n - 1)))
-    return F.when(n < 4, False).otherwise(F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.exists(later(i), lambda j: meet(i, j))))
+    later = lambda e, f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == n - 1))
+    some = lambda edges: F.exists(edges, lambda e: F.exists(edges, lambda f: later(e, f) & meet(e, f)))
+    return F.when(n < 4, False).otherwise(let(F.transform(polygon, edge), some))
 
 
 def hull(points: Column) -> Column:

@@ -73,17 +73,21 @@ def augmentation_plan(images: DataFrame, order: str, seed: int = 42, combined: b
     return planned.withColumns({"factor": 0.7 + 0.6 * u(1), "noise_sd": 5 + 15 * u(2), "degrees": -15 + 30 * u(3)})
 
 
-def roi_dataset(annotations: DataFrame, scale: float = 1.3, least: int = 32, out: int = 512) -> DataFrame:
+def roi_dataset(annotations: DataFrame, scale: float = 1.3, least: int = 32, out: int = 512, by_class: bool = False) -> DataFrame:
     """A square around each annotation, and every annotation of the same image that meets it, clipped later by clip_polygons.
 
     annotations: image_id, ann_id, category_id, polygon. One row for each (target, neighbour); the self-join is on the image.
+    With by_class there is a data set for each class of target: `data_set` is that class, only neighbours of the same class
+    stay, and their category is 0 there. `repaired` is the polygon as geometry.repaired gives it, made once an annotation.
     """
     b = G.bounds(F.col("polygon"))
     r = G.roi(b["x1"], b["y1"], b["x2"], b["y2"], scale, least)
     squares = annotations.select("image_id", F.col("ann_id").alias("target"), F.col("category_id").alias("target_category"), r["cx"].alias("cx"), r["cy"].alias("cy"), r["size"].alias("size"))
     squares = squares.withColumns({"rx1": F.col("cx").cast("int") - F.floor(F.col("size") / 2).cast("int"), "ry1": F.col("cy").cast("int") - F.floor(F.col("size") / 2).cast("int")})
     squares = squares.withColumns({"rx2": F.col("rx1") + F.col("size"), "ry2": F.col("ry1") + F.col("size"), "scale_factor": G.scale_factor(F.col("size"), F.lit(out))})
-    pair = squares.join(annotations.select("image_id", "ann_id", "category_id", "polygon"), "image_id")
+    pair = squares.join(annotations.select("image_id", "ann_id", "category_id", "polygon", G.repaired(F.col("polygon")).alias("repaired")), "image_id")
+    if by_class:
+        pair = pair.filter(F.col("category_id") == F.col("target_category")).withColumnRenamed("target_category", "data_set").withColumn("category_id", F.lit(0))
     meets = (F.col("ann_id") == F.col("target")) | G.meets_roi(F.col("polygon"), F.col("rx1"), F.col("ry1"), F.col("rx2"), F.col("ry2"))
     return pair.filter(meets)
 
@@ -94,7 +98,7 @@ def clip_polygons(pairs: DataFrame, least_share: float = 0.001) -> DataFrame:
     least_share of the square, or with fewer than three points, goes. Points within 1e-6 of the last one kept are left out.
     """
     side, own = F.col("size").cast("double"), F.col("ann_id") == F.col("target")
-    x = pairs.withColumn("_own", own).withColumn("_simple", F.when(own, F.col("polygon")).otherwise(G.repaired(F.col("polygon"))))
+    x = pairs.withColumn("_own", own).withColumn("_simple", F.when(own, F.col("polygon")).otherwise(F.col("repaired")))
     x = x.withColumn("_cut", F.when(F.col("_own"), F.col("_simple")).otherwise(G.clipped(F.col("_simple"), *(F.col(c).cast("double") for c in ("rx1", "ry1", "rx2", "ry2")))))
     x = x.filter(F.col("_own") | (F.abs(G.signed_area(F.col("_cut"))) >= least_share * side * side))
     unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))

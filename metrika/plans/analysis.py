@@ -430,6 +430,17 @@ def a17_regression(s, d):
     return rounded(rounded(rounded(out, "slope", n=4), "r2", n=8), "intercept", "bias", "mae", "min_error", "max_error", "median_error", n=3)
 
 
+@query("""SELECT event_id, CASE WHEN value / 4000 < 0.0001 THEN '****' WHEN value / 4000 < 0.001 THEN '***' WHEN value / 4000 < 0.01 THEN '**' WHEN value / 4000 < 0.05 THEN '*' ELSE 'ns' END AS mark FROM events""")
+def p33_stars(s, d):
+    return table(s, d, "events").select("event_id", M.stars(F.col("value") / 4000).alias("mark"))
+
+
+@query(f"""WITH {GROUPS}, m AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM g GROUP BY 1), p AS (SELECT sum((n - 1) * v) / sum(n - 1) AS mse FROM m)
+SELECT a.event_type AS a, b.event_type AS b, round(a.m - b.m, 6) AS diff, round(abs(a.m - b.m) / sqrt(mse / 2 * (1 / a.n + 1 / b.n)), 6) AS q FROM m a JOIN m b ON a.event_type < b.event_type, p""")
+def a14_tukey_statistic(s, d):
+    return rounded(I.tukey(all_groups(s, d), "event_type", "value").select("a", "b", "diff", "q"), "diff", "q")
+
+
 # --- timing -------------------------------------------------------------------------------------------------------------
 
 

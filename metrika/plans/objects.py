@@ -407,11 +407,6 @@ def r9_g26_augmentation_plan(s, d):
     return x.select("o_orderkey", "aug_type", (F.col("factor").between(0.7, 1.3) & F.col("noise_sd").between(5, 20) & F.col("degrees").between(-15, 15)).alias("in_range"))
 
 
-@query("SELECT p_type AS class, count(*) AS n, 0 AS class_id FROM part GROUP BY 1")
-def r7_class_routing(s, d):
-    return table(s, d, "part").withColumn("class_id", F.lit(0)).groupBy(F.col("p_type").alias("class"), "class_id").agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id, ts, user_id, event_type, value, 1000 + row_number() OVER (ORDER BY event_id) AS new_id FROM events")
 def w14_new_ids(s, d):
     return T.new_ids(table(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id", 1000)
@@ -439,10 +434,30 @@ def k21_copy_status(s, d):
     return K.copy_status(docs, table(s, d, "labels").select(F.col("doc_id").alias("name")), docs.filter("name % 5 = 0"))
 
 
-@query()
+REGIONS = """pt AS (SELECT vec_id, i, 200 * CAST(embedding[2 * i + 1] AS DOUBLE) AS x, 200 * CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, range(32) t(i)),
+ed AS (SELECT vec_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS u, coalesce(lead(y) OVER w, first(y) OVER w) AS v FROM pt WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+bx AS (SELECT vec_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM pt GROUP BY 1), sz AS (SELECT *, greatest(32, CAST(trunc(greatest(x2 - x1, y2 - y1) * 1.3) AS INTEGER)) AS size FROM bx),
+rg AS (SELECT vec_id, size, CAST(trunc((x1 + x2) / 2) AS INTEGER) - size // 2 AS l, CAST(trunc((y1 + y2) / 2) AS INTEGER) - size // 2 AS t FROM sz),
+pr AS (SELECT r.vec_id AS target, n.vec_id AS ann_id, r.vec_id // 8 AS image_id, r.size, r.l, r.t FROM rg r JOIN rg n ON r.vec_id // 8 = n.vec_id // 8),
+vx AS (SELECT DISTINCT target, ann_id FROM pr JOIN pt ON pt.vec_id = ann_id WHERE x BETWEEN l AND l + size AND y BETWEEN t AND t + size),
+cn AS (SELECT DISTINCT target, ann_id FROM (SELECT target, ann_id, px, py FROM (SELECT target, ann_id, l + dx * size AS px, t + dy * size AS py FROM pr, range(2) a(dx), range(2) b(dy)) JOIN ed ON ed.vec_id = ann_id
+  WHERE (y > py) <> (v > py) AND px < (u - x) * (py - y) / (v - y) + x GROUP BY ALL HAVING count(*) % 2 = 1)),
+me AS (SELECT pr.* FROM pr WHERE target = ann_id OR (target, ann_id) IN (SELECT (target, ann_id) FROM vx) OR (target, ann_id) IN (SELECT (target, ann_id) FROM cn))"""
+
+
+def annotated(s, d) -> DataFrame:
+    scaled = F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y")))
+    return lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.col("label").alias("category_id"), scaled.alias("polygon"))
+
+
+@query(f"WITH {REGIONS} SELECT image_id, target, ann_id, size, round(512 / size, 6) AS scale_factor FROM me")
 def g27_roi_dataset(s, d):
-    ann = lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
-    return C.roi_dataset(ann).select("image_id", "target", "ann_id", "size", "scale_factor")
+    return C.roi_dataset(annotated(s, d)).select("image_id", "target", "ann_id", "size", "scale_factor")
+
+
+@query(f"WITH {REGIONS} SELECT a.label AS data_set, target, ann_id, 0 AS category_id FROM me JOIN embeddings a ON a.vec_id = target JOIN embeddings b ON b.vec_id = ann_id WHERE a.label = b.label")
+def r7_class_routing(s, d):
+    return C.roi_dataset(annotated(s, d), by_class=True).select("data_set", "target", "ann_id", "category_id")
 
 
 @query("""SELECT 'im' || vec_id || '.png' AS file_name, CASE WHEN vec_id % 4 = 0 THEN '' ELSE label || ' ' || array_to_string([printf('%.6f', least(1.0, greatest(0.0, CAST(v AS DOUBLE) / 0.5))) FOR v IN embedding[1:8]], ' ') END AS text FROM embeddings""")
@@ -532,11 +547,36 @@ def s11_p22_p23_external_tool(s, d):
     return S.external_tool(x).select("file", "x1", "y2", "length_um")
 
 
-@query("SELECT 'all' AS label, count(*) AS n FROM part")
+@query("SELECT rpad(p_type, 40, ' ') || lpad(printf('%.3f', CAST(count(*) AS DOUBLE)), 12, ' ') || lpad(printf('%.3f', CAST(sum(p_size) AS DOUBLE)), 12, ' ') || lpad(printf('%.3f', CAST(max(p_size) AS DOUBLE)), 12, ' ') AS text FROM part GROUP BY p_type")
 def k12_report_lines(s, d):
-    x = table(s, d, "part").agg(F.count("*").alias("n")).withColumn("label", F.lit("all"))
-    text = K.report(x, "label", ["n"])
-    return text.select(F.trim(F.substring("text", 1, 40)).alias("label"), F.trim(F.substring("text", 41, 12)).cast("double").cast("long").alias("n"))
+    x = table(s, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("total"), F.max("p_size").alias("most"))
+    return K.report(x, "p_type", ["n", "total", "most"])
+
+
+@query("""WITH b AS (SELECT vec_id, vec_id // 4 AS image, vec_id % 4 AS i, label, CAST(embedding[1] AS DOUBLE) AS x1, len(list_filter(embedding, lambda v: v > 0)) AS lit FROM embeddings)
+SELECT 'im' || image || '.png' AS path, CAST(i AS INTEGER) AS pos, round(x1, 8) AS x1, 'Class ' || label AS class_name, CASE WHEN i <> 2 THEN CAST(lit AS BIGINT) END AS mask_area FROM b""")
+def k19_predictions_json(s, d):
+    """Written as JSON an image and read back; one detection of four has no mask."""
+    x = table(s, d, "embeddings").withColumn("lit", F.size(F.filter("embedding", lambda v: v > 0)))
+    x = x.select(F.concat(F.lit("im"), F.floor(F.col("vec_id") / 4), F.lit(".png")).alias("path"), (F.col("vec_id") % 4).cast("int").alias("detection_index"), *(e(k).alias(c) for k, c in enumerate(X.BOX)), F.lit(0.5).alias("conf"), F.col("label").alias("class_id"), F.col("lit").alias("area"))
+    text = K.predictions_json(x, x.filter("detection_index <> 2"))
+    back = text.select("path", F.posexplode(F.from_json("content", "array<struct<box:array<double>,class_name:string,mask_area:bigint>>")).alias("pos", "p"))
+    return back.select("path", "pos", r(F.get("p.box", 0), 8).alias("x1"), "p.class_name", "p.mask_area")
+
+
+@query(f"""WITH {NAME}, m AS (SELECT k, name, o_totalprice / 100 AS px, o_orderstatus AS st FROM n JOIN orders ON o_orderkey = k)
+SELECT name AS "Filename", split_part(name, '-', 1) AS "Date", split_part(name, '-', 2) AS "Metadata_Experiment", split_part(name, '-', 3) AS "Metadata_Plate", '4x' AS "Magnification", regexp_extract(name, '_([A-H][0-9]+)_roi', 1) AS "Metadata_Well",
+regexp_extract(name, '_roi_([0-9]+)', 1) AS "Worm_ID", round(px / CASE WHEN k % 3 = 0 THEN 1.0 ELSE 2.0 END * 3.2937, 3) AS "Length_um", round(CASE WHEN st <> 'P' THEN px / 10 / CASE WHEN k % 3 = 0 THEN 1.0 ELSE 2.0 END * 3.2937 END, 3) AS "Width_um",
+CASE WHEN st = 'F' THEN 'ring;gap: far' ELSE '' END AS "Topology_Warnings" FROM m""")
+def p7_measurement_row(s, d):
+    o = named(s, d).join(table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), F.col("k") == F.col("o_orderkey"))
+    px = F.col("o_totalprice") / 100
+    m = o.select("k", F.concat(F.lit("out/"), "name").alias("path"), px.alias("length_px"), F.when(F.col("o_orderstatus") != "P", px / 10).alias("width_px"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("ring"), F.lit("gap: far"))).otherwise(F.array()).alias("warnings"))
+    # names repeat between orders, so that each gets its order's key
+    keyed = m.withColumn("path", F.concat(F.regexp_replace("path", r"[.]png$", ""), F.lit("#"), "k", F.lit(".png")))
+    catalog = named(s, d).filter("k % 3 <> 0").select(F.concat(N.without_extension(F.col("name")), F.lit("#"), "k").alias("name"), F.lit(2.0).alias("scale_factor"))
+    out = measure.measurement_rows(keyed, catalog)
+    return out.withColumns({"Filename": F.regexp_replace("Filename", r"#[0-9]+", ""), "Worm_ID": F.regexp_replace("Worm_ID", r"#[0-9]+", ""), "Length_um": r("Length_um", 3), "Width_um": r("Width_um", 3)})
 
 
 @query("""SELECT rank, 'rank' || lpad(CAST(rank AS VARCHAR), 2, '0') || '_abs' || lpad(printf('%.3f', abs(percent)), 7, '0') || 'pct_' || CASE WHEN percent < 0 THEN 'neg' ELSE 'pos' END
@@ -599,8 +639,7 @@ def g5_g9_g22_shapes(s, d):
 
 @query()
 def p18_clip_polygons(s, d):
-    ann = lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.lit(0).alias("category_id"), F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y"))).alias("polygon"))
-    return C.clip_polygons(C.roi_dataset(ann)).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
+    return C.clip_polygons(C.roi_dataset(annotated(s, d))).select("image_id", "target", "ann_id", F.size("clip").alias("points"))
 
 
 @query()

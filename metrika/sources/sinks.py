@@ -71,6 +71,21 @@ def speed_files(df: DataFrame, path: str, name: str, order: str, seconds: str, k
     T.speed_summary(df, order, seconds, k, warm_up).select(*fields).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
+def predictions_json(detections: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """(path, content): what was detected in each image as a JSON list in the order of detection_index: box, confidence,
+    class_id, class_name and, where areas (path, detection_index, area) has it, mask_area. Images without a detection, which
+    have one row with a NULL index, give an empty list."""
+    d = detections.select("path", "detection_index", "x1", "y1", "x2", "y2", "conf", "class_id")
+    if areas is not None:
+        a = areas.select(F.col("path").alias("_p"), F.col("detection_index").alias("_i"), F.col("area").cast("long").alias("mask_area"))
+        d = d.join(a, (F.col("path") == F.col("_p")) & (F.col("detection_index") == F.col("_i")), "left")
+    one = F.struct(
+        F.array("x1", "y1", "x2", "y2").alias("box"), F.col("conf").alias("confidence"), "class_id", F.concat(F.lit("Class "), "class_id").alias("class_name"), *(["mask_area"] if areas is not None else []),
+    )
+    kept = F.collect_list(F.when(F.col("detection_index").isNotNull(), F.struct(F.col("detection_index").alias("i"), one.alias("p"))))
+    return d.groupBy("path").agg(F.to_json(F.transform(F.sort_array(kept), lambda x: x["p"])).alias("content"))
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
