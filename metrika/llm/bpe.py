@@ -16,7 +16,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     without special tokens added, truncation or padding; with digests n_tokens, ids_sha256 and decoded_sha256 instead.
 
     Special tokens' strings in a text become their ids, as in the library. Null text counts as empty and has no ids.
-    Repeated rows and null ids pass through. The vocabulary file must be at the same path on every executor.
+    Repeated rows and null ids pass through. A text of any length is encoded whole, by its fragments. Columns of docs may
+    have any names; others than id and text are never read. An empty table gives an empty result. The vocabulary file must be at the same path on every executor.
     """
     from .tokens import forced_boundary
 

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import spent
+
 SETTING = "spark.checkpoint.dir"
 BATCH_BYTES = 8 << 20
 
@@ -72,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label of a label among neighbours, pre-aggregated before the shuffle, and gives it to the
     node, to the node's label too (so that whole trees are hooked, as in FastSV), then follows the label's own label. Chains
     of any order take a number of rounds near the logarithm of their length. Labels only fall; the rounds end when none did.
-    Self-loops are allowed; an empty edge table gives an empty result.
+    A round's tables are deleted when the next one's stand. Self-loops are allowed; an empty edge table gives an empty result.
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(),
@@ -93,7 +95,10 @@ def components(edges: DataFrame) -> DataFrame:
             low.select(given).groupBy("g.node").agg(F.max("g.was").alias("was"), F.min("g.c").alias("component")), "labels"
         )
         moved = not new.filter("component <> was").isEmpty()
+        spent(labels)
+        spent(far)
         labels = new.select("node", "component")
+    spent(both)
     return labels
 
 

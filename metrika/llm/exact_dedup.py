@@ -60,7 +60,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that exact_dedup drops; columns unchanged."""
+    """docs without the rows that exact_dedup drops; columns, whatever their names, unchanged.
+
+    Null texts are equal to empty ones. A null id is smaller than any other, so its row goes where its text stands under an
+    id; rows that repeat id and text all stay. A text of any length is hashed whole. An empty table stays empty.
+    """
     gone = exact_dedup(docs, **options).filter("not kept").select(F.col(options.get("id_col", "doc_id")).alias("_gone"))
     return docs.alias("d").join(gone, F.col(f"d.{options.get('id_col', 'doc_id')}").eqNullSafe(F.col("_gone")), "left_anti")
 

@@ -109,7 +109,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
     the count of each length, capacity rows at most, and what goes back to the tasks is the plan on these counts, a few
     entries a length: neither grows with the documents. A piece's rank among all of its length is its own plus the counts of
     the partitions before; counts by (partition, length) are joined back, so a length that many rows share is dealt out by
-    partition. Null or empty texts are a piece of one id. Repeated rows are packed each. No documents give no rows.
+    partition. Null or empty texts are a piece of one id. Repeated rows are packed each, null ids
+    like others. A text of any length is tokenized whole and cut into pieces. Columns of docs may have any names; others than
+    id and text are never read. No documents give no rows.
     """
     made = written(pieces(docs, path, capacity, end, id_col, text_col, keep_ids), "pieces")
     counts = written(made.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")

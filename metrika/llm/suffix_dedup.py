@@ -367,8 +367,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, row, first, last): stretches of window starts whose LENGTH bytes also start somewhere else, in this document or
     another; row is a hash of the text, which tells texts of one id apart.
 
-    Null text is empty, and texts under LENGTH bytes have no window. Repeated rows hold each other's strings. An empty table
-    gives an empty result. Runs with equal bytes are settled by 128-bit hashes of the whole run; different ones that share a minimizer are
+    Null text is empty, and texts under LENGTH bytes have no window. A null id is an id like others. Repeated rows hold each
+    other's strings. A text of any length is read as runs of windows. Columns of docs may have any names; others than id and
+    text are never read. An empty table gives an empty result. Runs with equal bytes are settled by 128-bit hashes of the whole run; different ones that share a minimizer are
     merged in one task only up to GROUP of them. Those of larger groups are compared by 128-bit hashes of each window,
     streamed in sorted order, so no group is collected.
     """
@@ -384,7 +385,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans (maximal removed stretches of bytes), kept (binary: a cut may
-    fall inside a character) or, without keep_text, kept_sha256."""
+    fall inside a character) or, without keep_text, kept_sha256.
+
+    found is the result of repeated(docs). A null text is empty: no bytes, nothing removed. A null id is met by null ids;
+    texts of one id are told apart by their hash, and repeated rows lose the same bytes. A text of any length is one row,
+    cut by its sorted stretches in one go. Columns of docs may have any names; others than id and text are never read. An
+    empty table gives an empty result, and an empty `found` leaves all bytes.
+    """
     kind = dict(docs.dtypes)[id_col]
     by_doc = found.groupBy("id", "row").agg(F.collect_list(F.struct("first", "last")).alias("at"))
     text = text_or_empty(text_col)

@@ -133,6 +133,7 @@ class ForcedBoundary(Fragments):
             self.inside[x[:-1], x[1:]] = True
         ranks = {raw: i for i, raw in self.bytes_of.items()}
         special = spec.get("added_tokens") or []
+        self.special = [t["content"] for t in special]
         self.bytes_of |= {t["id"]: t["content"].encode() for t in special}
         known = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer")
         self.pattern, self.ranks = None, None
@@ -143,13 +144,19 @@ class ForcedBoundary(Fragments):
         if all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(merges)) and all(t["content"].startswith("<|") for t in special):
             self.ranks = Ranks(SPLIT, ranks, np.arange(len(ranks)))
             self.plain = re.compile(rf"[ \n]+[{PLAIN}]+")
+            self.marked = re.compile(f"[{re.escape(self.marks)}][{PLAIN}]*" if self.marks else "(?!)")
 
     def fragment_pattern(self) -> str:
         """A fragment: white space and what follows, on past places that are no certain cut."""
         uncertain = [b for b in range(256) if b not in b" \n" and self.inside[b, [ord(" "), ord("\n")]].any()]
+        letters = [*range(65, 91), *range(97, 123)]
+        self.marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'" and not self.inside[letters, c].any())
+        if any(s[:1].isalpha() for s in self.special):
+            self.marks = ""
         last = "".join(re.escape(chr(c)) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in " \n" and chr(c).encode()[-1] in uncertain)
         on = f"(?:(?<=[{last}\U00010000-\U0010ffff])[ \n]+[^ \n]+)*" if last else ""
-        return rf"[ \n]*[^ \n]+{on}|[ \n]+"
+        mark = f"[A-Za-z]+(?=[{re.escape(self.marks)}])|" if self.marks else ""
+        return rf"[ \n]*(?:{mark}[^ \n]+{on})|[ \n]+"
 
     def cut(self, text: str) -> list[str]:
         return self.pattern.findall(text) if self.pattern else [text]
@@ -159,6 +166,9 @@ class ForcedBoundary(Fragments):
             return super().learn(fragments)
         plain = [f for f in fragments if self.plain.fullmatch(f) and "<|" not in f]
         self.known.update(zip(plain, self.ranks.encode(plain), strict=True))
+        marked = [f for f in fragments if self.marked.fullmatch(f) and "<|" not in f]
+        apart = [x for f in marked for x in (" a", f)]  # a word before each, so that none begins inside the one before
+        self.known.update(zip(marked, self.ranks.encode(apart)[1::2], strict=True))
         super().learn([f for f in fragments if f not in self.known])
 
     def decode(self, ids: bytes) -> str:

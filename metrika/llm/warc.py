@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import named_files
 from .common import written
 
 # Fixed values of the seekable Zstandard format.
@@ -137,7 +138,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FR
 
     Only (digest, page_id) is grouped; the html joins the few digests that occur twice or more. Spark broadcasts that table
     if its files are small, and else joins with plain exchanges on both sides, which adaptive execution splits for a hot
-    payload. Memory holds one open bundle a task.
+    payload. Memory holds one open bundle a task, or a record where that is longer: a payload of any length is one record
+    in a frame of its own, never cut.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"))
@@ -174,13 +176,30 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FR
     return written(marked.mapInArrow(write, BUNDLES), "warc-bundles")
 
 
+def save_archives(bundles: DataFrame, folder: str) -> None:
+    """A file bundle-<number>.warc.zst for each bundle, in a folder that driver and executors share. Files appear when all are
+    written. Any Zstandard reader reads them from start to end; the table at their end gives single frames."""
+    name = F.concat(F.lit("bundle-"), F.col("bundle"), F.lit(".warc.zst"))
+    named_files.write_files(bundles.select(name.alias("name"), F.col("data").alias("content")), folder)
+
+
+def saved_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Bundles (bundle, data) of a folder that save_archives wrote."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst").load(folder)
+    return files.select(F.regexp_extract("path", r"bundle-(-?\d+)[.]warc[.]zst$", 1).cast("long").alias("bundle"), F.col("content").alias("data"))
+
+
 def record_index(bundles: DataFrame) -> DataFrame:
     """(record_id, page_id, bundle, frame, offset, length): where each record starts inside its frame."""
     return bundles.select("bundle", F.explode("index").alias("x")).select("x.record_id", "x.page_id", "bundle", "x.frame", "x.offset", "x.length")
 
 
 def read_archives(bundles: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles, frame by frame; digests of responses are computed anew and must agree with the headers."""
+    """Every record of the bundles, frame by frame; digests of responses are computed anew and must agree with the headers.
+
+    Records without a page header have a null page_id. Bundles of no records, and a table without bundles, give no rows; only
+    the columns `bundle` and `data` are read. One frame, or one record where that is longer, is in memory at a time.
+    """
 
     def read(batches):
         for b in batches:

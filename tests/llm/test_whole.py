@@ -153,6 +153,28 @@ def test_op10_against_the_library(spark, texts):
     assert len(held) <= -(-sum(w[3] for w in want) // 4096) + 1
 
 
+def test_certain_cuts_of_both_kinds(texts):
+    """Cuts between letters and marks, beside those before blanks; fragments stay whole around apostrophes and special tokens."""
+    import random
+
+    from metrika.llm import tokens
+
+    codec, t = tokens.ForcedBoundary(queries.BYTE_BPE), Tokenizer.from_file(queries.BYTE_BPE)
+    assert "," in codec.marks and "'" not in codec.marks and not any(codec.inside[ord("q"), ord(m)] for m in codec.marks)
+    assert codec.cut("one, two.\nit's it's, x<|endoftext|>y") == ["one", ",", " two", ".", "\nit's", " it's,", " x", "<|endoftext|>y"]
+    cuts = Counter()
+    for x in texts.values():
+        parts = codec.cut(x)
+        assert "".join(parts) == x
+        cuts.update("blank" if p[0] in " \n" else "mark" for p in parts[1:])
+    assert cuts["mark"] > 1000 and cuts["blank"] > cuts["mark"]
+    r = random.Random(9)
+    for _ in range(3000):
+        x = "".join(r.choice("abQZ,,..;:!?()'’<|>-_/ \n\u00e9\u65e50") for _ in range(r.randrange(40)))
+        want = b"".join(k.to_bytes(4, "little") for k in t.encode(x, add_special_tokens=False).ids)
+        assert codec.encode([x]) == [want], repr(x)
+
+
 # --- names, lengths, nothing ------------------------------------------------------------------------------------------
 
 CLASHING = ("id", "row", "text_", "key", "pos", "n", "first", "ids", "piece", "length", "part", "rank", "print", "component", "at", "all", "units")
@@ -189,6 +211,23 @@ def test_warc_beside_clashing_names(spark):
     assert read(wide) == read(df) and len(read(df)) == 4
 
 
+def test_archives_as_files(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"page {i % 7} " * 50) for i in range(60)] + [(99, "u", None)]
+    bundles = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), bundle_bytes=2000)
+    out = f"file://{tmp_path}/archives"
+    warc.save_archives(bundles, out)
+    assert rows_of(warc.read_archives(warc.saved_archives(spark, out))) == rows_of(warc.read_archives(bundles))
+
+
+def test_rounds_leave_few_tables(spark, tmp_path, monkeypatch):
+    from metrika.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")
+    assert common.components(edges).filter("component <> 0").count() == 0
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_operators_on_empty_tables(documents):
     none = documents([])
     assert simhash.near_dedup(none).count() == bpe.bpe_encode(none, queries.BYTE_BPE).count() == bpe.bpe_decode(bpe.bpe_encode(none, queries.BYTE_BPE), queries.BYTE_BPE).count() == 0
