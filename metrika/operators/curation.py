@@ -92,6 +92,14 @@ def roi_dataset(annotations: DataFrame, scale: float = 1.3, least: int = 32, out
     return pair.filter(meets)
 
 
+def merge_report(annotations: DataFrame, categories: DataFrame, to: int = 0, name: str = "object") -> DataFrame:
+    """One row of what making all categories one does: the original categories (a number, their names by id), annotations that
+    change and all of them, and the category that is left. annotations: category_id; categories: id, name, unique ids."""
+    a = annotations.agg(F.count_if(~F.col("category_id").eqNullSafe(F.lit(to))).alias("annotations_updated"), F.count("*").alias("total_annotations"))
+    c = categories.agg(F.count("*").alias("original_categories"), F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "name"))).alias("category_mapping"))
+    return a.join(c).select(F.lit(to).alias("merged_category_id"), F.lit(name).alias("merged_category_name"), "original_categories", "category_mapping", "annotations_updated", "total_annotations")
+
+
 def clip_polygons(pairs: DataFrame, least_share: float = 0.001) -> DataFrame:
     """Rows of roi_dataset with `clip`: the polygon in fractions of its square, clipped to it. The target is not cut; its
     points are moved to the nearest inside. Neighbours are repaired first (geometry.repaired); what is left of them below

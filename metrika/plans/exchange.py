@@ -93,3 +93,35 @@ def s15_k10_summary_files(s, d):
     W.write_files(x.select(F.concat("human_dir", F.lit(".json")).alias("name"), F.to_json(F.struct(*x.columns)).alias("content")), out)
     back = S.summaries(s, [f"{out}/{k}.json" for k in "ANR"])
     return back.select("human_dir", "num_human_masks", "num_matched", F.round("mean_iou_of_matches", 6).alias("mean_iou"))
+
+
+@query("""WITH f AS (SELECT 's' || s_suppkey || '.' || ['jpg', 'PNG', 'tiff', 'txt', 'Bmp'][s_suppkey % 5 + 1] AS name FROM supplier)
+SELECT name, lower(split_part(name, '.', 2)) <> 'tiff' AS short FROM f WHERE name NOT LIKE '%.txt'""")
+def s1_s3_a41_image_listing(s, d):
+    """Image files of a folder, and whether the shorter list of extensions has them too."""
+    out = folder(s, "listing")
+    kinds = F.array(*(F.lit(x) for x in ("jpg", "PNG", "tiff", "txt", "Bmp")))
+    W.write_files(table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey", F.lit("."), F.get(kinds, (F.col("s_suppkey") % 5).cast("int"))).alias("name"), F.lit("x").alias("content")), out)
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    short = S.short_image_files(s, out).select(base.alias("name"), F.lit(True).alias("short"))
+    return S.image_files(s, out).select(base.alias("name")).join(short, "name", "left").select("name", F.coalesce("short", F.lit(False)).alias("short"))
+
+
+@query("SELECT 'raw/' || s_suppkey || '.tif' AS path FROM supplier WHERE s_suppkey % 3 = 0")
+def s2_s4_listed_images(s, d):
+    """The only batch list of a folder without raw images; blanks and other files in it are left out."""
+    out, k = folder(s, "batch"), F.col("s_suppkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("  raw/"), k, F.lit(".tif "))).when(k % 3 == 1, F.lit("   ")).otherwise(F.concat(F.lit("raw/"), k, F.lit(".csv")))
+    table(s, d, "supplier").select(line.alias("value")).write.text(f"{out}/batch_1.txt")
+    return S.inputs(s, out)
+
+
+@query("""SELECT count(DISTINCT l_returnflag) AS original_categories, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS names, count(*) FILTER (l_returnflag <> 'A') AS annotations_updated, count(*) AS total_annotations FROM lineitem""")
+def k23_merge_report(s, d):
+    """All categories become one; the report is written as JSON and read back."""
+    out, flags = folder(s, "report"), F.array(*(F.lit(x) for x in "ANR"))
+    marks = table(s, d, "lineitem").select((F.array_position(flags, F.col("l_returnflag")) - 1).cast("int").alias("category_id"))
+    kinds = table(s, d, "lineitem").select(F.col("l_returnflag").alias("name")).distinct().select((F.array_position(flags, F.col("name")) - 1).cast("int").alias("id"), "name")
+    K.json_lines(C.merge_report(marks, kinds, 0, "object"), out)
+    back = s.read.schema("original_categories long, category_mapping map<string,string>, annotations_updated long, total_annotations long").json(out)
+    return back.select("original_categories", F.array_join(F.sort_array(F.map_values("category_mapping")), ",").alias("names"), "annotations_updated", "total_annotations")
