@@ -124,7 +124,9 @@ def split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, or all if there are fewer: the first in the order of the MD5 of `key:seed`, then of the key. The same rows
+    whatever the partitions."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------
