@@ -147,7 +147,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, fl
     for shift in (32, 16, 0):
         table = held.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_p").alias("_w"), "_n", "_ranks")
         at = rows.withColumn("_p", F.shiftright("_key", shift)).withColumn("_up", F.shiftright("_key", shift + 16))
-        met = at.join(table, same([(c, f"_by{k}") for k, c in enumerate(by)]) & (F.col("_up") == F.col("_w")))
+        # null-safe, so that no filter on the key is inferred and pushed below a shared exchange, which would tell them apart
+        met = at.join(table, same([*((c, f"_by{k}") for k, c in enumerate(by)), ("_up", "_w")]))
         counts = met.groupBy(*by, "_w", "_p", "_n", "_ranks").agg(F.count("*").alias("_c"), F.min("_v").alias("_v"))
         held = narrowed(counts, [*by, "_w"], "_p", F.col("_ranks"))
     found = held.select(*by, "_n", "_v", F.explode("_ranks.rank").alias("_rank"))
