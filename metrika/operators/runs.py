@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import components
+
 #: Columns of a cell, in pixels: runs of a row meet inside their cells only.
 CELL = 256
 
@@ -124,3 +126,59 @@ def inside(points: DataFrame, runs: DataFrame, by: Sequence[str]) -> DataFrame:
     for c in by:
         on = on & (F.col(c) == F.col(f"_{c}"))
     return points.join(r, on & F.col("x").between(F.col("x1"), F.col("x2")), "left_semi")
+
+
+# --- connected parts --------------------------------------------------------------------------------------------------
+
+
+def parts(runs: DataFrame, by: Sequence[str], diagonal: bool = True, cell: int = CELL) -> DataFrame:
+    """runs with `part`: a name that runs of one mask share if they hang together, by sides and, if diagonal, by corners.
+
+    Runs of neighbouring rows that meet are the edges of a graph, found in cells of columns; its components are rounds of
+    joins over all masks at once, so a mask of any size is spread over tasks. Runs of a row must not touch (merged()).
+    """
+    by, reach = list(by), 1 if diagonal else 0
+    node = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in by), "y", "x1")
+    x = runs.withColumn("_node", node)
+    side = lambda n, grow: _celled(x.select(*by, "y", (F.col("x1") - grow).alias("x1"), (F.col("x2") + grow).alias("x2"), "_node"), cell).select(
+        *(F.col(c).alias(f"_{n}{k}") for k, c in enumerate(by)), F.col("y").alias(f"_{n}y"), F.col("_cell").alias(f"_{n}c"), F.col("x1").alias(f"_{n}1"), F.col("x2").alias(f"_{n}2"), F.col("_node").alias(n)
+    )
+    a, b = side("a", reach), side("b", 0)
+    on = (F.col("_ay") + 1 == F.col("_by")) & (F.col("_ac") == F.col("_bc"))
+    for k in range(len(by)):
+        on = on & F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}"))
+    edges = a.join(b, on).filter((F.col("_a1") <= F.col("_b2")) & (F.col("_b1") <= F.col("_a2"))).select("a", "b")
+    label = components(edges)
+    out = x.join(label, F.col("_node") == F.col("node"), "left").withColumn("part", F.coalesce("component", "_node"))
+    return out.drop("_node", "node", "component")
+
+
+def part_table(runs: DataFrame, by: Sequence[str], diagonal: bool = True) -> DataFrame:
+    """(by..., part, area, row, col): pixels and middle of every connected part."""
+    n = (F.col("x2") - F.col("x1") + 1).cast("long")
+    got = parts(runs, by, diagonal).groupBy(*by, "part").agg(F.sum(n).alias("area"), F.sum(n * F.col("y")).alias("_y"), F.sum(n * (F.col("x1") + F.col("x2"))).alias("_x"))
+    return got.select(*by, "part", "area", (F.col("_y") / F.col("area")).alias("row"), (F.col("_x") / (2 * F.col("area"))).alias("col"))
+
+
+def complement(runs: DataFrame, masks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Runs of the pixels that are not lit, of masks (by..., width, height); runs must be merged()."""
+    own = masks.select(*by, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    ends = own.select(*by, "y", F.lit(-1).alias("x1"), F.lit(-1).alias("x2")).union(own.select(*by, "y", F.col("width").cast("int"), F.col("width").cast("int")))
+    all_runs = runs.select(*by, "y", "x1", "x2").union(ends)
+    w = Window.partitionBy(*by, "y").orderBy("x1")
+    gap = all_runs.withColumns({"_from": F.lag("x2").over(w) + 1, "_to": F.col("x1") - 1})
+    return gap.filter("_from <= _to").select(*by, "y", F.col("_from").alias("x1"), F.col("_to").alias("x2"))
+
+
+def filled(runs: DataFrame, masks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Runs of masks (by..., width, height) with their holes: parts of the background, by sides alone, that don't reach the
+    edge of the image."""
+    dark = parts(complement(runs, masks, by), by, diagonal=False)
+    size = masks.select(*(F.col(c).alias(f"_m{k}") for k, c in enumerate(by)), "width", "height")
+    on = F.lit(True)
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_m{k}"))
+    edge = (F.col("y") == 0) | (F.col("x1") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x2") == F.col("width") - 1)
+    sized = dark.join(size, on).select(*by, "part", edge.alias("_edge"))
+    holes = sized.groupBy(*by, "part").agg(F.max("_edge").alias("_open")).filter("not _open").select("part")
+    return merged(runs.select(*by, "y", "x1", "x2").union(dark.join(holes, "part", "left_semi").select(*by, "y", "x1", "x2")), by)

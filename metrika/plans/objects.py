@@ -624,15 +624,6 @@ def grids(s, d) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
 
 
-@query("""WITH RECURSIVE px AS (SELECT vec_id AS id, i // 8 AS y, i % 8 AS x, i FROM embeddings, range(64) t(i) WHERE embedding[i + 1] > 0),
-e AS (SELECT a.id, a.i AS a, b.i AS b FROM px a JOIN px b ON a.id = b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
-w AS (SELECT id, i AS a, i AS b FROM px UNION SELECT w.id, w.a, e.b FROM w JOIN e ON w.id = e.id AND w.b = e.a),
-m AS (SELECT id, a, min(b) AS first FROM w GROUP BY 1, 2)
-SELECT id, count(*) AS area, round(avg(a // 8), 6) AS row, round(avg(a % 8), 6) AS col FROM m GROUP BY id, first""")
-def g3_components(s, d):
-    return Z.component_table(grids(s, d)).select("id", "area", r("row").alias("row"), r("col").alias("col"))
-
-
 @query()
 def g5_g9_g22_shapes(s, d):
     return Z.shape_table(grids(s, d))

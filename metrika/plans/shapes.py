@@ -73,6 +73,27 @@ def g23_rasterize(s, d):
     return Q.measured(runs, ["vec_id"]).select("vec_id", "area", *(F.col(c).cast("long").alias(c) for c in X.BOX))
 
 
+@query("""WITH RECURSIVE px AS (SELECT vec_id AS id, i // 8 AS y, i % 8 AS x, i FROM embeddings, range(64) t(i) WHERE embedding[i + 1] > 0),
+e AS (SELECT a.id, a.i AS a, b.i AS b FROM px a JOIN px b ON a.id = b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+w AS (SELECT id, i AS a, i AS b FROM px UNION SELECT w.id, w.a, e.b FROM w JOIN e ON w.id = e.id AND w.b = e.a),
+m AS (SELECT id, a, min(b) AS first FROM w GROUP BY 1, 2)
+SELECT id, count(*) AS area, round(avg(a // 8), 6) AS row, round(avg(a % 8), 6) AS col FROM m GROUP BY id, first""")
+def g3_components(s, d):
+    return Q.part_table(Q.from_pixels(grid(s, d), ["id"]), ["id"]).select("id", "area", r("row").alias("row"), r("col").alias("col"))
+
+
+@query("""WITH RECURSIVE px AS (SELECT vec_id AS id, i // 8 AS y, i % 8 AS x, i, embedding[i + 1] > -0.05 AS lit FROM embeddings, range(64) t(i)), bg AS (SELECT * FROM px WHERE NOT lit),
+e AS (SELECT a.id, a.i AS a, b.i AS b FROM bg a JOIN bg b ON a.id = b.id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+w AS (SELECT id, i FROM bg WHERE x IN (0, 7) OR y IN (0, 7) UNION SELECT w.id, e.b FROM w JOIN e ON w.id = e.id AND w.i = e.a)
+SELECT id, count(*) AS area, count(*) FILTER (NOT lit) AS holes FROM px WHERE lit OR (id, i) NOT IN (SELECT (id, i) FROM w) GROUP BY id""")
+def g5_filled_holes(s, d):
+    """Pixels of each mask with its holes, and of the holes."""
+    runs = Q.from_pixels(grid(s, d, -0.05), ["id"])
+    masks = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    whole, own = Q.measured(Q.filled(runs, masks, ["id"]), ["id"]), Q.measured(runs, ["id"]).select("id", F.col("area").alias("lit"))
+    return whole.join(own, "id", "left").select("id", "area", (F.col("area") - F.coalesce("lit", F.lit(0))).alias("holes"))
+
+
 # --- intensity profiles -----------------------------------------------------------------------------------------------------
 
 

@@ -108,6 +108,56 @@ def test_long_runs_meet_once(spark):
     assert [tuple(x) for x in Q.shared_pixels(a, a, "image").collect()] == [(0, 1, 1, 100_000)]
 
 
+def flood(m, diagonal):
+    """Labels of the lit pixels by flooding."""
+    lab, n = np.zeros(m.shape, int), 0
+    for y, x in zip(*np.nonzero(m), strict=True):
+        if not lab[y, x]:
+            n, stack = n + 1, [(y, x)]
+            lab[y, x] = n
+            while stack:
+                a, b = stack.pop()
+                for c in (-1, 0, 1):
+                    for d in (-1, 0, 1):
+                        if (c or d) and (diagonal or not (c and d)) and 0 <= a + c < m.shape[0] and 0 <= b + d < m.shape[1] and m[a + c, b + d] and not lab[a + c, b + d]:
+                            lab[a + c, b + d] = n
+                            stack.append((a + c, b + d))
+    return lab
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_connected_parts_against_flooding(spark, masks, diagonal):
+    spiral = np.zeros((31, 31), bool)
+    for k in range(0, 15, 2):  # one long thin part
+        spiral[k, k : 31 - k] = spiral[k : 31 - k, 30 - k] = spiral[30 - k, k : 31 - k] = spiral[k + 2 : 31 - k, k] = True
+        spiral[k + 2, k : k + 3] = True
+    some = {**{i: m for i, m in masks.items() if i < 8 or i > 19}, 50: spiral}
+    got = Q.part_table(runs_of(spark, some), ["image", "id"], diagonal).collect()
+    want = []
+    for i, m in some.items():
+        lab = flood(m, diagonal)
+        for k in range(1, lab.max() + 1):
+            y, x = np.nonzero(lab == k)
+            want.append((i, len(x), round(float(y.mean()), 9), round(float(x.mean()), 9)))
+    assert sorted((g["id"], g["area"], round(g["row"], 9), round(g["col"], 9)) for g in got) == sorted(want)
+
+
+def test_holes_are_filled(spark, masks):
+    ring = np.zeros((11, 13), bool)
+    ring[2:9, 2:11] = True
+    ring[4:7, 4:9] = False
+    ring[5, 6] = True  # an island in the hole
+    some = {**{i: m for i, m in masks.items() if i < 6 or i > 19}, 60: ring}
+    sizes = spark.createDataFrame([(0, i, 13, 11) for i in some], "image int, id int, width int, height int")
+    got = lit(Q.filled(runs_of(spark, some), sizes, ["image", "id"]).collect())
+    want = set()
+    for i, m in some.items():
+        dark = flood(~m, False)
+        open_ = set(dark[[0, -1]].ravel()) | set(dark[:, [0, -1]].ravel())
+        want |= {(i, int(x), int(y)) for y in range(11) for x in range(13) if m[y, x] or dark[y, x] not in open_}
+    assert got == want and {p for p in got if p[0] == 60} == {(60, x, y) for x in range(2, 11) for y in range(2, 9)}
+
+
 # --- profiles ---------------------------------------------------------------------------------------------------------
 
 
