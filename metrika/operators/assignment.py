@@ -101,7 +101,7 @@ def bids(edges: DataFrame) -> DataFrame:
                 for x in (every, rows):
                     spent(x)
                 return taken
-            step = max(1, step // 6)
+            step = max(1, step // 20)
             price = new.select("part", "o", "price", F.lit(None).cast("string").alias("owner"))
             price = written(price, "auction-prices")
             spent(new)

@@ -141,12 +141,12 @@ def parts(runs: DataFrame, by: Sequence[str], diagonal: bool = True, cell: int =
     node = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in by), "y", "x1")
     x = runs.withColumn("_node", node)
     side = lambda n, grow: _celled(x.select(*by, "y", (F.col("x1") - grow).alias("x1"), (F.col("x2") + grow).alias("x2"), "_node"), cell).select(
-        *(F.col(c).alias(f"_{n}{k}") for k, c in enumerate(by)), F.col("y").alias(f"_{n}y"), F.col("_cell").alias(f"_{n}c"), F.col("x1").alias(f"_{n}1"), F.col("x2").alias(f"_{n}2"), F.col("_node").alias(n)
+        *(F.col(c).alias(f"_{n}by{k}") for k, c in enumerate(by)), F.col("y").alias(f"_{n}y"), F.col("_cell").alias(f"_{n}c"), F.col("x1").alias(f"_{n}1"), F.col("x2").alias(f"_{n}2"), F.col("_node").alias(n)
     )
     a, b = side("a", reach), side("b", 0)
     on = (F.col("_ay") + 1 == F.col("_by")) & (F.col("_ac") == F.col("_bc"))
     for k in range(len(by)):
-        on = on & F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}"))
+        on = on & F.col(f"_aby{k}").eqNullSafe(F.col(f"_bby{k}"))
     edges = a.join(b, on).filter((F.col("_a1") <= F.col("_b2")) & (F.col("_b1") <= F.col("_a2"))).select("a", "b")
     label = components(edges)
     out = x.join(label, F.col("_node") == F.col("node"), "left").withColumn("part", F.coalesce("component", "_node"))
@@ -163,7 +163,7 @@ def part_table(runs: DataFrame, by: Sequence[str], diagonal: bool = True) -> Dat
 def complement(runs: DataFrame, masks: DataFrame, by: Sequence[str]) -> DataFrame:
     """Runs of the pixels that are not lit, of masks (by..., width, height); runs must be merged()."""
     own = masks.select(*by, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    ends = own.select(*by, "y", F.lit(-1).alias("x1"), F.lit(-1).alias("x2")).union(own.select(*by, "y", F.col("width").cast("int"), F.col("width").cast("int")))
+    ends = own.select(*by, "y", F.explode(F.array(F.lit(-1), F.col("width").cast("int"))).alias("x1")).withColumn("x2", F.col("x1") + 0)
     all_runs = runs.select(*by, "y", "x1", "x2").union(ends)
     w = Window.partitionBy(*by, "y").orderBy("x1")
     gap = all_runs.withColumns({"_from": F.lag("x2").over(w) + 1, "_to": F.col("x1") - 1})
