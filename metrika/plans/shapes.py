@@ -113,7 +113,7 @@ def u(i: int, n: int = 16):
 
 
 OUTLINE = """m AS (SELECT vec_id, embedding, [CAST(floor(abs(CAST(v AS DOUBLE)) * 640) AS BIGINT) % 16 / 64.0 FOR v IN embedding[1:4]] AS q FROM embeddings),
-poly AS (SELECT vec_id, 0 AS i, 8 * q[1] AS x, 8 * q[2] AS y FROM m UNION ALL SELECT vec_id, 1, 8 * (1 - q[3]), 4 * q[2] FROM m UNION ALL SELECT vec_id, 2, 8 * (1 - q[1]), 8 * (1 - q[4]) FROM m UNION ALL SELECT vec_id, 3, 8 * q[3], 8 * (1 - q[2]) FROM m),
+poly AS (SELECT vec_id, 0 AS i, 8 * q[1] AS x, 8 * q[2] AS y FROM m UNION ALL SELECT vec_id, 1, 8 * (1 - q[3]), 1.0 FROM m UNION ALL SELECT vec_id, 2, 8 * (1 - q[1]), 8 * (1 - q[4]) FROM m UNION ALL SELECT vec_id, 3, 8 * q[3], 8 * (1 - q[2]) FROM m),
 bone AS (SELECT vec_id, 0 AS i, 8 * q[1] AS x, 2.0 AS y FROM m UNION ALL SELECT vec_id, 1, 4.0, 8 * (0.25 + q[2]) FROM m UNION ALL SELECT vec_id, 2, 6.0, 4.0 FROM m UNION ALL SELECT vec_id, 3, 8 * (1 - q[3]), 6.0 FROM m),
 g AS (SELECT vec_id, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS u, coalesce(lead(y) OVER w, first(y) OVER w) AS v FROM poly WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 c AS (SELECT vec_id, py, (u - x) * (py - y) / (v - y) + x AS cx FROM g, range(8) b(py) WHERE (y > py) <> (v > py)),
@@ -132,7 +132,7 @@ SELECT vec_id AS file, CAST(k AS INTEGER) AS segment, round(mean, 6) AS mean, ro
 def outline_text(s: SparkSession, d: str) -> DataFrame:
     """Contour and skeleton of each vector as a text file, written and read back by the library."""
     one, half, quarter = F.lit(1.0), F.lit(0.5), F.lit(0.25)
-    places = {"contour": [(u(0), u(1)), (one - u(2), u(1) / 2), (one - u(0), one - u(3)), (u(2), one - u(1))], "skeleton": [(u(0), quarter), (half, quarter + u(1)), (F.lit(0.75), half), (one - u(2), F.lit(0.75))]}
+    places = {"contour": [(u(0), u(1)), (one - u(2), F.lit(0.125)), (one - u(0), one - u(3)), (u(2), one - u(1))], "skeleton": [(u(0), quarter), (half, quarter + u(1)), (F.lit(0.75), half), (one - u(2), F.lit(0.75))]}
     all_of = F.array(*(F.struct(F.lit(k).alias("section"), F.lit(i).alias("pos"), x.cast("double").alias("x"), y.cast("double").alias("y")) for k, pos in places.items() for i, (x, y) in enumerate(pos)))
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("file"), F.lit(0).alias("part"), F.inline(all_of))
     return K.contour_lines(rows.select("file", "section", "part", "pos", "x", "y"))
