@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 from ..shared import spent, written
 from .graphs import components
 
-#: Edges of a part of the graph that one task solves; larger parts are solved by rounds of bids.
+#: Edges that one task solves. A key is solved over a core of its edges; where that is larger, by the parts of its graph, and
+#: larger parts by rounds of bids.
 PART_EDGES = 200_000
 #: Gains are whole numbers of this part of 1, for single precision at and above 2**-16.
 UNIT = 1 << 40
 #: Of the bids, which need headroom for sums; totals are exact to half of the edges used times this part.
 BID_UNIT = 1 << 20
+#: Edges of each end that the core starts with.
+CORE = 2
 
 
 def best_pairs(rows: np.ndarray, cols: np.ndarray, gain: list[int]) -> list[int]:
-    """Which edges (row, col, gain > 0) the assignment of the largest total gain takes; rows and columns may stay alone.
+    """Which edges (row, col, gain > 0) the assignment of the largest total gain takes; rows and columns may stay alone."""
+    return solved(rows, cols, gain)[0]
+
+
+def solved(rows: np.ndarray, cols: np.ndarray, gain: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The edges taken, and what each row and each column is worth: no edge gains more than its two ends are worth, and all
+    ends together are worth what the taken edges gain.
 
     Shortest augmenting paths over the edges alone, in whole numbers. Each row has a column of its own, at gain 0, which it
     takes where it stays alone.
@@ -61,7 +70,7 @@ def best_pairs(rows: np.ndarray, cols: np.ndarray, gain: list[int]) -> list[int]
             if r == start:
                 break
             c = before
-    return sorted(k for k in edge_of if k >= 0)
+    return sorted(k for k in edge_of if k >= 0), [-x for x in u], [-x for x in v[:m]]
 
 
 def bids(edges: DataFrame) -> DataFrame:
@@ -109,23 +118,73 @@ def bids(edges: DataFrame) -> DataFrame:
             price = new.select("part", "o", "price", "owner")
 
 
-def assign(pairs: DataFrame, key: str, threshold: float, part_edges: int = PART_EDGES) -> DataFrame:
-    """(key, a, b, iou) of the one-to-one assignment with the largest total IoU in each key, and IoU >= threshold.
+def same_key(x: DataFrame, y: DataFrame, *names: str):
+    """Null-safe equality of columns of x with those of y that have an underscore more."""
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & x[c].eqNullSafe(y[f"_{c}"])
+    return cond
 
-    pairs: (key, a, b, iou), one row a pair; those without a positive IoU can't be in it. IoU is compared in single precision.
-    What matters is not the key but the part of its graph that hangs together: pairs that share no end with another are taken
-    at once; parts of up to part_edges pairs are solved each in one task, by their edges; larger ones by rounds of bids, on
-    whole gains of 2**-20. Which of several equally good assignments is taken is not said.
+
+def foremost(edges: DataFrame, n: int) -> DataFrame:
+    """The n edges of most `worth` of each a and of each b, equal ones in an order of their own at each end."""
+    tie = F.xxhash64("a", "b")
+    ranked = [edges.withColumn("_r", F.row_number().over(Window.partitionBy("k", c).orderBy(F.desc("worth"), tie, "a", "b"))).filter(F.col("_r") <= n) for c in "ab"]
+    return ranked[0].union(ranked[1]).select("k", "a", "b", "iou", "gain").distinct()
+
+
+def by_cores(e: DataFrame, part_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Of edges (k, a, b, iou): those that the assignment takes, and the keys left open because their core is too large.
+
+    A core of edges, the best of each end, is solved, each key in one task. What its ends are worth shows for every other edge
+    whether it could add to the total: where one gains more than its ends are worth, the foremost of such edges join the core
+    and it is solved again. When there are none left, no assignment over all edges has a larger total. All edges are only read
+    and joined; a task gets a key's core.
     """
-    kinds = dict(pairs.dtypes)
-    e = written(pairs.filter("iou > 0").select(F.col(key).alias("k"), "a", "b", "iou"), "pairs")
+    kinds = dict(e.dtypes)
+    out = f"k {kinds['k']}, a {kinds['a']}, b {kinds['b']}, iou double, what string, worth long"
+    every = e.withColumn("gain", (F.col("iou").cast("float").cast("double") * UNIT).cast("long"))
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = (pd.factorize(g[c], sort=True)[0] for c in "ab")
+        took, row, col = solved(rows, cols, g["gain"].tolist())
+        at = np.concatenate([took, np.unique(rows, return_index=True)[1], np.unique(cols, return_index=True)[1]]).astype(int)
+        what = ["pair"] * len(took) + ["a"] * len(row) + ["b"] * len(col)
+        return g.iloc[at][["k", "a", "b", "iou"]].assign(what=what, worth=np.array([0] * len(took) + row + col, np.int64))
+
+    n, core = CORE, written(foremost(every.withColumn("worth", F.col("gain")), CORE), "core")
+    while True:
+        size = core.groupBy(F.col("k").alias("_k")).agg(F.count("*").alias("n"))
+        small = core.join(size.filter(F.col("n") <= part_edges), core["k"].eqNullSafe(F.col("_k")), "left_semi")
+        done = written(small.groupBy("k").applyInPandas(solve, out), "core-solved")
+        end = lambda c: done.filter(F.col("what") == c).select(F.col("k").alias("_k"), F.col(c).alias(f"_{c}"), F.col("worth").alias(f"of_{c}"))
+        a, b = end("a"), end("b")
+        over = every.join(a, same_key(every, a, "k", "a")).drop("_k", "_a")
+        over = over.join(b, same_key(over, b, "k", "b")).withColumn("worth", F.col("gain") - F.col("of_a") - F.col("of_b")).filter("worth > 0")
+        n *= 2
+        more = written(foremost(over, n), "core-more")
+        if more.isEmpty():
+            spent(more)
+            return done.filter("what = 'pair'").select("k", "a", "b", "iou"), size.filter(F.col("n") > part_edges).select("_k")
+        grown = written(core.union(more), "core")
+        for x in (core, done, more):
+            spent(x)
+        core = grown
+
+
+def by_parts(e: DataFrame, part_edges: int) -> DataFrame:
+    """Of edges (k, a, b, iou), those that the assignment takes.
+
+    Pairs that share no end with another are taken at once; parts of up to part_edges pairs are solved each in one task, by
+    their edges; larger ones by rounds of bids, on whole gains of 2**-20.
+    """
+    kinds = dict(e.dtypes)
     node = lambda side: F.concat_ws("\x01", F.coalesce(F.col("k").cast("string"), F.lit("\x02")), F.lit(side), F.col(side).cast("string"))
     label = components(e.select(node("a").alias("a"), node("b").alias("b")))
     parted = written(e.withColumn("_n", node("a")).join(label.withColumnRenamed("component", "part"), F.col("_n") == F.col("node")).select("part", "k", "a", "b", "iou"), "parts")
-    spent(e)
     size = parted.groupBy("part").agg(F.count("*").alias("n"))
     sized = parted.join(size, "part")
-    out = f"k {kinds[key]}, a {kinds['a']}, b {kinds['b']}, iou double"
+    out = f"k {kinds['k']}, a {kinds['a']}, b {kinds['b']}, iou double"
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pd.factorize(g["a"], sort=True)[0], pd.factorize(g["b"], sort=True)[0]
@@ -138,5 +197,20 @@ def assign(pairs: DataFrame, key: str, threshold: float, part_edges: int = PART_
         taken = bids(large.select("part", "a", "b", F.greatest(F.lit(1), F.round(F.col("iou") * BID_UNIT)).cast("long").alias("gain")))
         on = (F.col("e.part") == F.col("t.part")) & (F.col("e.a").cast("string") == F.col("t.a")) & (F.col("e.b").cast("string") == F.col("t.b"))
         done = done.union(large.alias("e").join(taken.alias("t"), on, "left_semi").select("k", "a", "b", "iou"))
+    return done
+
+
+def assign(pairs: DataFrame, key: str, threshold: float, part_edges: int = PART_EDGES) -> DataFrame:
+    """(key, a, b, iou) of the one-to-one assignment with the largest total IoU in each key, and IoU >= threshold.
+
+    pairs: (key, a, b, iou), one row a pair; those without a positive IoU can't be in it. IoU is compared in single precision.
+    A key is solved over a core of its pairs that grows until no other pair can add to the total (by_cores); one whose core
+    has more than part_edges pairs by the parts of its graph that hang together (by_parts). Which of several equally good
+    assignments is taken is not said.
+    """
+    e = written(pairs.filter("iou > 0").select(F.col(key).alias("k"), "a", "b", "iou"), "pairs")
+    done, large = by_cores(e, part_edges)
+    if not large.isEmpty():
+        done = done.union(by_parts(e.join(large, e["k"].eqNullSafe(large["_k"]), "left_semi"), part_edges))
     enough = F.col("iou").cast("float") >= F.lit(threshold).cast("float")
     return done.filter(enough).select(F.col("k").alias(key), "a", "b", "iou")

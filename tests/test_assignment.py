@@ -68,6 +68,30 @@ def test_one_key_that_hangs_together(spark, monkeypatch, n, part_edges):
     assert len({x["a"] for x in got}) == len({x["b"] for x in got}) == len(got)
 
 
+def test_a_dense_key_is_solved_over_its_core(spark, monkeypatch):
+    monkeypatch.setattr(H, "bids", lambda edges: pytest.fail("bids over a dense key"))
+    r, n = random.Random(4), 60
+    gain = {(a, b): r.randrange(1, 257) / 256 for a in range(n) for b in range(n)}
+    rows = [(k, a, b, x) for (a, b), x in gain.items() for k in (0, None)] + [(1, a, b, 0.5) for a in range(n) for b in range(n)]  # copies are worth the same
+    got = H.assign(spark.createDataFrame(rows, PAIRS), "k", 0.0, part_edges=1500).collect()
+    took = H.best_pairs(np.array([a for a, _ in gain]), np.array([b for _, b in gain]), [int(x * 256) for x in gain.values()])
+    best = sum(list(gain.values())[k] for k in took)
+    for k, total in ((0, best), (None, best), (1, n / 2)):
+        own = [x for x in got if x["k"] == k]
+        assert sum(x["iou"] for x in own) == pytest.approx(total, abs=1e-9)
+        assert len({x["a"] for x in own}) == len({x["b"] for x in own}) == len(own)
+
+
+def test_worths_bound_all_gains():
+    r = random.Random(3)
+    for _ in range(100):
+        edges = {(r.randrange(6), r.randrange(6)): r.randint(1, 40) for _ in range(14)}
+        rows, cols = ([sorted({e[k] for e in edges}).index(e[k]) for e in edges] for k in (0, 1))
+        took, row, col = H.solved(np.array(rows), np.array(cols), list(edges.values()))
+        assert min(row + col) >= 0 and all(g <= row[a] + col[b] for a, b, g in zip(rows, cols, edges.values(), strict=True))
+        assert sum(row) + sum(col) == sum(list(edges.values())[k] for k in took)
+
+
 def test_threshold_in_single_precision(spark):
     pairs = spark.createDataFrame([("k", 1, 1, 0.7), ("k", 1, 2, 0.6), ("k", 2, 2, 0.69), ("j", 5, 5, 0.9), ("j", 6, 5, 0.95)], "k string, a int, b int, iou double")
     assert {(r.a, r.b) for r in H.assign(pairs, "k", 0.7).collect()} == {(1, 1), (6, 5)}
