@@ -91,3 +91,25 @@ def bins(n: Column, few: bool = True) -> Column:
 
 def scientific(value: Column, error: Column) -> Column:
     return F.format_string("%.2e ± %.2e", value, error)
+
+
+def fixed(value: Column, digits: int = 6) -> Column:
+    """value with that many decimals as C's printf writes it: by its exact binary value, halves to the even digit.
+
+    Java rounds the shortest decimal of a double, and halves up. The fraction times a power of ten is a product whose
+    rounding error is known exactly (Dekker's two factors); it matters only where the rounded product ends in one half.
+    """
+    ten = 10.0**digits
+    v = value.cast("double")
+    whole = F.floor(F.abs(v))
+    x = F.abs(v) - whole
+    p = x * F.lit(ten)
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    error = (high * F.lit(ten) - p) + (x - high) * F.lit(ten)
+    n = F.rint(p)
+    n = n + F.when((p - n == 0.5) & (error > 0), 1).when((p - n == -0.5) & (error < 0), -1).otherwise(0)
+    whole, n = whole + F.when(n == ten, 1).otherwise(0), F.when(n == ten, 0.0).otherwise(n).cast("long")
+    sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+    usual = F.concat(sign, whole.cast("string"), F.lit("."), F.lpad(n.cast("string"), digits, "0"))
+    return F.when(F.abs(v) < 2.0**62, usual).otherwise(F.format_string(f"%.{digits}f", v))

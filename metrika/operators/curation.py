@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import measures as M
 from ..functions import names as N
 from . import ranking as R
 from . import tables as T
@@ -51,7 +52,7 @@ def to_yolo(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
     images: image_id, file_name, width, height; annotations: image_id, ann_id, category_id, segment (flat pixels).
     """
-    text = F.transform(F.col("xy"), lambda v: F.format_string("%.6f", v))
+    text = F.transform(F.col("xy"), lambda v: M.fixed(v))
     lines = (
         annotations.join(images.select("image_id", "width", "height"), "image_id")
         .withColumn("xy", G.normalized(F.col("segment"), F.col("width"), F.col("height"))).filter("xy is not null")

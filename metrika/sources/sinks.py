@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import measures as M
 from ..functions import names as N
 
 
@@ -65,7 +66,7 @@ def speed_files(df: DataFrame, path: str, name: str, order: str, seconds: str, k
     from ..operators import tables as T
 
     sums = T.speed_batches(df, order, seconds, k, warm_up)
-    raw = sums.select((F.col("batch") - 1).alias("batch_idx"), F.col("items").alias("n_items"), F.format_string("%.6f", "s").alias("seconds"))
+    raw = sums.select((F.col("batch") - 1).alias("batch_idx"), F.col("items").alias("n_items"), M.fixed(F.col("s")).alias("seconds"))
     raw.coalesce(1).orderBy("batch_idx").write.mode("overwrite").option("header", True).csv(f"{path}/raw")
     fields = [F.lit(name).alias("name"), "*", *(F.lit(v).alias(c) for c, v in more.items())]
     T.speed_summary(df, order, seconds, k, warm_up).select(*fields).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
@@ -95,14 +96,14 @@ def contour_lines(points: DataFrame, most: int = 100) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("file", "section", "part"))
     keep = (F.col("section") != "contour") | (F.col("n") <= most) | (F.floor(F.col("pos") * most / F.col("n")) != F.floor((F.col("pos") - 1) * most / F.col("n")))
     kept = points.withColumn("n", n).filter(keep)
-    line = F.format_string("%.6f %.6f", "x", "y")
+    line = F.concat_ws(" ", M.fixed(F.col("x")), M.fixed(F.col("y")))
     parts = kept.groupBy("file", "section", "part").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
     text = F.concat(F.lit("["), F.upper("section"), F.lit("]\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     return parts.select("file", "section", "part", text.alias("t")).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "part", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
 def yolo_line(class_id: Column, xy: Column) -> Column:
-    return F.concat_ws(" ", class_id.cast("string"), F.array_join(F.transform(xy, lambda v: F.format_string("%.6f", v)), " "))
+    return F.concat_ws(" ", class_id.cast("string"), F.array_join(F.transform(xy, lambda v: M.fixed(v)), " "))
 
 
 def data_yaml(names: list[str], train: str = "train/images", valid: str = "valid/images", test: str | None = None) -> str:
@@ -116,7 +117,7 @@ def text_files(df: DataFrame, path: str) -> None:
 
 def report(stats: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """Fixed-width lines of a statistics table."""
-    cells = [F.format_string("%12.3f", F.col(c).cast("double")) for c in columns]
+    cells = [F.lpad(M.fixed(F.col(c), 3), 12, " ") for c in columns]
     return stats.select(F.concat(F.rpad(F.col(label), 40, " "), *cells).alias("text"))
 
 

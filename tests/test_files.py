@@ -341,3 +341,23 @@ def test_clip_polygons_of_a_target_and_its_neighbours(spark):
     assert set(got) == {0, 1} and size == 52 and [tuple(p) for p in got[0]["clip"]] == [((x - left) / size, (y - left) / size) for x, y in target]
     clip = [tuple(p) for p in got[1]["clip"]]
     assert area(clip) * size * size == pytest.approx((56 - 40) * 20) and len(clip) == 4
+
+
+def test_decimals_are_those_of_the_exact_binary_value(spark):
+    import random
+
+    from metrika.functions import measures as M
+
+    r = random.Random(2)
+    values = [k / 256 for k in range(-300, 300)] + [r.choice((-1, 1)) * r.random() * 10.0 ** r.randint(-8, 12) for _ in range(3000)] + [0.0, -0.0, 0.9999995, 0.1234565, 0.9999999, 1e15, 2.0**60]
+    values += [round(r.random(), 6) + 5e-7 for _ in range(3000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", M.fixed(F.col("v")).alias("six"), M.fixed(F.col("v"), 3).alias("three")).collect()
+    assert [(x["six"], x["three"]) for x in got] == [("%.6f" % x["v"], "%.3f" % x["v"]) for x in got]
+
+
+def test_yolo_text_with_halves(spark):
+    from metrika.operators import curation as C
+
+    images = spark.createDataFrame([(1, "a.png", 1.0, 1.0)], "image_id long, file_name string, width double, height double")
+    marks = spark.createDataFrame([(1, 1, 0, [1 / 128, 3 / 128, 5 / 128, 0.5, 2.0, -1.0])], "image_id long, ann_id long, category_id int, segment array<double>")
+    assert C.to_yolo(images, marks).first()["text"] == "0 0.007812 0.023438 0.039062 0.500000 1.000000 0.000000"
