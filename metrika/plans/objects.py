@@ -602,7 +602,7 @@ def k22_ranked_names(s, d):
 
 def images(s, d) -> DataFrame:
     """Deterministic 64 x 64 pictures of a bar, one for each vector: placed and turned by its first components."""
-    return table(s, d, "embeddings").select(
+    return spread(table(s, d, "embeddings"), "vec_id").select(
         F.concat(F.lit("20200101-e1-p1-4x_A01_roi_"), "vec_id", F.lit(".png")).alias("path"), F.lit(64).alias("height"), F.lit(64).alias("width"),
         F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.when((F.abs(i % 64 - 32) < 24) & (F.abs(F.floor(i / 64) - 32 - F.get("embedding", 0) * 10) < 4), 1.0).otherwise(0.0)).alias("pixels"),
     )

@@ -406,3 +406,31 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         St.drain(St.windowed(stream, "ts", "1 minute", "2 minutes", "k", "v"), str(tmp_path / "cp"), lambda df, i: df.write.mode("append").parquet(out))
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [2, 2, 2, 2]
+
+
+def test_label_numbers_components_in_row_order():
+    r = np.random.default_rng(5)
+
+    def plain(mask, eight):
+        out, n = np.zeros(mask.shape, int), 0
+        for at in zip(*np.nonzero(mask), strict=True):
+            if not out[at]:
+                n, todo = n + 1, [at]
+                while todo:
+                    y, x = todo.pop()
+                    if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and not out[y, x]:
+                        out[y, x] = n
+                        todo += [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if eight or not a or not b]
+        return out, n
+
+    for _ in range(200):
+        m = r.random(r.integers(1, 12, 2)) < r.random()
+        for eight in (True, False):
+            want, got = plain(m, eight), K.label(m, eight)
+            assert want[1] == got[1] and (want[0] == got[0]).all()
+
+
+def test_pictures_are_dealt_over_all_cores(spark):
+    from metrika.plans import objects
+
+    assert objects.images(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
