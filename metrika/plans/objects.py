@@ -454,7 +454,8 @@ me AS (SELECT pr.* FROM pr WHERE target = ann_id OR (target, ann_id) IN (SELECT
 
 def annotated(s, d) -> DataFrame:
     scaled = F.transform("line", lambda p: F.struct((p["x"] * 200).alias("x"), (p["y"] * 200).alias("y")))
-    return lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.col("label").alias("category_id"), scaled.alias("polygon"))
+    x = lines(s, d).select(F.floor(F.col("vec_id") / 8).alias("image_id"), F.col("vec_id").alias("ann_id"), F.col("label").alias("category_id"), scaled.alias("polygon"))
+    return spread(x, "image_id")
 
 
 @query(f"WITH {REGIONS} SELECT image_id, target, ann_id, size, round(512 / size, 6) AS scale_factor FROM me")

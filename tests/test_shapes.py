@@ -323,3 +323,9 @@ def test_running_sums_of_a_hot_group(spark):
 def test_candidates_still_meet(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0, 2.0, 2.0), (2, 0, 1.0, 1.0, 3.0, 3.0)], "id int, k int, x1 double, y1 double, x2 double, y2 double")
     assert X.with_box_iou(X.candidates(df, df, "k", "id", "id")).filter("a < b").first()["iou"] == pytest.approx(1 / 7) and math.isclose(1, 1)
+
+
+def test_annotations_are_dealt_over_all_cores(spark):
+    from metrika.plans import objects
+
+    assert objects.annotated(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
