@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from .trees import opened
 
+#: Files that are moved at a time.
+MOVERS = 32
+
 
 @dataclass
 class Staged(WriterCommitMessage):
@@ -53,11 +57,10 @@ class FileWriter(DataSourceWriter):
             for f in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if f.type == fs.FileType.File and f.base_name not in keep:
                     where.delete_file(f.path)
-        for m in messages:
-            if m:
-                staged = opened(m.folder)[1]
-                for k, n in enumerate(m.names):
-                    where.move(f"{staged}/{k}", f"{root}/{n}")
+        moves = ((f"{opened(m.folder)[1]}/{k}", f"{root}/{n}") for m in messages if m for k, n in enumerate(m.names))
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(lambda x: where.move(*x), moves):
+                pass
         self._clear(where, root)
 
     def abort(self, messages: list) -> None:
