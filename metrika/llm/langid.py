@@ -61,6 +61,30 @@ class Gru:
             out[t] = h
         return out, kept
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """run() where nothing is kept: each gate apart and in place, so that no array is read with gaps."""
+        n, w, u = self.n, self.p["w"] + self.p["b"], self.p["u"]
+        of = lambda k, by: tuple(np.ascontiguousarray(p[:, k * n : k * n + n] * p.dtype.type(by)) for p in (w, u))
+        (w_z, u_z), (w_r, u_r), (w_c, u_c) = of(0, -1), of(1, -1), of(2, -2)
+        out = np.empty((*x.shape, n), w.dtype)
+        h = np.zeros(out.shape[1:], w.dtype)
+        z, r, c, own = (np.empty_like(h) for _ in range(4))
+        with np.errstate(over="ignore"):
+            for t, at in enumerate(x.astype(np.intp)):
+                for gate, w_in, u_in, state in ((z, w_z, u_z, h), (r, w_r, u_r, h), (c, w_c, u_c, r)):
+                    np.take(w_in, at, axis=0, out=gate, mode="clip")
+                    gate += np.matmul(state, u_in, out=own)
+                    np.exp(gate, out=gate)
+                    gate += 1
+                    np.divide(2 if gate is c else 1, gate, out=gate)
+                    if gate is r:
+                        r *= h
+                c -= 1
+                c -= h
+                c *= z
+                h = np.add(h, c, out=out[t])
+        return out
+
     def back(self, x: np.ndarray, kept: list, d_out: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients by backpropagation through time."""
         n, u = self.n, self.p["u"]
@@ -110,16 +134,19 @@ class Network:
     def log_probabilities(self, f: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
         """(time, window, language) from the states of both directions, b in its own order."""
         n, v = self.forward.n, self.p["v"]
-        logit = f @ v[:n] + np.take_along_axis(b @ v[n:], turn[:, :, None], axis=0) + self.p["c"]
-        logit -= logit.max(axis=2, keepdims=True)
-        return logit - np.log(np.exp(logit).sum(axis=2, keepdims=True))
+        of = lambda p, x: np.ascontiguousarray(p.T) @ x.reshape(-1, n).T
+        place = (turn * turn.shape[1] + np.arange(turn.shape[1])).ravel()
+        logit = of(v[:n], f) + np.take(of(v[n:], b), place, axis=1) + self.p["c"][:, None]
+        logit -= logit.max(axis=0)
+        logit -= np.log(np.exp(logit).sum(axis=0))
+        return np.moveaxis(logit.reshape(-1, *turn.shape), 0, 2)
 
     def sums(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Log probabilities (window, language), summed over the positions of each window."""
         out = np.zeros((len(x), len(self.labels)))
         for k in range(0, len(x), AT_ONCE):
             x_t, y_t, turn, live = self.turned(x[k : k + AT_ONCE], size[k : k + AT_ONCE])
-            logp = self.log_probabilities(self.forward.run(x_t)[0], self.backward.run(y_t)[0], turn)
+            logp = self.log_probabilities(self.forward.states(x_t), self.backward.states(y_t), turn)
             out[k : k + AT_ONCE] = (logp * live[:, :, None]).sum(axis=0)
         return out
 

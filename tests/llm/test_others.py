@@ -187,6 +187,18 @@ def test_language_reads_every_byte_in_context(monkeypatch):
     assert [langid.has_letter(t) for t in ("²", "x²", "_", "日", "\u0301", "ª")] == [False, True, False, True, False, True]
 
 
+@pytest.mark.parametrize("scale", [0.5, 300.0])
+def test_states_without_what_training_keeps(scale):
+    """What labels the texts holds the same states as training, in small and in saturated gates, and no warning comes up."""
+    gru, rng = langid.Gru(np.random.default_rng(0), 4), np.random.default_rng(1)
+    for k, p in gru.p.items():
+        gru.p[k] = rng.normal(0, scale, p.shape).astype(np.float32)
+    x = rng.integers(0, 256, (30, 17)).astype(np.uint8)
+    with np.errstate(all="raise", under="ignore"):
+        assert np.abs(gru.states(x) - gru.run(x)[0]).max() < 1e-3 * scale**0.5
+    assert gru.states(x[:, :0]).shape == (30, 0, 4)
+
+
 def test_gradients_by_difference():
     net = small_network()
     x, size, _ = langid.windows_of([b"abcab", b"ba", b"c c"], 5)
