@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import schemas
 from ..functions import measures as M
@@ -108,7 +109,7 @@ def measurements(spark: SparkSession, pattern: str) -> DataFrame:
     """Measurement CSVs, one folder a category; `category` from the path, nan as NULL."""
     df = spark.read.schema(schemas.MEASUREMENTS).csv(pattern, header=True)
     df = df.withColumns({c: M.number(F.col(c)) for c in ("Length_um", "Width_um")})
-    return df.withColumn("category", F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1))
+    return df.withColumn("category", F.substring_index(F.substring_index(F.input_file_name(), "/", -2), "/", 1))
 
 
 def normalized_headers(df: DataFrame, lower: bool = True) -> DataFrame:
@@ -243,10 +244,12 @@ def checked_splits(spark: SparkSession, root: str, annotation: str = "_annotatio
 
 
 def sized_measurements(df: DataFrame) -> DataFrame:
-    """(length_um, width_um) by the columns that are there: micrometres, else original pixels, else cut-out pixels."""
+    """(length_um, width_um) by the columns that are there: micrometres, else original pixels, else cut-out pixels. Doubles are
+    taken as they are; others are trimmed text."""
     for kind, factor in (("um", 1.0), ("original_px", M.UM_PER_PX), ("roi_px", M.UM_PER_PX)):
         names = {c.lower(): c for c in df.columns}
         if f"length_{kind}" in names and f"width_{kind}" in names:
-            value = lambda c: M.number(F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))) * factor  # noqa: B023, E731
+            text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+            value = lambda c: M.number(F.col(c) if isinstance(df.schema[c].dataType, DoubleType) else text(c)) * factor  # noqa: B023, E731
             return df.withColumns({"length_um": value(names[f"length_{kind}"]), "width_um": value(names[f"width_{kind}"])})
     raise KeyError(f"no length and width columns in {df.columns}")

@@ -397,6 +397,13 @@ def test_measurement_csv_round_trip(spark, tmp_path):
         S.external_tool(df)
 
 
+def test_sizes_that_are_doubles_never_become_text(spark):
+    rows = [(1.5, 2.0), (float("nan"), float("-inf")), (None, 0.1), (1e-320, -0.0)]
+    x = S.sized_measurements(spark.createDataFrame(rows, "Length_um double, Width_um double")).select("length_um", "width_um")
+    assert [tuple(r) for r in x.collect()] == [(1.5, 2.0), (None, None), (None, 0.1), (1e-320, 0.0)]
+    assert "string" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stream(spark, tmp_path):
     from metrika.streaming import incremental as St
 
