@@ -313,6 +313,25 @@ def test_keys_of_runs():
     assert at.tolist() == [0] and reach.tolist() == [255]
 
 
+def test_similar_paragraphs_share_a_probe_of_any_shingle():
+    """Wherever a word of a paragraph is changed, lost or added, or its ends differ: at every shingle that stands, a key is shared."""
+    rng, n, s = np.random.default_rng(0), passage_dedup.WINDOW, passage_dedup.SHINGLE
+    word = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    a = word(n)
+    cases = [(np.concatenate([word(k), a[k : k + n - 5], word(5 - k)]), range(k, k + n - 5 - s + 1)) for k in range(6)]
+    for k in range(s, n - s):
+        cases += [(np.concatenate([a[:k], word(1), a[k + add :]])[:n], range(0, k - s + 1)) for add in (0, 1)]
+        cases += [(np.concatenate([a[:k], word(1), a[k + 1 :]]), range(k + 1, n - s + 1))]
+        cases += [(np.concatenate([a[:k], a[k + 1 :], word(1)]), range(0, k - s + 1))]
+    for b, shared in cases:
+        x, y = (passage_dedup.grams(v, s) for v in (a, b))
+        if sum((Counter(x.tolist()) & Counter(y.tolist())).values()) < passage_dedup.least_common():
+            continue
+        for at in shared:
+            keys = [set(passage_dedup.context_keys(np.concatenate([word(60), v, word(60)]), np.array([60 + at]), np.array([7]))[1].tolist()) for v in (a, b)]
+            assert keys[0] & keys[1]
+
+
 @pytest.mark.parametrize("bucket", [1, 16])
 def test_passages(documents, prose, bucket):
     passage = prose(60, 1)
