@@ -302,6 +302,53 @@ def test_alike_against_brute_force():
             assert any(x <= s + 9 and s + 41 <= y for x, y, _, _ in found)
 
 
+def test_alike_of_many_pairs_at_once():
+    """Pairs side by side give what each gives by itself, those without shingles or anything in common included."""
+    r = random.Random(11)
+    code = lambda words: passage_dedup.grams(np.array([hash(w) % (1 << 32) for w in words], np.uint64), 5)
+    pairs, want = [], set()
+    for k in range(90):
+        word = lambda: str(r.randrange(400 if k % 3 else 5))  # noqa: B023, E731
+        a = [word() for _ in range(r.randint(50, 140))]
+        off = r.randint(0, 20)
+        b = [word() for _ in range(off)] + edit(a, r.randint(0, 3), r) if k % 5 else [word() for _ in range(r.choice([3, 60]))]
+        pairs += [(code(a), code(b), off), (code(b), code(a), -off)]
+        for x, y, d, n in ((a, b, off, 2 * k), (b, a, -off, 2 * k + 1)):
+            aligned = sum(x[i : i + 5] == y[i + d : i + d + 5] for i in range(max(0, -d), len(x) - 4) if len(y[i + d : i + d + 5]) == 5)
+            want |= {n for s, t in similar_windows(x, y) if t == s + d and aligned >= passage_dedup.LEAST_ALIGNED}
+    x, y, off = zip(*pairs, strict=True)
+    sizes = [np.array([len(v) for v in side]) for side in (x, y)]
+    of, *ends = passage_dedup.all_alike(np.concatenate(x), np.concatenate(y), *sizes, np.array(off))
+    assert set(of.tolist()) == want and len(want) > 60
+    got = list(zip(of.tolist(), *(e.tolist() for e in ends), strict=True))
+    assert got == [(k, *g) for k, p in enumerate(pairs) for g in passage_dedup.alike(*p)]
+
+
+def test_keys_of_stretches_at_once():
+    """Stretches of several texts side by side give what each gives by itself, and no text's contexts reach into the next."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 9, 900).astype(np.uint64)
+    h[300:400] = 7
+    start, end = np.array([0, 100, 130, 420, 700]), np.array([100, 130, 420, 660, 900])
+    each = [passage_dedup.enough_keys(h[s:e]) for s, e in zip(start, end, strict=True)]
+    got = passage_dedup.enough_keys(h, start, end)
+    assert [v.tolist() for v in got] == [np.concatenate([x[0] + s for x, s in zip(each, start, strict=True)]).tolist(), *(np.concatenate([x[k] for x in each]).tolist() for k in (1, 2))]
+    at, first = np.array([0, 40, 99, 100, 420, 895]), np.array([0, 0, 0, 100, 420, 700])
+    last = np.array([100, 100, 100, 130, 660, 900])
+    where, keys = passage_dedup.context_keys(h, at, np.arange(6), first, last)
+    want = [(k, x) for k in range(6) for x in passage_dedup.context_keys(h[first[k] : last[k]], at[k : k + 1] - first[k], np.arange(k, k + 1))[1].tolist()]
+    assert sorted(zip(where.tolist(), keys.tolist(), strict=True)) == sorted(want)
+    low, high, of = passage_dedup.stretches(np.array([60, 95, 100, 250]), np.array([0, 0, 0, 0]), np.array([0, 0, 100, 100]), np.array([100, 100, 400, 400]))
+    assert (low.tolist(), high.tolist(), of.tolist()) == ([10, 100, 200], [100, 155, 305], [0, 0, 1, 2])
+
+
+def test_word_counts(documents):
+    texts = ["", None, " ", "one", " two\x0bwords ", "é É\xa0x\n\ny", "a b", *(f"w{k} " * k for k in range(70)), "last"]
+    df = documents(texts)
+    got = {r.id: r.n for r in passage_dedup.word_counts(df, "doc_id", "text", passage_dedup.text_key(df, "text")).collect()}
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
 def test_keys_of_runs():
     h = np.random.default_rng(1).integers(0, 9, 300).astype(np.uint64)
     at = np.arange(256)
