@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from metrika.llm import common, exact_dedup, line_dedup, passage_dedup, simhash, suffix_dedup
@@ -342,6 +343,17 @@ def test_keys_of_stretches_at_once():
     assert (low.tolist(), high.tolist(), of.tolist()) == ([10, 100, 200], [100, 155, 305], [0, 0, 1, 2])
 
 
+def test_texts_are_cut_a_bounded_number_at_a_time():
+    """A large Arrow batch of whole texts is never there as strings, or as one batch of results."""
+    texts = [None if k % 7 == 3 else f"a{k} b  c{k} d" for k in range(300)]
+    spans = [[{"start": 1, "length": 2}] if k % 2 else None for k in range(300)]
+    rows = pa.array([{"doc_id": k, "text": t} for k, t in enumerate(texts)])
+    out = list(passage_dedup.cut(iter([pa.RecordBatch.from_arrays([rows, pa.array(spans)], names=["all", "spans"])]), 1, ["doc_id", "text"]))
+    assert max(len(b) for b in out) <= 64 and all(b.schema.names == ["doc_id", "text"] for b in out)
+    got = [(r["doc_id"], r["text"]) for b in out for r in b.to_pylist()]
+    assert got == [(k, t if t is None or k % 2 == 0 else f"a{k} d") for k, t in enumerate(texts)]
+
+
 def test_word_counts(documents):
     texts = ["", None, " ", "one", " two\x0bwords ", "é É\xa0x\n\ny", "a b", *(f"w{k} " * k for k in range(70)), "last"]
     df = documents(texts)
