@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import curation as C
-from ..shared import shared_dir
+from ..shared import shared_dir, spread
 from ..sources import files as S
 from ..sources import named_files as W
 from ..sources import pictures as I
@@ -16,10 +18,32 @@ from ..sources import sinks as K
 from .registry import query, table
 
 
+#: Files that are written and read at a time: the driver lists every file that Spark's sources read.
+PASS_FILES = 32_768
+
+
 def folder(s: SparkSession, name: str) -> str:
     return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
+def in_passes(df: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """The rows of run(part) for all parts of df, which are dealt by the key and have about `most` rows each.
+
+    The parts are written once, a folder each, and run one after the other, each on all cores; so what the driver knows of
+    one part's files is gone when the next one starts, however many parts there are. The rows of all parts are one table.
+    """
+    s, n = df.sparkSession, -(-df.count() // most)
+    if n <= 1:
+        return run(df)
+    parts, out = folder(s, "parts"), folder(s, "of-parts")
+    df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition("part").write.partitionBy("part").parquet(parts)
+    for p in range(n):
+        part = s.read.schema(StructType([*df.schema, StructField("part", IntegerType())])).parquet(parts).filter(F.col("part") == p).drop("part")
+        done = run(spread(part, key))
+        done.write.mode("append").parquet(out)
+    return s.read.schema(done.schema).parquet(out)
+
+
 @query("""WITH p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(least(255, floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 600)) AS BIGINT) AS v FROM embeddings, range(64) t(i)),
 d AS (SELECT vec_id, vec_id % 6 + (2 + vec_id % 4) / 2 AS cx, vec_id % 5 + 1.5 AS cy, greatest(4, CAST(trunc(greatest(2 + vec_id % 4, 3) * 1.2) AS BIGINT)) AS size FROM embeddings),
 r AS (SELECT *, CAST(trunc(cx) AS BIGINT) - size // 2 AS l, CAST(trunc(cy) AS BIGINT) - size // 2 AS t FROM d)
@@ -30,16 +54,20 @@ def s23_k5_cut_outs(s, d):
     bytes and of each byte times its place, from 1."""
     byte = lambda v: F.lpad(F.hex(F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 600)).cast("int")), 2, "0")
     data = F.unhex(F.array_join(F.transform("embedding", byte), ""))
-    raw, cut = folder(s, "images"), folder(s, "cut-outs")
-    W.write_files(table(s, d, "embeddings").select(F.concat(F.lit("im"), "vec_id", F.lit(".png")).alias("name"), I.as_png(data, F.lit(8), F.lit(1)).alias("content")), raw)
-    images = I.pictures(s, raw)
-    k = F.regexp_extract("path", r"im(\d+)\.png$", 1).cast("long")
-    box = {"x1": k % 6, "y1": k % 5, "x2": k % 6 + 2 + k % 4, "y2": k % 5 + 3}
-    found = images.select("path", F.lit(0).alias("detection_index"), *(v.cast("double").alias(n) for n, v in box.items()))
-    cuts = I.rois(images, found, 1.2, 4)
-    W.write_files(cuts.select("name", I.as_png(F.col("data"), F.col("size"), F.col("channels")).alias("content")), cut)
-    bytes_ = I.pictures(s, cut).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("width").alias("size"), F.posexplode(I.gray(F.col("data"), F.col("channels"))).alias("i", "v"))
-    return bytes_.groupBy("name", "size").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("i") + 1)).alias("placed"))
+
+    def run(vectors: DataFrame) -> DataFrame:
+        raw, cut = folder(s, "images"), folder(s, "cut-outs")
+        W.write_files(vectors.select(F.concat(F.lit("im"), "vec_id", F.lit(".png")).alias("name"), I.as_png(data, F.lit(8), F.lit(1)).alias("content")), raw)
+        images = I.pictures(s, raw)
+        k = F.regexp_extract("path", r"im(\d+)\.png$", 1).cast("long")
+        box = {"x1": k % 6, "y1": k % 5, "x2": k % 6 + 2 + k % 4, "y2": k % 5 + 3}
+        found = images.select("path", F.lit(0).alias("detection_index"), *(v.cast("double").alias(n) for n, v in box.items()))
+        cuts = I.rois(images, found, 1.2, 4)
+        W.write_files(cuts.select("name", I.as_png(F.col("data"), F.col("size"), F.col("channels")).alias("content")), cut)
+        bytes_ = I.pictures(s, cut).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("width").alias("size"), F.posexplode(I.gray(F.col("data"), F.col("channels"))).alias("i", "v"))
+        return bytes_.groupBy("name", "size").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("i") + 1)).alias("placed"))
+
+    return in_passes(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", run, PASS_FILES)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag AS run FROM lineitem WHERE (l_returnflag = 'A' AND l_quantity > 25) OR l_returnflag = 'N'")

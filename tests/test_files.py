@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from metrika.functions import geometry as G
 from metrika.operators import curation as C
+from metrika.plans import exchange as X
 from metrika.sources import files as S
 from metrika.sources import named_files as W
 from metrika.sources import pictures as I
@@ -160,6 +161,15 @@ def test_cut_outs_are_slices(spark, folder, tmp_path):
     assert again == {n: bytes(r["data"]) for n, r in got.items()}
 
 
+def test_cut_outs_go_in_passes(spark, monkeypatch):
+    at, was, seen = "/root/testdata/sf0.001", I.pictures, []
+    whole = sorted(X.s23_k5_cut_outs(spark, at).collect())
+    monkeypatch.setattr(I, "pictures", lambda s, folder: seen.append(len(was(s, folder).inputFiles())) or was(s, folder))
+    monkeypatch.setattr(X, "PASS_FILES", len(whole) // 3)
+    assert sorted(X.s23_k5_cut_outs(spark, at).collect()) == whole
+    assert max(seen) < len(whole) * 2 // 3 and sum(seen) == 2 * len(whole)
+
+
 def test_named_files_replace_and_fail_whole(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.createDataFrame([(f"f{i}.txt", f"text é {i}") for i in range(20)], "name string, content string").repartition(4)
