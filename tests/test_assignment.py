@@ -8,6 +8,7 @@ import pytest
 
 from metrika.operators import assignment as H
 from metrika.operators import graphs as G
+from metrika.plans import objects as O
 
 PAIRS = "k int, a int, b int, iou double"
 
@@ -82,6 +83,37 @@ def test_a_dense_key_is_solved_over_its_core(spark, monkeypatch):
         assert len({x["a"] for x in own}) == len({x["b"] for x in own}) == len(own)
 
 
+def iou_of(p, q):
+    w, h = max(0.0, min(p[2], q[2]) - max(p[0], q[0])), max(0.0, min(p[3], q[3]) - max(p[1], q[1]))
+    total = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - w * h
+    return w * h / total if total else 0.0
+
+
+def test_boxes_are_assigned_without_a_table_of_pairs(spark, monkeypatch):
+    r, n, sizes, was = random.Random(8), 150, [], H.written
+    monkeypatch.setattr(H, "BLOCK", 100, raising=False)
+    grid = lambda: [(x, y, x + r.randint(20, 40), y + r.randint(20, 40)) for x, y in ((r.randint(0, 12), r.randint(0, 12)) for _ in range(n))]
+    a, b = grid(), grid()
+    a, b = a + a[: n // 3], b + b[: n // 3]  # copies gain the same
+    rows = lambda boxes: [(k, 7, *map(float, x)) for k, x in enumerate(boxes)] + [(900, 7, None, 0.0, 1.0, 1.0), (901, None, 0.0, 0.0, 9.0, 9.0), (902, 7, 0.0, 0.0, float("nan"), 9.0), (903, 8, 5.0, 5.0, 5.0, 5.0)]
+    left, right = (spark.createDataFrame(rows(x), "vec_id long, label int, x1 double, y1 double, x2 double, y2 double") for x in (a, b))
+
+    def spy(df, name):
+        out = was(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "written", spy)
+    got = O.assigned(left, right).collect()
+    gain = {(i, j): iou_of(p, q) for i, p in enumerate(a) for j, q in enumerate(b) if iou_of(p, q) > 0}
+    took = H.best_pairs(np.array([i for i, _ in gain]), np.array([j for _, j in gain]), [int(x * H.UNIT) for x in gain.values()])
+    best = [x for k, x in enumerate(gain.values()) if k in set(took)]
+    assert len({x["a"] for x in got}) == len({x["b"] for x in got}) == len(got)
+    assert all(x["iou"] == gain[x["a"], x["b"]] and x["iou"] >= 0.3 and x["label"] == 7 for x in got)
+    assert min(best) >= 0.3 and sum(x["iou"] for x in got) == pytest.approx(sum(best), abs=1e-4)
+    assert len(gain) > 5 * max(sizes)
+
+
 def test_worths_bound_all_gains():
     r = random.Random(3)
     for _ in range(100):
